@@ -10,13 +10,18 @@ from channel_signals.constants import (
 )
 
 # Java's \s and \w are ASCII, so the Unicode classes are spelled out.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SPACE = r"\s\p{Z}\x{1c}-\x{1f}\x{85}"
 TOKEN = r"[\p{L}\p{N}_]+"
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(c, F.lit(BLANKS))
 
 
 def word_count(c: Column) -> Column:
@@ -33,15 +38,25 @@ def tokens(c: Column, lang: str = "en") -> Column:
     return F.regexp_extract_all(c if lang == "vi" else F.lower(c), F.lit(TOKEN), 0)
 
 
-def terms(c: Column) -> Column:
-    """Tokens of two or more characters followed by their adjacent pairs."""
-    single = F.regexp_extract_all(F.lower(c), F.lit(TERM), 0)
-    pairs = F.transform(
-        F.slice(single, 1, F.greatest(F.size(single) - 1, F.lit(0))),
-        lambda t, i: F.concat_ws(" ", t, F.get(single, i + 1)))
+def term_tokens(c: Column) -> Column:
+    """Lower-cased tokens of two or more characters."""
+    return F.regexp_extract_all(F.lower(c), F.lit(TERM), 0)
+
+
+def with_pairs(single: Column) -> Column:
+    """Tokens followed by their adjacent pairs. `single` should be a plain column, so that
+    its four uses do not extract it four times."""
+    n = F.greatest(F.size(single) - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice(single, 1, n), F.slice(single, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.concat(single, pairs)
 
 
+def char_grams(c: Column, size: int) -> Column:
+    """All overlapping runs of `size` letters or blanks, in one pass over the text."""
+    return F.regexp_extract_all(c, F.lit(rf"(?=([\p{{L}} ]{{{size}}}))"), 1)
+
+
 def opening(toks: Column, n: int = OPENING_TOKENS) -> Column:
     """First n tokens joined by blanks, NULL when there is no token."""
     return F.when(F.size(toks) > 0, F.array_join(F.slice(toks, 1, n), " "))
@@ -51,10 +66,14 @@ def dash_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(DASHES))
 
 
+def _class_count(c: Column, char_class: str) -> Column:
+    """Characters of a class; dropping runs of the others beats matching one by one."""
+    return F.length(F.regexp_replace(c, rf"[^{char_class}]+", ""))
+
+
 def upper_share(c: Column) -> Column:
     """Share of upper-case among letters, NULL without letters."""
-    letters = F.regexp_count(c, F.lit(r"\p{L}"))
-    return F.when(letters > 0, F.regexp_count(c, F.lit(r"\p{Lu}")) / letters)
+    return F.try_divide(_class_count(c, r"\p{Lu}").cast("double"), _class_count(c, r"\p{L}"))
 
 
 def has_click_marker(c: Column) -> Column:
@@ -72,4 +91,5 @@ def has_click_phrase(c: Column) -> Column:
 
 
 def vietnamese_letters(c: Column) -> Column:
-    return F.regexp_count(F.lower(c), F.lit(f"[{VIETNAMESE_LETTERS}]"))
+    low = F.lower(c)
+    return F.length(low) - F.length(F.translate(low, VIETNAMESE_LETTERS, ""))

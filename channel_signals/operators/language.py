@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from channel_signals.functions.text import char_grams
+
 MAX_GRAM = 3
 PROFILE_SIZE = 300
 
@@ -12,14 +14,7 @@ PROFILE_SIZE = 300
 def _grams(text: Column) -> Column:
     """All n-grams of 1..MAX_GRAM characters of the lower-cased letters and blanks."""
     clean = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
-    starts = F.sequence(F.lit(1), F.length(clean))
-    per_size = [
-        F.transform(
-            F.filter(starts, lambda i, n=n: i <= F.length(clean) - (n - 1)),
-            lambda i, n=n: F.substring(clean, i, F.lit(n)))
-        for n in range(1, MAX_GRAM + 1)
-    ]
-    return F.when(F.length(clean) > 0, F.concat(*per_size))
+    return F.concat(*[char_grams(clean, n) for n in range(1, MAX_GRAM + 1)])
 
 
 def _profile(df: DataFrame, key: str, text: str, size: int) -> DataFrame:

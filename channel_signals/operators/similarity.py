@@ -31,8 +31,9 @@ def avg_title_similarity(
     channel = Window.partitionBy("channel_id")
     top = first_titles(clean(titles), window)
     counted = top.withColumn("_n", F.count(F.lit(1)).over(channel))
-    exploded = counted.select(
-        "channel_id", "pos", "_n", F.explode_outer(X.terms(F.col("title"))).alias("term"))
+    tokenized = counted.select("channel_id", "pos", "_n", X.term_tokens(F.col("title")).alias("_w"))
+    exploded = tokenized.select(
+        "channel_id", "pos", "_n", F.explode_outer(X.with_pairs(F.col("_w"))).alias("term"))
     tf = exploded.groupBy("channel_id", "pos", "_n", "term").agg(F.count("term").alias("tf"))
     by_term = Window.partitionBy("channel_id", "term")
     ranked = tf.withColumn("_df", F.count(F.lit(1)).over(by_term)).withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from channel_signals.plans.build import scoring_features
-from channel_signals.plans.curate import classify
+from channel_signals.plans.curate import classify, with_exclusion
 from channel_signals.sources.ingest import incremental_ingest
 from channel_signals.sources.tables import write_table
 
@@ -47,8 +47,8 @@ def score_stream(channels: DataFrame, uploads: DataFrame, titles: DataFrame,
 
         features = scoring_features(batch, theirs(uploads), theirs(titles), as_of)
         scored = classifier.predict(features, theirs(intervals))
-        decided = scored.select(
-            "channel_id", "p1", classify(F.col("p1"), F.lit(False)).alias("decision"))
+        decided = with_exclusion(scored, theirs(titles)).select(
+            "channel_id", "p1", classify(F.col("p1"), F.col("excluded")).alias("decision"))
         write_table(decided, f"{out}/batch={batch_id}")
 
     return (

@@ -132,7 +132,7 @@ te AS (
   UNION ALL
   SELECT channel_id, pos, unnest(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) FROM tw),
 tf AS (SELECT channel_id, pos, term, count(*) AS tf FROM te GROUP BY ALL),
-vo AS (SELECT channel_id, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY ALL
+vo AS (SELECT channel_id, term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY channel_id, term
        QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY sum(tf) DESC, term) <= 5000),
 nn AS (SELECT channel_id, count(*) AS n FROM top GROUP BY 1),
 wt AS (SELECT channel_id, pos, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS w
@@ -224,22 +224,24 @@ add("build_features",
     coalesce(type_token_ratio, 0) AS type_token_ratio,
     coalesce(avg_title_similarity, 0) AS avg_title_similarity, {SVR} AS sub_to_view_ratio,
     {velocity('subscriber_count')} AS subscriber_velocity, {velocity('view_count')} AS vv,
-    subscriber_count, view_count, video_count, n_videos_crawled,
+    subscriber_count, view_count, video_count, n_videos_crawled::DOUBLE AS n_videos_crawled,
     coalesce(clickbait_phrase_ratio, 0) AS clickbait_phrase_ratio
   FROM td LEFT JOIN sty USING (channel_id) LEFT JOIN voc USING (channel_id)
     LEFT JOIN sim USING (channel_id))"""],
     "SELECT * EXCLUDE (vv), CASE WHEN subscriber_velocity > 0 AND vv > 0"
     " THEN log10((subscriber_velocity + 1) / (vv + 1)) ELSE 0.0::DOUBLE END AS sub_to_view_velocity_ratio FROM f",
-    STATIC_FEATURES + ["sub_to_view_velocity_ratio", "clickbait_phrase_ratio"])
+    STATIC_FEATURES + ["n_videos_crawled", "sub_to_view_velocity_ratio", "clickbait_phrase_ratio"])
 
 # --- language -------------------------------------------------------------------
 add("language_fallback", [],
     f"""SELECT doc_id AS channel_id, CASE WHEN {n_of('lower(text)', f'[{VIETNAMESE_LETTERS}]')} >= 3
       THEN 'vi' ELSE 'en' END AS language FROM documents""")
 GRAMS = r"""cl AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g') AS t FROM documents),
-st AS (SELECT doc_id, lang, t, unnest(range(1, length(t) + 1)) AS i FROM cl),
-gr AS (SELECT doc_id, lang, substr(t, i, n) AS gram FROM st, (VALUES (1), (2), (3)) v(n)
-       WHERE i + n - 1 <= length(t)),
+st AS (SELECT doc_id, lang, unnest(string_split(t, '')) AS c, unnest(range(1, length(t) + 1)) AS i FROM cl),
+ab AS (SELECT doc_id, lang, c, c || lead(c) OVER w AS c2, c || lead(c) OVER w || lead(c, 2) OVER w AS c3
+       FROM st WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+gr AS (SELECT doc_id, lang, c AS gram FROM ab UNION ALL SELECT doc_id, lang, c2 FROM ab WHERE c2 IS NOT NULL
+       UNION ALL SELECT doc_id, lang, c3 FROM ab WHERE c3 IS NOT NULL),
 dg AS (SELECT doc_id, lang, gram, count(*) AS c FROM gr WHERE trim(gram) <> '' GROUP BY ALL),
 pf AS (SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) AS rank
        FROM (SELECT lang, gram, sum(c) AS c FROM dg GROUP BY ALL) QUALIFY rank <= 300)"""

@@ -182,26 +182,28 @@ def avg_title_similarity_conversations(spark, sf):
 
 @query
 def build_features(spark, sf):
-    return B.build_features(
+    features = B.build_features(
         V.channels_ord(spark, sf), V.uploads_ord(spark, sf), V.titles_doc(spark, sf),
         V.AS_OF_ORDERS, extra=True)
+    # a nullable count leaves as DOUBLE, as it does in the CSV form of this table
+    return features.withColumn("n_videos_crawled", F.col("n_videos_crawled").cast("double"))
 
 
 @query
 def language_fallback(spark, sf):
-    docs = V.table(spark, sf, "documents")
+    docs = V.documents(spark, sf)
     return X.language(docs.select(F.col("doc_id").alias("channel_id"), F.col("text").alias("title")))
 
 
 @query
 def language_profiles(spark, sf):
-    return L.language_profiles(V.table(spark, sf, "documents")).withColumn(
+    return L.language_profiles(V.documents(spark, sf)).withColumn(
         "rank", F.col("rank").cast("long"))
 
 
 @query
 def language_identify(spark, sf):
-    docs = V.table(spark, sf, "documents")
+    docs = V.documents(spark, sf)
     return L.identify(docs, L.language_profiles(docs), "doc_id")
 
 

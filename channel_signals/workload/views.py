@@ -4,10 +4,11 @@ and whole texts; modulo terms only decide how a row is dressed, never whether it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channel_signals.operators.profile import number
+from channel_signals.session import spread
 
 AS_OF_ORDERS = "2002-01-01 00:00:00"
 AS_OF_EVENTS = "2024-02-01 00:00:00"
@@ -48,21 +49,29 @@ def channels_ord(spark, sf) -> DataFrame:
     )
 
 
+def documents(spark, sf) -> DataFrame:
+    return spread(table(spark, sf, "documents"))
+
+
 def doc_lines(spark, sf) -> DataFrame:
     """Every line of every document: doc_id, source, pos and the line."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("i", "line"))
 
 
 def _dressed(lines: DataFrame, key: str) -> DataFrame:
     d = F.col("doc_id") + F.col("i")
-    t = F.col("line")
-    t = F.when(d % 7 == 0, F.translate(t, LOWER, UPPER)).otherwise(t)
-    t = F.when(d % 17 == 0, F.concat(F.lit("The hidden truth "), t)).otherwise(t)
-    t = F.when(d % 3 == 0, F.concat(t, F.lit(" — part "), F.col("doc_id").cast("string"))).otherwise(t)
-    t = F.when(d % 5 == 0, F.concat(t, F.lit("?"))).otherwise(t)
-    t = F.when(d % 11 == 0, F.concat(t, F.lit(" -- – "))).otherwise(t)
-    t = F.when(d % 13 == 0, F.lit("***")).otherwise(t)
+    line = F.col("line")
+
+    def part(every: int, text) -> Column:
+        return F.when(d % every == 0, text).otherwise(F.lit(""))
+
+    t = F.when(d % 13 == 0, F.lit("***")).otherwise(F.concat(
+        part(17, F.lit("The hidden truth ")),
+        F.when(d % 7 == 0, F.translate(line, LOWER, UPPER)).otherwise(line),
+        part(3, F.concat(F.lit(" — part "), F.col("doc_id").cast("string"))),
+        part(5, F.lit("?")),
+        part(11, F.lit(" -- – "))))
     return lines.select(
         F.col(key).alias("channel_id"), (F.col("doc_id") * 1000000 + F.col("i")).alias("pos"),
         t.alias("title"))
@@ -177,7 +186,7 @@ def json_channels(spark, sf) -> DataFrame:
 
 def json_titles(spark, sf) -> DataFrame:
     """A cell of titles per document: its lines."""
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         F.col("doc_id").alias("channel_id"), F.to_json(F.split("text", "\n")).alias("video_titles"))
 
 
