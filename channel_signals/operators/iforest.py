@@ -26,41 +26,12 @@ from pyspark.sql import functions as F
 from channel_signals.constants import (
     FOREST_CONTAMINATION, FOREST_SAMPLE, FOREST_TREES, SEED,
 )
+from channel_signals.functions.trees import expected_path, tree_steps
+from channel_signals.session import materialize
 
-EULER = 0.5772156649015329
 MIN_RAW_INTERVALS = 10
 
 
-def expected_path(n: float) -> float:
-    """Mean path length of an unsuccessful search among n values."""
-    if n <= 1:
-        return 0.0
-    if n <= 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
-
-
-def tree_steps(values: np.ndarray, rng: np.random.Generator, limit: int):
-    """One random tree over sorted values, as breakpoints with the change of path length
-    from each breakpoint on."""
-    edges, paths = [], []
-    # (first value, end, depth, where the node's range starts), leftmost node last
-    stack = [(0, len(values), 0, -np.inf)]
-    while stack:
-        lo, hi, depth, start = stack.pop()
-        low, high = values[lo], values[hi - 1]
-        if hi - lo <= 1 or depth >= limit or low == high:
-            edges.append(start)
-            paths.append(depth + expected_path(hi - lo))
-            continue
-        cut = min(rng.uniform(low, high), np.nextafter(high, -np.inf))
-        mid = lo + int(np.searchsorted(values[lo:hi], cut, side="right"))
-        # values up to the cut go left, so the right side starts just above it
-        stack.append((mid, hi, depth + 1, np.nextafter(cut, np.inf)))
-        stack.append((lo, mid, depth + 1, start))
-    return edges, np.diff(paths, prepend=0.0)
-
-
 class _ForestParams(Params):
     inputCol = Param(Params._dummy(), "inputCol", "numeric or array<double> column",
                      TypeConverters.toString)
@@ -120,7 +91,8 @@ class IntervalForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPar
         return np.array([r[0] for r in rows], dtype=float)
 
     def _fit(self, df: DataFrame) -> "IntervalForestModel":
-        values = self._values(df)
+        # read for its size, its sample and its offset
+        values = materialize(self._values(df))
         n = values.count()
         empty = n == 0 or (self._get("mode") == "raw" and n < MIN_RAW_INTERVALS)
         if empty:
@@ -144,7 +116,8 @@ class IntervalForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPar
                     edge, delta = tree_steps(picked, rng, limit)
                     yield pd.DataFrame({"edge": edge, "delta": delta})
 
-        steps = spark.range(0, trees, 1, min(trees, 64)).mapInPandas(
+        tasks = min(trees, spark.sparkContext.defaultParallelism)
+        steps = spark.range(0, trees, 1, tasks).mapInPandas(
             grow, "edge double, delta double")
         # at most trees x sample distinct edges
         path = F.sum("delta").over(Window.partitionBy(F.lit(0)).orderBy("edge").rowsBetween(

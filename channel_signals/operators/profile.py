@@ -167,9 +167,9 @@ def histogram(
     values = long_form(df, features, [by])
     placed = values.join(F.broadcast(_ranges(values)), "feature")
     width = (F.col("hi") - F.col("lo")) / float(bins)
-    index = F.coalesce(
-        F.least(F.floor(F.try_divide(F.col("value") - F.col("lo"), width)), F.lit(bins - 1)),
-        F.lit(0)).cast("int")
+    place = F.floor(F.try_divide(F.col("value") - F.col("lo"), width))
+    # least() skips NULL, so the constant feature is told apart first
+    index = F.when(place.isNull(), F.lit(0)).otherwise(F.least(place, F.lit(bins - 1))).cast("int")
     return (
         placed.withColumn("bin", index).groupBy("feature", by, "bin", "lo", "hi")
         .agg(F.count(F.lit(1)).alias("n"))

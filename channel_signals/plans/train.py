@@ -6,7 +6,7 @@ training channels only, and a Spark ML pipeline over the feature columns.
 
 from __future__ import annotations
 
-import json
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,6 +26,8 @@ from channel_signals.operators.iforest import IntervalForest, IntervalForestMode
 from channel_signals.operators.kernel import RandomFourierFeatures
 from channel_signals.session import materialize
 
+ROWS_PER_TASK = 50_000
+
 
 def _vector_stages(columns: list[str]) -> list:
     filled = [f"{c}__filled" for c in columns]
@@ -40,10 +42,13 @@ def _as_double(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
-def _with_values(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns that have a value at all; the others have no median and say nothing."""
-    row = df.agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c] > 0]
+def _with_values(df: DataFrame, columns: list[str]) -> tuple[list[str], int]:
+    """Columns that have a value at all (the others have no median and say nothing), and
+    the number of rows."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c] > 0], row["_rows"]
 
 
 def random_forest(trees: int = C.RF_TREES, depth: int = C.RF_DEPTH, balanced: bool = True,
@@ -76,7 +81,9 @@ class ChannelClassifier:
         ready = P.with_class_weight(_as_double(P.sentinel_to_null(df), columns))
         # the trees read their input once per level: cut the feature plan off first
         ready = materialize(ready.select("label", "weight", *columns))
-        used = _with_values(ready, columns)
+        used, n = _with_values(ready, columns)
+        # many passes over few rows: no more tasks than the rows are worth
+        ready = ready.coalesce(max(1, math.ceil(n / ROWS_PER_TASK)))
         return cls(used, forest, Pipeline(stages=_vector_stages(used) + stages).fit(ready))
 
     def predict(self, df: DataFrame, intervals: DataFrame | None = None) -> DataFrame:

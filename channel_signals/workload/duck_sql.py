@@ -398,7 +398,7 @@ add("high_corr_pairs",
 
 def hist(source: str, bins: int) -> str:
     return f"""SELECT feature, label, bin, lo + bin * width AS lo, lo + (bin + 1) * width AS hi, n FROM (
-      SELECT feature, label, coalesce(least(floor((value - lo) / nullif(width, 0)), {bins - 1}), 0)::INTEGER AS bin,
+      SELECT feature, label, CASE WHEN width = 0 THEN 0 ELSE least(floor((value - lo) / width), {bins - 1}) END::INTEGER AS bin,
         lo, width, count(*) AS n
       FROM {source} JOIN (SELECT feature, min(value) AS lo, (max(value) - min(value)) / {bins}::DOUBLE AS width
         FROM {source} GROUP BY 1) USING (feature) GROUP BY ALL)"""

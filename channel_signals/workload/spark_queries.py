@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from channel_signals.constants import ALL_FEATURES, LABEL_NAMES, STATIC_FEATURES
+from channel_signals.constants import ALL_FEATURES, LABEL_NAMES
 from channel_signals.functions import refs
 from channel_signals.operators import engagement as E
 from channel_signals.operators import language as L

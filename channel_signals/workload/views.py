@@ -4,6 +4,8 @@ and whole texts; modulo terms only decide how a row is dressed, never whether it
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +51,9 @@ def channels_ord(spark, sf) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=8)
 def documents(spark, sf) -> DataFrame:
+    """The plan of the documents scan; its splits are looked up once per session."""
     return spread(table(spark, sf, "documents"))
 
 
