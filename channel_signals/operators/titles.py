@@ -43,55 +43,41 @@ def title_style(titles: DataFrame) -> DataFrame:
     )
 
 
-def _distinct_share(keyed: DataFrame) -> DataFrame:
-    """Distinct and total counts of both spellings; `keyed` is (channel_id, vi, plain).
-
-    Equal pairs are counted first, so the distinct counts run over the vocabulary,
-    not over the text.
-    """
-    return (
-        keyed.groupBy("channel_id", "vi", "plain").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("channel_id").agg(
-            F.count_distinct("vi").alias("vi_types"),
-            F.count_distinct("plain").alias("plain_types"),
-            F.sum(F.when(F.col("vi").isNotNull(), F.col("n"))).alias("vi_total"),
-            F.sum(F.when(F.col("plain").isNotNull(), F.col("n"))).alias("plain_total"))
-    )
-
-
 def vocabulary(titles: DataFrame, tokenizer: str = "words") -> DataFrame:
     """Type-token and repeated-opening ratios, for both spellings of the tokens.
 
     `tokenizer` rules the plain spelling: 'words' (lower-cased word tokens) or
     'whitespace' (lower-cased, split at blanks, punctuation kept). The other one is
     the original-case spelling for Vietnamese channels; the caller picks per channel.
+
+    Tokens and openings share one pass: each title gives its token pairs and one opening
+    pair. Equal pairs are counted first, so the distinct counts run over the vocabulary,
+    not over the text.
     """
     t = F.col("title")
     split = {"words": X.tokens, "whitespace": X.words}[tokenizer]
-    both = clean(titles).select(
-        "channel_id", X.tokens(t, "vi").alias("_vi"), split(t).alias("_plain"))
-    pairs = both.select(
-        "channel_id", F.explode(F.arrays_zip("_vi", "_plain")).alias("p")
-    ).select("channel_id", F.col("p._vi").alias("vi"), F.col("p._plain").alias("plain"))
-    openings = both.select(
-        "channel_id", X.opening(F.col("_vi")).alias("vi"), X.opening(F.col("_plain")).alias("plain"))
-    types = _distinct_share(pairs)
-    opens = _distinct_share(openings)
-
-    def ratio(kind: str) -> Column:
-        return F.coalesce(
-            F.try_divide(F.col(f"{kind}_types").cast("double"), F.col(f"{kind}_total")), F.lit(0.0))
+    both = clean(titles).select("channel_id", X.tokens(t, "vi").alias("vi"), split(t).alias("plain"))
+    pairs = F.transform(F.arrays_zip("vi", "plain"), lambda p: F.struct(
+        F.lit(False).alias("opening"), p["vi"].alias("vi"), p["plain"].alias("plain")))
+    first = F.struct(
+        F.lit(True).alias("opening"), X.opening(F.col("vi")).alias("vi"),
+        X.opening(F.col("plain")).alias("plain"))
+    shares = (
+        both.select("channel_id", F.inline(F.concat(pairs, F.array(first))))
+        .groupBy("channel_id", "opening", "vi", "plain").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("channel_id", "opening").agg(*[
+            F.try_divide(
+                F.count_distinct(c).cast("double"),
+                F.sum(F.when(F.col(c).isNotNull(), F.col("n")))).alias(c)
+            for c in ("vi", "plain")])
+    )
 
-    def repeat(kind: str) -> Column:
-        return F.coalesce(
-            F.lit(1.0) - F.try_divide(F.col(f"{kind}_types").cast("double"), F.col(f"{kind}_total")),
-            F.lit(0.0))
-
-    left = types.select(
-        "channel_id", ratio("vi").alias("ttr_vi"), ratio("plain").alias("ttr_plain"))
-    right = opens.select(
-        "channel_id", repeat("vi").alias("open_vi"), repeat("plain").alias("open_plain"))
-    return right.join(left, "channel_id", "left")
+    def share(kind: str, opening: bool) -> Column:
+        return F.max(F.when(F.col("opening") == opening, F.col(kind)))
+
+    return shares.groupBy("channel_id").agg(
+        *[F.coalesce(share(k, False), F.lit(0.0)).alias(f"ttr_{k}") for k in ("vi", "plain")],
+        *[F.coalesce(1.0 - share(k, True), F.lit(0.0)).alias(f"open_{k}") for k in ("vi", "plain")])
 
 
 def pick_vocabulary(vietnamese: Column) -> list[Column]:
