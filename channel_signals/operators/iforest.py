@@ -185,9 +185,9 @@ class IntervalForestModel(Model, _ForestParams, MLReadable, MLWritable):
         if self.empty:
             return df.withColumn(out, F.lit(self._without))
         # a row per step of the forest: at most trees x sample of them
-        table = df.sparkSession.createDataFrame(
-            [(float(i), s + self._shift) for i, s in enumerate(self.scores)],
-            f"_bucket double, {out} double")
+        table = df.sparkSession.createDataFrame(pd.DataFrame({
+            "_bucket": np.arange(len(self.scores), dtype=float),
+            out: np.array(self.scores) + self._shift}))
         return self._bucketed(df, name).join(F.broadcast(table), "_bucket", "left").drop("_bucket")
 
     def _array_score(self):

@@ -137,6 +137,15 @@ def cv_summary(pred: DataFrame, fold: str = "fold") -> DataFrame:
         F.stddev_pop("f1").alias("cv_f1_std"), F.stddev_pop("roc_auc").alias("cv_auc_std"))
 
 
+def one_row(*frames: DataFrame) -> DataFrame:
+    """The columns of several one-row tables side by side, without a join: stacked, then
+    the single value of each column."""
+    stacked = frames[0]
+    for f in frames[1:]:
+        stacked = stacked.unionByName(f, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
 def health_flags(metrics: DataFrame) -> DataFrame:
     """Warnings on a row that has test_f1, cv_f1 and cv_f1_std."""
     return metrics.withColumns({

@@ -161,13 +161,11 @@ def train(df: DataFrame, columns: list[str], intervals: DataFrame | None = None,
     cv = materialize(cross_validate(train_rows, columns, intervals, stages, key, folds))
     fitted = ChannelClassifier.fit(train_rows, columns, intervals, stages, key)
     test = materialize(fitted.predict(test_rows, intervals))
-    one = F.lit(1).alias("_one")
     t = M.binary_metrics(test).select(
-        one, *[F.col(m).alias(f"test_{m}") for m in ("accuracy", "precision", "recall", "f1")],
+        *[F.col(m).alias(f"test_{m}") for m in ("accuracy", "precision", "recall", "f1")],
         *[F.col(m) for m in ("tn", "fp", "fn", "tp")])
-    a = M.roc_auc(test).select(one, F.col("roc_auc").alias("test_roc_auc"))
-    c = M.cv_summary(cv).withColumn("_one", F.lit(1))
-    row = M.health_flags(t.join(a, "_one").join(c, "_one")).drop("_one")
+    a = M.roc_auc(test).select(F.col("roc_auc").alias("test_roc_auc"))
+    row = M.health_flags(M.one_row(t, a, M.cv_summary(cv)))
     return TrainingResult(fitted, row, test, cv)
 
 
@@ -201,8 +199,8 @@ def compare_models(df: DataFrame, columns: list[str] = C.ALL_FEATURES,
         f1 = M.binary_metrics(cv, ["fold"]).agg(
             F.avg("f1").alias("CV F1 Mean"), F.stddev_pop("f1").alias("CV F1 Std"))
         fitted = ChannelClassifier.fit(train_rows, columns, None, stages, key)
-        t = M.binary_metrics(fitted.predict(test_rows)).withColumn("_one", F.lit(1))
-        parts.append(t.join(f1.withColumn("_one", F.lit(1)), "_one").select(
+        t = M.binary_metrics(fitted.predict(test_rows))
+        parts.append(M.one_row(t, f1).select(
             F.lit(name).alias("Model"),
             *[F.round(c.lower(), 4).alias(c) for c in ("Accuracy", "Precision", "Recall", "F1")],
             *[F.round(c, 4).alias(c) for c in ("CV F1 Mean", "CV F1 Std")]))

@@ -481,7 +481,7 @@ add("average_precision", [PR, CUM],
 CV = f"""fm AS ({metrics('fold')}), fa AS ({auc('fold')}),
 cv AS (SELECT avg(accuracy) AS cv_accuracy, avg(precision) AS cv_precision, avg(recall) AS cv_recall,
   avg(f1) AS cv_f1, avg(roc_auc) AS cv_roc_auc, stddev_pop(f1) AS cv_f1_std, stddev_pop(roc_auc) AS cv_auc_std
-  FROM fm JOIN fa USING (fold))"""
+  FROM fm LEFT JOIN fa USING (fold))"""
 add("cv_summary", [PR, CV], "SELECT * FROM cv",
     ["cv_accuracy", "cv_precision", "cv_recall", "cv_f1", "cv_roc_auc", "cv_f1_std", "cv_auc_std"])
 add("health_flags", [PR, CV],

@@ -429,10 +429,9 @@ def cv_summary(spark, sf):
 
 @query
 def health_flags(spark, sf):
-    test = M.binary_metrics(V.predictions(spark, sf)).select(
-        F.lit(1).alias("one"), F.col("f1").alias("test_f1"))
-    cv = M.cv_summary(V.predictions(spark, sf)).select(F.lit(1).alias("one"), "cv_f1", "cv_f1_std")
-    return M.health_flags(test.join(cv, "one")).drop("one")
+    test = M.binary_metrics(V.predictions(spark, sf)).select(F.col("f1").alias("test_f1"))
+    cv = M.cv_summary(V.predictions(spark, sf)).select("cv_f1", "cv_f1_std")
+    return M.health_flags(M.one_row(test, cv))
 
 
 @query
