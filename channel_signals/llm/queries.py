@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channel_signals.llm.common import table
+from channel_signals.llm.html_main import main_text
+from channel_signals.llm.merkle import fingerprints
+from channel_signals.llm.metric_join import metric_join
 from channel_signals.llm.mixing import mix
 from channel_signals.llm.ngram_join import ngram_join
 from channel_signals.llm.packing import pack, pieces
@@ -38,11 +41,23 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(pages, listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"), clean=False).select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_grammar")
 
 
+def op6_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join(table(spark, sf_dir, "embeddings"))
+
+
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,7 +71,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality, op3_url_filter, op5_secrets, op8_mixing, op9_packing, op10_ngram_join)}
+    op2_quality, op3_url_filter, op4_html, op5_secrets, op6_metric_join, op7_merkle, op8_mixing,
+    op9_packing, op10_ngram_join)}
 
 SQL = {
     "op3_url_filter": """
