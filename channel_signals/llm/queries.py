@@ -13,6 +13,7 @@ from channel_signals.llm.mixing import mix
 from channel_signals.llm.ngram_join import ngram_join
 from channel_signals.llm.packing import pack, pieces
 from channel_signals.llm.quality import quality
+from channel_signals.llm.repeats import remove_repeats
 from channel_signals.llm.secrets import find_secrets
 from channel_signals.llm.url_filter import url_verdicts
 
@@ -31,6 +32,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).select("doc_id", "votes", "posterior", "score", "kept")
 
@@ -71,8 +76,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_quality, op3_url_filter, op4_html, op5_secrets, op6_metric_join, op7_merkle, op8_mixing,
-    op9_packing, op10_ngram_join)}
+    op1_suffix_dedup, op2_quality, op3_url_filter, op4_html, op5_secrets, op6_metric_join,
+    op7_merkle, op8_mixing, op9_packing, op10_ngram_join)}
 
 SQL = {
     "op3_url_filter": """
