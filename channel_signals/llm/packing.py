@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,9 +20,11 @@ from channel_signals.session import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries of a task's word memo; it is emptied when full.
-MEMO_WORDS = 300_000
+#: Entries of a worker's memo; it is emptied when full.
+MEMO_WORDS = 1_000_000
 _ODD_SPACE = re.compile(r" (?:\s|$)|\s ")
+#: Where a pre-token always ends: a letter before a mark or line end, one line end before a word.
+_INNER = re.compile(r"(?<=[^\W\d_])(?=[.,\n])|(?<=\S\n)(?=\S)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -28,8 +32,8 @@ class _Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     A single space before a visible character always begins a new pre-token of the
-    byte-level vocabulary, so a text falls into parts there, and the ids of parts are
-    remembered. Texts with other spaces are encoded whole.
+    byte-level vocabulary, so a text falls into parts there, new parts fall apart once
+    more, and the ids of parts are remembered. Texts with other spaces are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,15 +53,24 @@ class _Encoder:
         parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
         if parts is None:
             return self.raw([text])[0]
-        missing = list(set(parts).difference(self.memo))
+        missing = set(parts).difference(self.memo)
         if missing:
-            if len(self.memo) + len(missing) > MEMO_WORDS:
+            if len(self.memo) + 3 * len(missing) > MEMO_WORDS:
                 self.memo.clear()
-                missing = list(set(parts))
-            self.memo.update(zip(missing, self.raw(missing)))
+                missing = set(parts)
+            inner = {w: _INNER.split(w) for w in missing}
+            fresh = list({x for v in inner.values() for x in v}.difference(self.memo))
+            self.memo.update(zip(fresh, self.raw(fresh)))
+            self.memo.update((w, b"".join(map(self.memo.__getitem__, v))) for w, v in inner.items() if len(v) > 1)
         return b"".join(map(self.memo.__getitem__, parts))
 
 
+@lru_cache(1)
+def _encoder(path: str) -> _Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return _Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece of at most `capacity` ids of a document, its end id included.
 
@@ -66,13 +79,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = None
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            encoder = encoder or _Encoder(tokenizer_path)
+            encoder = _encoder(tokenizer_path)
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.encode(text.as_py() or "") + end
