@@ -20,9 +20,9 @@ from channel_signals.session import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries of a worker's memo; it is emptied when full.
-MEMO_WORDS = 1_000_000
-_ODD_SPACE = re.compile(r" (?:\s|$)|\s ")
+#: Entries of a worker's memo; when it is full, only parts of so many characters stay.
+MEMO_WORDS, SHORT = 1_200_000, 8
+_ODD_SPACE = re.compile(r" (?:(?<=\s )|(?=\s|$))")
 #: Where a pre-token always ends: a letter before a mark or line end, one line end before a word.
 _INNER = re.compile(r"(?<=[^\W\d_])(?=[.,\n])|(?<=\S\n)(?=\S)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -56,8 +56,9 @@ class _Encoder:
         missing = set(parts).difference(self.memo)
         if missing:
             if len(self.memo) + 3 * len(missing) > MEMO_WORDS:
-                self.memo.clear()
-                missing = set(parts)
+                short = {k: v for k, v in self.memo.items() if len(k) <= SHORT}
+                self.memo = short if len(short) < MEMO_WORDS // 2 else {}
+                missing = set(parts).difference(self.memo)
             inner = {w: _INNER.split(w) for w in missing}
             fresh = list({x for v in inner.values() for x in v}.difference(self.memo))
             self.memo.update(zip(fresh, self.raw(fresh)))
