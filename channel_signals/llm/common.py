@@ -156,6 +156,43 @@ def ranked(df: DataFrame, keys: list[str], tie: list[Column], largest: int, name
             .withColumn(name, F.col("_in") + F.col("_ahead")).drop("_in", "_part", "_ahead"))
 
 
+def with_neighbours(df: DataFrame, key: Column, build: dict[str, Column], wrap: bool = False) -> DataFrame:
+    """`df` in the order of `key` with next_<name>, and without `wrap` also prev_<name>, of every
+    column of `build`; null at the ends, or with `wrap` the first follows the last.
+
+    The key's range is cut where Spark's range partitioning of the bare keys cuts it. Rows go
+    once to their range, and copies of a range's outer rows to the ranges beside it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.withColumn("_k", key)
+    ends = (df.select("_k").repartitionByRange(parts, "_k").withColumn("_p", F.spark_partition_id())
+            .groupBy("_p").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).orderBy("lo").collect())
+    if not ends:
+        for name, column in build.items():
+            df = df.withColumn(name, column)
+            for side in ("next",) if wrap else ("prev", "next"):
+                df = df.withColumn(f"{side}_{name}", F.col(name))
+        return df.drop("_k")
+
+    def fixed(rows) -> Column:
+        return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in rows])
+
+    first, last = fixed([r["lo"] for r in ends]), fixed([r["hi"] for r in ends])
+    at = F.col("_k")
+    part = F.size(F.filter(first, lambda b: b <= at)) - 1
+    before = F.when((part == 0) & F.lit(wrap), len(ends) - 1).otherwise(part - 1)
+    copies = df.where(F.array_contains(first, at)).withColumn("_b", before).withColumn("_side", F.lit(1))
+    if not wrap:
+        copies = copies.unionByName(df.where(F.array_contains(last, at)).withColumn("_b", part + 1).withColumn("_side", F.lit(-1)))
+    rows = df.withColumn("_b", part).withColumn("_side", F.lit(0)).unionByName(copies.dropDuplicates(["_b", "_side"])).repartition("_b")
+    for name, column in build.items():
+        rows = rows.withColumn(name, column)
+    order = Window.partitionBy("_b").orderBy("_side", "_k")
+    rows = rows.select("*", *[F.lead(n).over(order).alias(f"next_{n}") for n in build],
+                       *[F.lag(n).over(order).alias(f"prev_{n}") for n in build if not wrap])
+    return rows.where("_side = 0").drop("_k", "_b", "_side")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph with edges (a, b): root is the smallest node of its component.
 

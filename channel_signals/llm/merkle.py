@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from channel_signals.llm.common import with_neighbours
 
 #: A paragraph ends after a mark and a space; a section is a line.
 PARAGRAPH_END = r"(?<=[.!?,|] )"
@@ -45,35 +46,6 @@ def first_difference(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_position(same, False), F.lit(0)).cast("long")
 
 
-def with_next(docs: DataFrame, key: Column, build: dict[str, Column]) -> DataFrame:
-    """`docs` in the order of `key`, with `next_<name>` of every built column; last wraps to first.
-
-    The key's range is cut where Spark's range partitioning of the bare keys cuts it. Rows go
-    once to their range; a copy of each range's first row goes to the range before it.
-    """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.withColumn("_k", key)
-    firsts = (docs.select("_k").repartitionByRange(parts, "_k").withColumn("_p", F.spark_partition_id())
-              .groupBy("_p").agg(F.min("_k").alias("_k")).orderBy("_k").select("_k.*").collect())
-    if not firsts:
-        for name, column in build.items():
-            docs = docs.withColumn(name, column).withColumn(f"next_{name}", F.col(name))
-        return docs.drop("_k")
-    bounds = [F.struct(*[F.lit(v).alias(n) for n, v in r.asDict().items()]) for r in firsts]
-    at = F.col("_k")
-    bucket = F.size(F.filter(F.array(*bounds), lambda b: b <= at)) - 1
-    before = F.when(bucket == 0, len(bounds) - 1).otherwise(bucket - 1)
-    heads = (docs.where(F.array_contains(F.array(*bounds), at)).withColumn("_b", before)
-             .dropDuplicates(["_b"]).withColumn("_ghost", F.lit(True)))
-    rows = docs.withColumn("_b", bucket).withColumn("_ghost", F.lit(False)).unionByName(heads).repartition("_b")
-    for name, column in build.items():
-        rows = rows.withColumn(name, column)
-    order = Window.partitionBy("_b").orderBy("_ghost", "_k")
-    rows = rows.select("*", *[F.lead(n).over(order).alias(f"next_{n}") for n in build])
-    return rows.where("not _ghost").drop("_k", "_b", "_ghost")
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next,
     first_edit), a row per row of `docs`.
@@ -88,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce(F.bitwise_not(F.col("doc_id")), F.lit(0).cast("long")).alias("d"), F.xxhash64("text").alias("h"))
-    rows = with_next(base, key, {"text": F.col("text"), "leaves": paragraphs(F.col("text"))})
+    rows = with_neighbours(base, key, {"text": F.col("text"), "leaves": paragraphs(F.col("text"))}, wrap=True)
     rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half),

@@ -218,8 +218,8 @@ def edges(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def counted_edges(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """What `edges` gives, by counting the hash of every string around the anchors: for grams of
-    so many contexts that no task should hold them."""
+    """What `edges` gives, by counting the hash of every string around the anchors with its column:
+    for grams of so many contexts that no task should hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,7 +228,8 @@ def counted_edges(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 if n <= 0:
                     continue
                 at = np.arange(n)
-                w = range_hash(prefix_hash(np.frombuffer(raw, np.uint8)), at, at + length).view(np.int64)
+                w = range_hash(prefix_hash(np.frombuffer(raw, np.uint8)), at, at + length)
+                w = (w ^ mix((before - at).astype(np.uint64))).view(np.int64)
                 k = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, h)), pa.array(w), pa.array(np.full(k, th)), pa.array(pos - before + at),
                                                   pa.array(np.full(k, want))], names=["h", "w", "th", "start", "want"])
