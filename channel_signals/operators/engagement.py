@@ -13,13 +13,14 @@ def counter(c: Column) -> Column:
 
 
 def view_per_video(views: Column, videos: Column) -> Column:
+    """0 without videos; NULL where a counter is missing, for the imputer to fill."""
     v = counter(videos)
-    return F.when(v > 0, F.coalesce(counter(views), F.lit(0.0)) / v).otherwise(F.lit(0.0))
+    return F.when(v > 0, counter(views) / v).when(v <= 0, F.lit(0.0))
 
 
 def sub_to_view_ratio(subscribers: Column, views: Column) -> Column:
-    down = F.coalesce(counter(views), F.lit(0.0)) + 1.0
-    return F.coalesce(counter(subscribers), F.lit(0.0)) / F.nullif(down, F.lit(0.0))
+    """NULL where a counter is missing."""
+    return counter(subscribers) / F.nullif(counter(views) + 1.0, F.lit(0.0))
 
 
 def velocity(count: Column, age_days: Column) -> Column:

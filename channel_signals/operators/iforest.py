@@ -71,22 +71,21 @@ class IntervalForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPar
         """(value, key parts) rows of either input form."""
         name = self._get("inputCol")
         keys = [F.col(k) for k in self._get("keyCols") if k in df.columns and k != name]
+        if not keys:
+            raise ValueError(f"the sample needs a column that tells rows apart: {self._get('keyCols')}")
         if dict(df.dtypes)[name].startswith("array"):
             out = df.select(*keys, F.posexplode(name).alias("_i", "value"))
         else:
             out = df.select(*keys, F.lit(0).alias("_i"), F.col(name).alias("value"))
         return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
-    def _sample(self, values: DataFrame, n: int) -> np.ndarray:
+    def _sample(self, values: DataFrame) -> np.ndarray:
         """The rows of lowest hash: numTrees x sampleSize of them at most, whatever the
-        input size. A cut on the hash leaves few rows to order."""
+        input size. Each task keeps its lowest rows, the driver the lowest of those."""
         pool = self._get("numTrees") * self._get("sampleSize")
         keys = [c for c in values.columns if c != "value"]
         hashed = values.select(
             "value", F.xxhash64(F.lit(self._get("seed")), *keys, "value").alias("h"))
-        if n > 4 * pool:
-            cut = int(-(2 ** 63) + (2 ** 64) * (4.0 * pool / n))
-            hashed = hashed.where(F.col("h") < F.lit(cut))
         rows = hashed.orderBy("h", "value").limit(pool).select("value").collect()
         return np.array([r[0] for r in rows], dtype=float)
 
@@ -97,7 +96,7 @@ class IntervalForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPar
         empty = n == 0 or (self._get("mode") == "raw" and n < MIN_RAW_INTERVALS)
         if empty:
             return self._copyValues(IntervalForestModel([-math.inf, math.inf], [0.0], 0.0, True))
-        pool = self._sample(values, n)
+        pool = self._sample(values)
         splits, scores = self._grow(df.sparkSession, pool)
         model = IntervalForestModel(splits, scores, 0.0, False)
         model.offset = self._offset(model._bucketed(values, "value"), scores, n)
@@ -198,10 +197,12 @@ class IntervalForestModel(Model, _ForestParams, MLReadable, MLWritable):
         @F.pandas_udf("double")
         def score(cells: pd.Series) -> pd.Series:
             out = np.full(len(cells), without)
-            if not empty:
-                for i, cell in enumerate(cells):
-                    if cell is not None and len(cell):
-                        out[i] = scores[np.searchsorted(splits, cell, side="right")].mean()
+            size = cells.str.len().fillna(0).to_numpy(dtype=np.int64)
+            if not empty and size.any():
+                flat = scores[np.searchsorted(splits, np.concatenate(
+                    cells[size > 0].to_list()).astype(float), side="right")]
+                starts = np.concatenate([[0], np.cumsum(size[size > 0])[:-1]])
+                out[size > 0] = np.add.reduceat(flat, starts) / size[size > 0]
             return pd.Series(out)
 
         return score

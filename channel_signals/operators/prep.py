@@ -10,7 +10,8 @@ from channel_signals.constants import (
     ANOMALY_COLUMN, FOLDS, LABEL_NAMES, SEED, SENTINEL_COLUMNS, STATIC_FEATURES, TEST_SHARE,
 )
 
-PREFIX_DIGITS = 3
+#: Rows of a label that share a hash prefix and are ranked in one task.
+RANK_ROWS = 100_000
 
 
 def sentinel_to_null(df: DataFrame, columns: list[str] = SENTINEL_COLUMNS) -> DataFrame:
@@ -100,19 +101,23 @@ def stratified_rank(
     """Add `rank` (from 1, in a shuffled order that only the key and the seed decide) and
     `n_label`, both within the label. `key` must be unique.
 
-    The hash prefix spreads each label over 16^PREFIX_DIGITS even groups; the offsets are
-    that many rows per label, small enough to broadcast.
+    The hash prefix spreads each label over even groups of about RANK_ROWS rows: it has as
+    many digits as the row count needs. Only the counts of the groups meet in one window.
     """
+    digits = 1
+    n = df.count()
+    while n > RANK_ROWS * 16 ** digits:
+        digits += 1
     hashed = df.withColumn(
         "_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    ).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
+    ).withColumn("_p", F.substring("_h", 1, digits))
     along = Window.partitionBy(label).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.groupBy(label, "_p").agg(F.count(F.lit(1)).alias("_n")).select(
         label, "_p", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"),
         F.sum("_n").over(Window.partitionBy(label)).alias("n_label"))
     inside = Window.partitionBy(label, "_p").orderBy("_h", key)
     return (
-        hashed.join(F.broadcast(offsets), [label, "_p"])
+        hashed.join(offsets, [label, "_p"])
         .withColumn("rank", F.col("_before") + F.row_number().over(inside))
         .drop("_h", "_p", "_before")
     )

@@ -1,8 +1,8 @@
 """Building blocks that keep any single key, value or group from filling one task.
 
 * ``hot_keys`` measures which keys are too large for one task.
-* ``slices`` cuts an ordered column into bounded ranges with fixed literal bounds,
-  so every consumer of the column sees the same cut.
+* ``slices`` cuts an ordered column into bounded ranges and stores the cut, so every
+  consumer of the column sees the same one.
 * ``prefix_sums`` and ``exact_quantiles`` are running totals and order statistics
   over groups of any size.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,55 +19,38 @@ from channel_signals.session import (
     int_conf, materialize,
 )
 
-MAX_HOT_KEYS = 10_000
-MAX_SLICES = 10_000
-
 
 def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
     """Keys with more rows than one task should hold, or None when there are none.
 
-    At most MAX_HOT_KEYS keys come back, the largest first. A key left out has no
-    more than max(threshold, rows / MAX_HOT_KEYS) rows, so the rest is bounded too,
-    and the returned table is always small enough to broadcast.
+    All such keys: the table stays on the executors and is joined like any other.
     """
-    spark = df.sparkSession
-    floor = int_conf(spark, HOT_ROWS_CONF, HOT_ROWS_DEFAULT)
-    found = (
-        df.groupBy(key).count().where(F.col("count") > floor)
-        .orderBy(F.desc("count")).limit(MAX_HOT_KEYS).select(key).collect()
-    )
-    if not found:
-        return None
-    schema = df.select(key).schema
-    return spark.createDataFrame([tuple(r) for r in found], schema)
+    floor = int_conf(df.sparkSession, HOT_ROWS_CONF, HOT_ROWS_DEFAULT)
+    found = materialize(
+        df.where(F.col(key).isNotNull()).groupBy(key).count()
+        .where(F.col("count") > floor).select(key))
+    return None if found.isEmpty() else found
 
 
 def split_hot(df: DataFrame, hot: DataFrame | None, key: str):
     """(ordinary rows, hot rows or None); NULL keys count as ordinary."""
     if hot is None:
         return df, None
-    return (
-        df.join(F.broadcast(hot), key, "left_anti"),
-        df.join(F.broadcast(hot), key, "left_semi"),
-    )
+    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
 
 
 def slices(df: DataFrame, order: str, out: str = "_slice") -> tuple[DataFrame, int]:
     """Add a slice number that grows with `order`; slices hold about equal row counts.
 
     `df` should hold distinct order values per group (copies pre-aggregated) and be
-    materialized, as it is read for its count and its bounds first.
+    materialized, as it is read for its count first. Equal values share a slice. The
+    ranges are those of Spark's range partitioning; the cut is stored with the rows.
     """
     per_slice = int_conf(df.sparkSession, SLICE_ROWS_CONF, SLICE_ROWS_DEFAULT)
-    n = min(MAX_SLICES, math.ceil(df.count() / per_slice))
+    n = math.ceil(df.count() / per_slice)
     if n <= 1:
-        return df.withColumn(out, F.lit(0.0)), 1
-    probe = df.select(F.col(order).cast("double").alias("_o"))
-    cuts = probe.approxQuantile("_o", [i / n for i in range(1, n)], 1 / (4 * n))
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    bucketizer = Bucketizer(splits=splits, inputCol="_o", outputCol=out)
-    with_order = df.withColumn("_o", F.col(order).cast("double"))
-    return bucketizer.transform(with_order).drop("_o"), len(splits) - 1
+        return df.withColumn(out, F.lit(0)), 1
+    return materialize(df.repartitionByRange(n, order).withColumn(out, F.spark_partition_id())), n
 
 
 def prefix_sums(df: DataFrame, groups: list[str], order: str, measures: list[str]) -> DataFrame:
@@ -76,8 +58,7 @@ def prefix_sums(df: DataFrame, groups: list[str], order: str, measures: list[str
     the group) and `total_<m>` (group total) for each measure.
 
     `df` must hold one row per (groups, order): pre-aggregate copies first. Rows are
-    cut into bounded slices; only slice totals (at most MAX_SLICES per group) meet in
-    one window.
+    cut into bounded slices; only slice totals, one row for so many, meet in one window.
     """
     compact = materialize(df)
     sliced, n = slices(compact, order)

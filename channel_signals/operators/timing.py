@@ -150,9 +150,8 @@ def _hot_timing(uploads: DataFrame) -> DataFrame:
         (F.sum(F.col("days") * F.col("w")) / F.sum("w")).alias("_mean"))
     medians = exact_quantiles(weighted, ["channel_id"], "days", {"_median": 0.5}, weight="w")
     centre = means.join(medians, "channel_id")
-    # one row per hot channel: hot_keys bounds it, so it may be broadcast
     spread = (
-        weighted.join(F.broadcast(centre), "channel_id").groupBy("channel_id").agg(
+        weighted.join(centre, "channel_id").groupBy("channel_id").agg(
             F.sum("w").alias("n_intervals"),
             F.sqrt(F.sum(F.col("w") * F.pow(F.col("days") - F.col("_mean"), 2)) / F.sum("w")).alias("_std"),
             (F.sum(F.when(F.col("days") < F.lit(BURST_SHARE) * F.col("_median"), F.col("w"))

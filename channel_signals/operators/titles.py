@@ -50,32 +50,50 @@ def vocabulary(titles: DataFrame, tokenizer: str = "words") -> DataFrame:
     'whitespace' (lower-cased, split at blanks, punctuation kept). The other one is
     the original-case spelling for Vietnamese channels; the caller picks per channel.
 
-    Tokens and openings share one pass: each title gives its token pairs and one opening
-    pair. Equal pairs are counted first, so the distinct counts run over the vocabulary,
-    not over the text.
+    Each title gives its tokens and one opening. Equal tokens are counted first, and what
+    is left of a vocabulary is counted once more, so no distinct count is needed. Lower-cased
+    words are those of the original case again: their text is cut up once.
     """
     t = F.col("title")
-    split = {"words": X.tokens, "whitespace": X.words}[tokenizer]
-    both = clean(titles).select("channel_id", X.tokens(t, "vi").alias("vi"), split(t).alias("plain"))
-    pairs = F.transform(F.arrays_zip("vi", "plain"), lambda p: F.struct(
-        F.lit(False).alias("opening"), p["vi"].alias("vi"), p["plain"].alias("plain")))
-    first = F.struct(
-        F.lit(True).alias("opening"), X.opening(F.col("vi")).alias("vi"),
-        X.opening(F.col("plain")).alias("plain"))
-    shares = (
-        both.select("channel_id", F.inline(F.concat(pairs, F.array(first))))
-        .groupBy("channel_id", "opening", "vi", "plain").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("channel_id", "opening").agg(*[
-            F.try_divide(
-                F.count_distinct(c).cast("double"),
-                F.sum(F.when(F.col(c).isNotNull(), F.col("n")))).alias(c)
-            for c in ("vi", "plain")])
+
+    def counted(tokens: Column) -> Column:
+        """Structs (opening, token) of a title."""
+        each = F.transform(tokens, lambda x: F.struct(F.lit(False).alias("opening"), x.alias("token")))
+        return F.concat(each, F.array(F.struct(F.lit(True).alias("opening"), X.opening(tokens).alias("token"))))
+
+    def ratios(rows: DataFrame, **kinds) -> DataFrame:
+        """Kinds over all tokens; a title without tokens leaves a row, but no count."""
+        real = F.col("token").isNotNull()
+        return rows.groupBy("channel_id", "opening").agg(*[
+            F.try_divide(F.sum(F.when(real, F.col(c))).cast("double"), F.sum(F.when(real, F.col("n")))).alias(k)
+            for k, c in kinds.items()])
+
+    vi = (
+        clean(titles).select("channel_id", X.tokens(t, "vi").alias("w"))
+        .select("channel_id", F.inline(counted(F.col("w"))))
+        .groupBy("channel_id", "opening", "token").agg(F.count(F.lit(1)).alias("n"))
     )
+    if tokenizer == "words":
+        both = vi.groupBy("channel_id", "opening", F.lower("token").alias("token")).agg(
+            F.sum("n").alias("n"), F.count(F.lit(1)).alias("vi"), F.lit(1).alias("plain"))
+        found = ratios(both, vi="vi", plain="plain")
+    elif tokenizer == "whitespace":
+        plain = (
+            clean(titles).select("channel_id", X.words(t).alias("w"))
+            .select("channel_id", F.inline(counted(F.col("w"))))
+            .groupBy("channel_id", "opening", "token").agg(F.count(F.lit(1)).alias("n"))
+        )
+        both = [rows.withColumn("one", F.lit(1)) for rows in (vi, plain)]
+        none = F.lit(None).cast("double")
+        found = ratios(both[0], vi="one").withColumn("plain", none).unionByName(
+            ratios(both[1], plain="one").withColumn("vi", none))
+    else:
+        raise ValueError(f"no tokenizer {tokenizer!r}")
 
     def share(kind: str, opening: bool) -> Column:
         return F.max(F.when(F.col("opening") == opening, F.col(kind)))
 
-    return shares.groupBy("channel_id").agg(
+    return found.groupBy("channel_id").agg(
         *[F.coalesce(share(k, False), F.lit(0.0)).alias(f"ttr_{k}") for k in ("vi", "plain")],
         *[F.coalesce(1.0 - share(k, True), F.lit(0.0)).alias(f"open_{k}") for k in ("vi", "plain")])
 

@@ -1,7 +1,8 @@
 """Growing the seed lists from scored candidates.
 
-candidates(query, query_order, rank, channel_id, title, country, subscriber_count,
-video_count, view_count); query_order is the order the searches ran in.
+candidates(target, query, query_order, rank, channel_id, title, country,
+subscriber_count, video_count, view_count); query_order is the order the searches ran in
+and target, 'slop' or 'genuine', the class a search was made for. Slop searches come first.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 
 from channel_signals import constants as C
 from channel_signals.operators.similarity import first_titles
-from channel_signals.sources.ingest import append_new
 
 
 def default_country(country: Column, query: Column) -> Column:
@@ -117,10 +117,39 @@ def self_training_label(p1: Column, forced: Column | None = None) -> Column:
 
 
 def within_quota(decided: DataFrame, quota: int = C.MAX_NEW_PER_CLASS) -> DataFrame:
-    """The first `quota` channels of each class in search order."""
-    order = Window.partitionBy("decision").orderBy("query_order", "rank", "channel_id")
-    return decided.withColumn("_rn", F.row_number().over(order)).where(
-        F.col("_rn") <= quota).drop("_rn")
+    """The channels found before the searches for their target stop, in search order.
+
+    A search looks at a channel while fewer than `quota` of its target class have been found,
+    by any search before; what it then finds counts for either class. So slop searches may
+    add any number of genuine channels, and these count when the genuine searches begin.
+    One phase of searches stops at a row of its own, so two short cuts decide everything:
+    only the place of the quota-th slop row, and the number of genuine rows before the
+    genuine searches, leave the tasks.
+    """
+    order = F.struct("query_order", "rank", "channel_id")
+    rows = decided.withColumn("_at", order)
+
+    def place(of: DataFrame, n: int):
+        """Place of the n-th row, or None where there are fewer."""
+        top = of.orderBy("_at").limit(n).select("_at")
+        last = top.agg(F.max("_at").alias("at"), F.count(F.lit(1)).alias("n")).first()
+        return F.struct(*[F.lit(v).alias(k) for k, v in last["at"].asDict().items()]) if last["n"] == n else None
+
+    slop_phase = rows.where(F.col("target") == "slop")
+    stop = place(slop_phase.where(F.col("decision") == "slop"), quota) if quota > 0 else None
+    if quota <= 0:
+        slop_phase = slop_phase.where(F.lit(False))
+    elif stop is not None:
+        slop_phase = slop_phase.where(F.col("_at") <= stop)
+    found = slop_phase.where(F.col("decision") == "genuine").count()
+    genuine_phase = rows.where(F.col("target") == "genuine")
+    if found >= quota:
+        genuine_phase = genuine_phase.where(F.lit(False))
+    else:
+        stop = place(genuine_phase.where(F.col("decision") == "genuine"), quota - found)
+        if stop is not None:
+            genuine_phase = genuine_phase.where(F.col("_at") <= stop)
+    return slop_phase.unionByName(genuine_phase).drop("_at")
 
 
 def curate(
@@ -145,8 +174,13 @@ def curate(
 
 
 def seeds_with(seeds: DataFrame, new_channels: DataFrame) -> DataFrame:
-    """Seed ids (channel_id, label) with the new channels appended, each id once."""
+    """Seed ids (channel_id, label) with the new channels appended, each id once per label.
+
+    An id may stand under both labels, as it may in two lists; `union_labels` then reads
+    it as genuine.
+    """
     fresh = new_channels.select(
         "channel_id", F.when(F.col("label") == "slop", C.SLOP).otherwise(C.GENUINE)
         .cast(seeds.schema["label"].dataType).alias("label"))
-    return append_new(seeds, fresh)
+    fresh = fresh.distinct().join(seeds.select("channel_id", "label"), ["channel_id", "label"], "left_anti")
+    return seeds.unionByName(fresh.select(*seeds.columns))

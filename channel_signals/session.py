@@ -14,17 +14,22 @@ SLICE_ROWS_CONF = "spark.channelSignals.sliceRows"
 SLICE_ROWS_DEFAULT = 1_000_000
 
 
-def get_spark(app: str = "channel_signals", cores: str = "*", **conf) -> SparkSession:
+def get_spark(app: str = "channel_signals", cores: str | None = None, **conf) -> SparkSession:
+    """A session in UTC. Master, memory and partitions stay as they are submitted; `cores`
+    asks for a local session of so many, with settings that fit one."""
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if cores:
+        builder = (
+            builder.master(f"local[{cores}]")
+            .config("spark.sql.shuffle.partitions", "8")
+            .config("spark.ui.enabled", "false")
+            .config("spark.driver.memory", "12g")
+        )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -62,9 +67,3 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out a scan that has fewer splits than the cluster has cores, as a small file
-    with one row group does; a scan with enough splits is left as it is."""
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted)

@@ -10,13 +10,27 @@ from channel_signals.sources.tables import write_table
 
 
 def known_ids(existing: DataFrame, key: str = "channel_id") -> DataFrame:
-    """Distinct non-NULL keys as strings."""
-    return existing.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key)).distinct()
+    """Non-NULL keys as strings."""
+    return existing.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias(key))
 
 
-def new_rows(existing: DataFrame, new: DataFrame, key: str = "channel_id") -> DataFrame:
-    """Rows of `new`, one per key, whose key is not in `existing`. Rows without a key go."""
-    fresh = new.where(F.col(key).isNotNull()).dropDuplicates([key])
+def first_rows(df: DataFrame, key: str = "channel_id", order: list[str] | None = None) -> DataFrame:
+    """One row per non-NULL key: the first by `order`, then by the other columns.
+
+    Without an order the smallest row counts as the first, so every run keeps the same one.
+    """
+    order = list(order or [])
+    rest = [c for c in df.columns if c != key and c not in order]
+    lead = F.struct(*order, *rest) if order or rest else F.struct(key)
+    kept = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(lead).alias("_r"))
+    return kept.select(*[F.col(key) if c == key else F.col(f"_r.{c}") for c in df.columns])
+
+
+def new_rows(existing: DataFrame, new: DataFrame, key: str = "channel_id",
+             order: list[str] | None = None) -> DataFrame:
+    """Rows of `new`, one per key (`first_rows`), whose key is not in `existing`. Rows
+    without a key go."""
+    fresh = first_rows(new, key, order)
     ids = known_ids(existing, key).withColumnRenamed(key, "_known")
     return fresh.join(ids, fresh[key].cast("string") == F.col("_known"), "left_anti")
 
@@ -45,7 +59,7 @@ def incremental_ingest(new: DataFrame, path: str, key: str = "channel_id") -> No
             raise
         existing = None
     fresh = (
-        new.where(F.col(key).isNotNull()).dropDuplicates([key]) if existing is None
+        first_rows(new, key) if existing is None
         else new_rows(existing, new, key)
     )
     write_table(fresh, path, mode="append")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from channel_signals.functions.text import strip
-from channel_signals.operators.skew import hot_keys, split_hot
 
+#: Upload positions that one cell of intervals covers.
 CELL_VALUES = 100_000
 
 
@@ -56,21 +56,26 @@ def explode_titles(df: DataFrame, cell: str = "video_titles") -> DataFrame:
 
 
 def explode_intervals(df: DataFrame, cell: str = "intervals_json") -> DataFrame:
-    """intervals(channel_id, seq, days) of interval cells."""
-    return df.select("channel_id", F.posexplode(parse_intervals(F.col(cell))).alias("seq", "days"))
+    """intervals(channel_id, seq, days) of interval cells.
+
+    seq is unique in a channel and keeps the order: the parts of a channel follow each
+    other, each with CELL_VALUES numbers of its own. Cells without `part` are whole.
+    """
+    part = F.col("part") if "part" in df.columns else F.lit(0).cast("long")
+    rows = df.select("channel_id", part.alias("_part"),
+                     F.posexplode(parse_intervals(F.col(cell))).alias("_i", "days"))
+    return rows.select("channel_id", (F.col("_part") * CELL_VALUES + F.col("_i")).alias("seq"), "days")
 
 
 def interval_cells(intervals: DataFrame) -> DataFrame:
     """(channel_id, part, intervals_json): days of a channel as JSON arrays in time order.
 
-    Ordinary channels fill one cell, part 0. A channel too large for one task fills
-    consecutive parts of CELL_VALUES upload positions, so no cell grows without bound.
+    A part covers CELL_VALUES upload positions, so no cell grows without bound; most
+    channels have part 0 only.
     """
-    ordinary, heavy = split_hot(intervals, hot_keys(intervals, "channel_id"), "channel_id")
-    rows = ordinary.withColumn("part", F.lit(0).cast("long"))
-    if heavy is not None:
-        rows = rows.unionByName(
-            heavy.withColumn("part", F.expr(f"seq div {CELL_VALUES}")))
     cell = F.array_sort(F.collect_list(F.struct("seq", "days")))
-    return rows.groupBy("channel_id", "part").agg(
-        F.to_json(F.transform(cell, lambda s: s["days"])).alias("intervals_json"))
+    return (
+        intervals.withColumn("part", F.expr(f"seq div {CELL_VALUES}"))
+        .groupBy("channel_id", "part")
+        .agg(F.to_json(F.transform(cell, lambda s: s["days"])).alias("intervals_json"))
+    )

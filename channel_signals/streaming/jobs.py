@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from channel_signals.plans.build import scoring_features
 from channel_signals.plans.curate import classify, with_exclusion
-from channel_signals.sources.ingest import incremental_ingest
+from channel_signals.sources.ingest import first_rows, incremental_ingest
 from channel_signals.sources.tables import write_table
 
 
@@ -39,7 +39,7 @@ def score_stream(channels: DataFrame, uploads: DataFrame, titles: DataFrame,
     replaces it.
     """
     def score(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.dropDuplicates(["channel_id"])
+        batch = first_rows(batch)
         ids = batch.select("channel_id")
 
         def theirs(table: DataFrame) -> DataFrame:
@@ -60,8 +60,10 @@ def score_stream(channels: DataFrame, uploads: DataFrame, titles: DataFrame,
 def daily_uploads_stream(uploads: DataFrame, out: str, checkpoint: str,
                          late: str = "1 day"):
     """An extension of the cadence features: running uploads per channel and day with the
-    first and last time. State older than the watermark is dropped; every batch writes
-    the rows it changed."""
+    first and last time. Every batch writes the rows it changed. Once a batch has seen a
+    time, days that ended more than `late` before it are final: their state is dropped, and
+    uploads that arrive for them afterwards are not counted. Set `late` to the longest delay
+    that still counts."""
     counts = (
         uploads.withWatermark("published_at", late)
         .groupBy("channel_id", F.window("published_at", "1 day").alias("day"))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from channel_signals.constants import (
-    DASHES, EXCLUDE_KEYWORDS, LOW_RESULT_QUERIES, STATIC_FEATURES, VIETNAMESE_LETTERS,
+    CLICKBAIT_PHRASES, DASHES, EXCLUDE_KEYWORDS, LOW_RESULT_QUERIES, STATIC_FEATURES, VIETNAMESE_LETTERS,
 )
-from channel_signals.functions.text import click_phrase_pattern
 
 SQL: dict[str, str] = {}
 
@@ -88,6 +87,8 @@ def n_of(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, {lit(pattern)}))"
 
 
+# every phrase on its own, case-blind where it says so
+ANY_PHRASE = "(" + " OR ".join(f"regexp_matches(title, {lit(p)})" for p in CLICKBAIT_PHRASES) + ")"
 STYLE = f"""sty AS (
   SELECT channel_id, count(*) AS n_titles,
     coalesce(sum({n_of('title', DASHES)})::DOUBLE
@@ -96,7 +97,7 @@ STYLE = f"""sty AS (
     coalesce(avg(CASE WHEN {n_of('title', r'\p{L}')} > 0
       THEN {n_of('title', r'\p{Lu}')}::DOUBLE / {n_of('title', r'\p{L}')} END), 0) AS capitalization_ratio,
     avg(CASE WHEN regexp_matches(title, '[?!]|\\p{{Nd}}') THEN 1.0::DOUBLE ELSE 0 END) AS click_share,
-    avg(CASE WHEN regexp_matches(title, {lit(click_phrase_pattern())}) THEN 1.0::DOUBLE ELSE 0 END)
+    avg(CASE WHEN {ANY_PHRASE} THEN 1.0::DOUBLE ELSE 0 END)
       AS clickbait_phrase_ratio,
     sum({n_of('lower(title)', f'[{VIETNAMESE_LETTERS}]')}) >= 3 AS vi
   FROM tt GROUP BY channel_id)"""
@@ -157,8 +158,8 @@ def frequency(crawled: str) -> str:
       WHEN video_count > 0 THEN video_count ELSE n_timestamps END)::DOUBLE / age END"""
 
 
-VPV = "CASE WHEN video_count > 0 THEN coalesce(view_count, 0)::DOUBLE / video_count ELSE 0.0::DOUBLE END"
-SVR = "coalesce(subscriber_count, 0)::DOUBLE / (coalesce(view_count, 0)::DOUBLE + 1)"
+VPV = "CASE WHEN video_count > 0 THEN view_count::DOUBLE / video_count WHEN video_count <= 0 THEN 0.0::DOUBLE END"
+SVR = "subscriber_count::DOUBLE / (view_count::DOUBLE + 1)"
 TIMED = f"td AS (SELECT *, {AGE} AS age FROM ch LEFT JOIN tim USING (channel_id))"
 VR = "CASE WHEN sv > 0 AND vv > 0 THEN log10((sv + 1) / (vv + 1)) ELSE 0.0::DOUBLE END"
 
@@ -205,8 +206,8 @@ add("features_whitespace_tokens",
     FROM td LEFT JOIN voc USING (channel_id)""",
     ["type_token_ratio", "opening_repeat_ratio", "video_upload_frequency"])
 add("temporal_clickbait_ratio", [UP_ORD, GAPS, TIM] + DOC + [STYLE],
-    """SELECT channel_id, CASE WHEN time_interval_std < 0 THEN 0 ELSE click_share / (1 + time_interval_std) END
-      AS temporal_clickbait_ratio FROM sty JOIN tim USING (channel_id)""", ["temporal_clickbait_ratio"])
+    """SELECT channel_id, CASE WHEN coalesce(time_interval_std, -1) < 0 THEN 0 ELSE click_share / (1 + time_interval_std) END
+      AS temporal_clickbait_ratio FROM sty LEFT JOIN tim USING (channel_id)""", ["temporal_clickbait_ratio"])
 for _n, _v in (("sources", SRC), ("docs", DOC), ("conversations", [CONV, clean("conv")])):
     add(f"avg_title_similarity_{_n}", _v + [SIM], "SELECT channel_id, avg_title_similarity FROM sim",
         ["avg_title_similarity"])
@@ -279,9 +280,11 @@ add("json_titles_roundtrip", [JT],
       list_sum(list_transform(a, lambda x: length(x)))::BIGINT AS chars FROM jt WHERE len(a) > 0""")
 add("flattened_titles", [JT], "SELECT channel_id, md5(array_to_string(a, ' ')) AS text_md5 FROM jt")
 add("interval_cells_roundtrip", [UP_ORD, GAPS],
-    """SELECT c_custkey AS channel_id, count(days) AS n, sum(days) AS sum_days FROM customer
-      LEFT JOIN (SELECT * FROM g WHERE n >= 3 AND days <= 365) k ON channel_id = c_custkey GROUP BY 1""",
-    ["sum_days"])
+    """SELECT c_custkey AS channel_id, place::DOUBLE AS seq, days FROM customer
+      LEFT JOIN (SELECT channel_id, days, seq // 100000 * 100000 - 1 + row_number() OVER (
+        PARTITION BY channel_id, seq // 100000 ORDER BY seq) AS place
+      FROM g WHERE n >= 3 AND days <= 365) k ON channel_id = c_custkey""",
+    ["days"])
 SEED = """sl AS (
   SELECT 'seeds_' || (c_custkey % 2) AS source_file, c_custkey AS line_no, CAST(c_custkey % 2 AS INTEGER) AS label,
     c_nationkey, CASE c_custkey % 8
@@ -469,7 +472,8 @@ add("classification_report", [PR, f"m AS ({metrics()})", f"""c AS (
     UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
       sum(f1 * support) / sum(support), sum(support)::BIGINT FROM c""", ["precision", "recall", "f1"])
 add("roc_curve", [PR, CUM],
-    "SELECT p1 AS threshold, fp::DOUBLE / nn::DOUBLE AS fpr, tp::DOUBLE / np::DOUBLE AS tpr FROM cm",
+    """SELECT p1 AS threshold, fp::DOUBLE / nn::DOUBLE AS fpr, tp::DOUBLE / np::DOUBLE AS tpr FROM cm
+    UNION ALL SELECT NULL, 0.0::DOUBLE, 0.0::DOUBLE""",
     ["threshold", "fpr", "tpr"])
 add("roc_auc", [PR], auc(), ["roc_auc"])
 add("precision_recall_curve", [PR, CUM],
@@ -509,7 +513,7 @@ add("wrong_score_histogram",
 # --- curation -------------------------------------------------------------------
 CAND = f"""cd AS (
   SELECT CASE WHEN q = 0 THEN 'lofi hip hop radio to relax' WHEN q = 1 THEN 'sự thật kinh hoàng về'
-      ELSE 'query ' || q END AS query, q AS query_order, channel_id AS rank, channel_id,
+      ELSE 'query ' || q END AS query, CASE WHEN q < 6 THEN 'slop' ELSE 'genuine' END AS target, q AS query_order, channel_id AS rank, channel_id,
     CASE WHEN channel_id % 9 = 0 THEN 'Lofi Hip Hop ' || title ELSE title END AS title,
     CASE WHEN channel_id % 2 = 0 THEN '' ELSE 'US' END AS country,
     subscriber_count, video_count, view_count, ((channel_id * 53) % 100) / 100.0::DOUBLE AS p
@@ -545,14 +549,23 @@ add("classify_candidates", [CH, CAND, EX],
     f"""SELECT channel_id, {DEC} AS decision, CASE WHEN channel_id % 100 = 0 THEN 'slop'
       WHEN p >= 0.95 THEN 'slop' WHEN p <= 0.05 THEN 'genuine' END AS self_label
       FROM fo JOIN ex USING (channel_id)""")
-CUR = f"""nw AS (SELECT channel_id, title, decision AS label FROM (
-    SELECT el.*, {DEC} AS decision FROM el JOIN ex USING (channel_id)) WHERE decision IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY decision ORDER BY query_order, rank, channel_id) <= 50)"""
+# one channel after the other: looked at while the target class of its search lacks some
+CUR = f"""dd AS (SELECT el.*, {DEC} AS decision FROM el JOIN ex USING (channel_id)),
+s1 AS (SELECT *, coalesce(count(*) FILTER (WHERE decision = 'slop') OVER (
+    ORDER BY query_order, rank, channel_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM dd WHERE target = 'slop'),
+slop_search AS (SELECT * FROM s1 WHERE before < 50),
+s2 AS (SELECT *, (SELECT count(*) FROM slop_search WHERE decision = 'genuine') + coalesce(
+    count(*) FILTER (WHERE decision = 'genuine') OVER (
+    ORDER BY query_order, rank, channel_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM dd WHERE target = 'genuine'),
+nw AS (SELECT channel_id, title, decision AS label FROM (
+  SELECT * FROM slop_search UNION ALL SELECT * FROM s2 WHERE before < 50) WHERE decision IS NOT NULL)"""
 add("curate_quota", [CH, CAND, EX, CUR], "SELECT channel_id, title, label FROM nw")
 add("seeds_after_curation", [CH, CAND, EX, CUR],
     """SELECT channel_id, label FROM ch WHERE label = 1
     UNION ALL SELECT channel_id, CASE label WHEN 'slop' THEN 1 ELSE 0 END FROM nw
-    WHERE channel_id NOT IN (SELECT channel_id FROM ch WHERE label = 1)""")
+    WHERE label <> 'slop' OR channel_id NOT IN (SELECT channel_id FROM ch WHERE label = 1)""")
 
 # --- streaming ------------------------------------------------------------------
 add("stream_ingest", [], "SELECT DISTINCT o_custkey AS channel_id FROM orders")

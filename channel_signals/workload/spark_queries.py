@@ -160,7 +160,7 @@ def features_whitespace_tokens(spark, sf):
 def temporal_clickbait_ratio(spark, sf):
     t = X.title_style(V.titles_doc(spark, sf)).select("channel_id", "click_marker_share")
     u = T.timing_features(V.uploads_ord(spark, sf)).select("channel_id", "time_interval_std")
-    return t.join(u, "channel_id").select(
+    return t.join(u, "channel_id", "left").select(
         "channel_id", X.temporal_clickbait(
             F.col("click_marker_share"), F.col("time_interval_std")).alias("temporal_clickbait_ratio"))
 
@@ -235,10 +235,10 @@ def flattened_titles(spark, sf):
 @query
 def interval_cells_roundtrip(spark, sf):
     cells = J.interval_cells(T.intervals(V.uploads_ord(spark, sf)))
-    channels = V.channels_ord(spark, sf).select("channel_id").join(cells, "channel_id", "left")
-    days = J.parse_intervals(F.col("intervals_json"))
-    rows = channels.select("channel_id", F.explode_outer(days).alias("d"))
-    return rows.groupBy("channel_id").agg(F.count("d").alias("n"), F.sum("d").alias("sum_days"))
+    channels = V.channels_ord(spark, sf).select("channel_id")
+    # seq is missing for channels without intervals, so it leaves as DOUBLE
+    return channels.join(J.explode_intervals(cells), "channel_id", "left").withColumn(
+        "seq", F.col("seq").cast("double"))
 
 
 @query
@@ -321,8 +321,7 @@ def stratified_folds(spark, sf):
 @query
 def label_codes(spark, sf):
     named = V.labelled_docs(spark, sf).withColumn("label", P.decode_label(F.col("label")))
-    names = named.select("doc_id", F.col("label").alias("label_name"))
-    return names.join(P.encoded(named), "doc_id").select("doc_id", "label_name", "label")
+    return P.encoded(named.withColumn("label_name", F.col("label"))).select("doc_id", "label_name", "label")
 
 
 # --- profile ------------------------------------------------------------------
@@ -404,7 +403,9 @@ def classification_report(spark, sf):
 
 @query
 def roc_curve(spark, sf):
-    return M.roc_curve(V.predictions(spark, sf)).where(F.col("threshold") < float("inf"))
+    """The origin has no finite threshold: NULL stands for it."""
+    return M.roc_curve(V.predictions(spark, sf)).withColumn(
+        "threshold", F.when(F.col("threshold") < float("inf"), F.col("threshold")))
 
 
 @query

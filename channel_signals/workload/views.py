@@ -4,13 +4,10 @@ and whole texts; modulo terms only decide how a row is dressed, never whether it
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channel_signals.operators.profile import number
-from channel_signals.session import spread
 
 AS_OF_ORDERS = "2002-01-01 00:00:00"
 AS_OF_EVENTS = "2024-02-01 00:00:00"
@@ -51,10 +48,8 @@ def channels_ord(spark, sf) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=8)
 def documents(spark, sf) -> DataFrame:
-    """The plan of the documents scan; its splits are looked up once per session."""
-    return spread(table(spark, sf, "documents"))
+    return table(spark, sf, "documents")
 
 
 def doc_lines(spark, sf) -> DataFrame:
@@ -156,6 +151,7 @@ def candidates(spark, sf) -> DataFrame:
         F.when(q == 0, F.lit("lofi hip hop radio to relax"))
         .when(q == 1, F.lit("sự thật kinh hoàng về"))
         .otherwise(F.concat(F.lit("query "), q.cast("string"))).alias("query"),
+        F.when(q < 6, F.lit("slop")).otherwise(F.lit("genuine")).alias("target"),
         "query_order", k.alias("rank"), "channel_id",
         F.when(k % 9 == 0, F.concat(F.lit("Lofi Hip Hop "), "title")).otherwise(
             F.col("title")).alias("title"),
