@@ -180,6 +180,9 @@ def test_html_blocks():
             "<div class='ad'>buy</div><article><h1>Head &amp; line</h1><p><b>First<br>two  words<p>Second <i>part</i><p>Third"
             "<aside>side</aside><form><p>mail</p></form><ul><li>one<li>two</ul><div id='comments'><p>me too</p></div></article><footer>&copy; x</footer>")
     assert candidates_of(page) == (["Head & line", "First two words", "Second part", "Third", "one", "two"], True)
+    page = ("<body><div id='content'><div class='post-header'><h1>Title</h1></div><p>Text<figure><figcaption>Caption</figcaption></figure>"
+            "<div class='adslot'>buy</div><ol class='commentlist'><li>me</ol></div><section class='content-sidebar'>links</section></body>")
+    assert candidates_of(page) == (["Title", "Text", "Caption"], True)
     assert candidates_of("plain &lt;text&gt;\n here") == (["plain <text> here"], False)
     assert candidates_of("") == ([], False)
 
