@@ -211,12 +211,14 @@ add("temporal_clickbait_ratio", [UP_ORD, GAPS, TIM] + DOC + [STYLE],
 for _n, _v in (("sources", SRC), ("docs", DOC), ("conversations", [CONV, clean("conv")])):
     add(f"avg_title_similarity_{_n}", _v + [SIM], "SELECT channel_id, avg_title_similarity FROM sim",
         ["avg_title_similarity"])
-add("build_features",
-    [UP_ORD, GAPS, TIM, CH, TIMED] + DOC + [STYLE, vocab(BY_STYLE, WORDS), SIM, f"""f AS (
+
+
+def features(crawled: str, shown: str) -> str:
+    return f"""f AS (
   SELECT channel_id, title, label,
     coalesce(time_interval_std, -1) AS time_interval_std,
     coalesce(upload_burst_ratio, 0) AS upload_burst_ratio,
-    {frequency('n_videos_crawled')} AS video_upload_frequency, {VPV} AS view_per_video,
+    {frequency(crawled)} AS video_upload_frequency, {VPV} AS view_per_video,
     coalesce(dash_density, 0) AS dash_density, coalesce(title_length_std, 0) AS title_length_std,
     coalesce(capitalization_ratio, 0) AS capitalization_ratio,
     coalesce(opening_repeat_ratio, 0) AS opening_repeat_ratio,
@@ -225,13 +227,24 @@ add("build_features",
     coalesce(type_token_ratio, 0) AS type_token_ratio,
     coalesce(avg_title_similarity, 0) AS avg_title_similarity, {SVR} AS sub_to_view_ratio,
     {velocity('subscriber_count')} AS subscriber_velocity, {velocity('view_count')} AS vv,
-    subscriber_count, view_count, video_count, n_videos_crawled::DOUBLE AS n_videos_crawled,
+    subscriber_count, view_count, video_count, {shown} AS n_videos_crawled,
     coalesce(clickbait_phrase_ratio, 0) AS clickbait_phrase_ratio
   FROM td LEFT JOIN sty USING (channel_id) LEFT JOIN voc USING (channel_id)
-    LEFT JOIN sim USING (channel_id))"""],
+    LEFT JOIN sim USING (channel_id))"""
+
+
+add("build_features",
+    [UP_ORD, GAPS, TIM, CH, TIMED] + DOC + [STYLE, vocab(BY_STYLE, WORDS), SIM,
+                                            features("n_videos_crawled", "n_videos_crawled::DOUBLE")],
     "SELECT * EXCLUDE (vv), CASE WHEN subscriber_velocity > 0 AND vv > 0"
     " THEN log10((subscriber_velocity + 1) / (vv + 1)) ELSE 0.0::DOUBLE END AS sub_to_view_velocity_ratio FROM f",
     STATIC_FEATURES + ["n_videos_crawled", "sub_to_view_velocity_ratio", "clickbait_phrase_ratio"])
+PLAIN = [LINES, "plain AS (SELECT doc_id AS channel_id, i AS pos, line AS title FROM ln)", clean("plain")]
+add("scoring_features",
+    [UP_ORD, GAPS, TIM, CH, TIMED] + PLAIN + [STYLE, vocab(BY_STYLE, WORDS), SIM,
+                                              features("n_timestamps", "coalesce(n_timestamps, 0)")],
+    "SELECT * EXCLUDE (vv, clickbait_phrase_ratio, subscriber_count, view_count, video_count) FROM f",
+    STATIC_FEATURES)
 
 # --- language -------------------------------------------------------------------
 add("language_fallback", [],
@@ -306,6 +319,13 @@ r AS (SELECT *,
       AND NOT contains(url, 'search_query') AS ok FROM u),
 p AS (SELECT *, CASE WHEN ok AND h <> '' THEN 'handle' WHEN ok AND c <> '' THEN 'id' END AS url_type,
     CASE WHEN ok AND h <> '' THEN h WHEN ok AND c <> '' THEN c END AS url_value FROM r)"""
+add("seeds_text_roundtrip", [SEED],
+    """SELECT label, ref_type, ref_value FROM (
+      SELECT *, coalesce(url_type, CASE WHEN bare IS NOT NULL THEN 'id' END) AS ref_type,
+             coalesce(url_value, bare) AS ref_value FROM p) WHERE ref_type IS NOT NULL""")
+add("csv_roundtrip", [CH],
+    "SELECT * REPLACE (view_count::DOUBLE AS view_count, video_count::DOUBLE AS video_count,"
+    " n_videos_crawled::DOUBLE AS n_videos_crawled) FROM ch")
 add("parse_channel_refs", [SEED],
     """SELECT source_file, line_no, url_type AS ref_type, url_value AS ref_value, label FROM p
       WHERE url_type IS NOT NULL

@@ -26,6 +26,7 @@ from channel_signals.session import materialize, shared_dir
 from channel_signals.sources import ingest as I
 from channel_signals.sources import json_cells as J
 from channel_signals.sources import seeds as S
+from channel_signals.sources.tables import read_csv, write_table
 from channel_signals.streaming import jobs as Z
 from channel_signals.workload import views as V
 
@@ -43,6 +44,10 @@ def query(fn):
     return fn
 
 
+def _fresh_dir(spark) -> str:
+    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
+
+
 # --- timing -------------------------------------------------------------------
 
 @query
@@ -189,6 +194,14 @@ def build_features(spark, sf):
     return features.withColumn("n_videos_crawled", F.col("n_videos_crawled").cast("double"))
 
 
+@query
+def scoring_features(spark, sf):
+    """Features of channels about to be scored, from undressed titles."""
+    return B.scoring_features(
+        V.channels_ord(spark, sf), V.uploads_ord(spark, sf), V.titles_plain_doc(spark, sf),
+        V.AS_OF_ORDERS).drop("subscriber_count", "view_count", "video_count")
+
+
 @query
 def language_fallback(spark, sf):
     docs = V.documents(spark, sf)
@@ -241,6 +254,26 @@ def interval_cells_roundtrip(spark, sf):
         "seq", F.col("seq").cast("double"))
 
 
+@query
+def seeds_text_roundtrip(spark, sf):
+    """Seed lines written as text, one folder per label, read back and parsed."""
+    at, lines = _fresh_dir(spark), V.seed_lines(spark, sf)
+    folders = {f"{at}/label-{k}": k for k in (0, 1)}
+    for path, k in folders.items():
+        lines.where(F.col("label") == k).select("value").write.text(path)
+    return S.parse_any_ref(S.read_seed_lines(spark, folders)).select("label", "ref_type", "ref_value")
+
+
+@query
+def csv_roundtrip(spark, sf):
+    """The channel table written as CSV and read back under its schema."""
+    at, channels = _fresh_dir(spark), V.channels_ord(spark, sf)
+    write_table(channels, f"{at}/channels", "csv")
+    back = read_csv(spark, f"{at}/channels", channels.schema)
+    # nullable counters leave as DOUBLE
+    return back.withColumns({c: F.col(c).cast("double") for c in ("view_count", "video_count", "n_videos_crawled")})
+
+
 @query
 def parse_channel_refs(spark, sf):
     return S.first_per_file(S.parse_channel_refs(V.seed_lines(spark, sf).drop("c_nationkey"))).select(
@@ -511,10 +544,6 @@ def seeds_after_curation(spark, sf):
 
 # --- streaming ----------------------------------------------------------------
 
-def _fresh_dir(spark) -> str:
-    return f"{shared_dir(spark)}/run-{uuid.uuid4().hex}"
-
-
 @query
 def stream_ingest(spark, sf):
     """Orders stream in twice; every customer is stored once."""

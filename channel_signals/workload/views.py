@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from channel_signals.operators.metrics import hard_decision
 from channel_signals.operators.profile import number
 
 AS_OF_ORDERS = "2002-01-01 00:00:00"
@@ -111,7 +112,7 @@ def predictions(spark, sf) -> DataFrame:
     p1 = ((F.col("doc_id") * 37) % 101) / 100.0
     return table(spark, sf, "labels").select(
         "doc_id", F.col("toxic").alias("label"), p1.alias("p1"),
-        F.when(p1 >= 0.5, 1).otherwise(0).alias("prediction"),
+        hard_decision(p1).alias("prediction"),
         (F.col("doc_id") % 5).alias("fold"))
 
 

@@ -5,7 +5,7 @@ import io
 
 from channel_signals.operators.similarity import avg_title_similarity
 from channel_signals.operators.timing import timing_features
-from channel_signals.operators.titles import title_style
+from channel_signals.operators.titles import title_style, vocabulary
 from channel_signals.workload import views as V
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +34,10 @@ def test_similarity_shuffles_first_titles_only(spark):
 def test_style_combines_before_its_shuffle(spark):
     p = plan(title_style(V.titles_conv(spark, SF)))
     assert p.count("Exchange") == 1 and "partial_" in p[p.index("Exchange"):]
+
+
+def test_vocabulary_needs_no_distinct_count(spark):
+    p = plan(vocabulary(V.titles_conv(spark, SF)))
+    assert "Expand" not in p and p.count("FileScan") == 1
+    # tokens, lower-cased tokens, openings of a channel, the channel
+    assert p.count("Exchange") <= 4

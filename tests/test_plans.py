@@ -67,14 +67,14 @@ def test_decisions(spark):
 
 
 def test_curation_by_hand(spark):
-    cols = "query string, query_order int, rank int, channel_id string, title string, country string, " \
+    cols = "target string, query string, query_order int, rank int, channel_id string, title string, country string, " \
            "subscriber_count long, video_count long, view_count long, p double"
     big = (5000, 20, 50000)
     cand = spark.createDataFrame([
-        ("q", 0, 0, "s1", "one", "", *big, 0.98), ("q", 0, 1, "s2", "asmr night", "", *big, 0.93),
-        ("q", 1, 0, "s1", "one", "", *big, 0.98), ("q", 1, 1, "s3", "three", "", *big, 0.95),
-        ("q", 2, 0, "small", "x", "", 10, 20, 50000, 0.99), ("q", 2, 1, "few", "x", "", *big, 0.99),
-        ("q", 2, 2, "g1", "g", "", *big, 0.01), ("q", 2, 3, "s4", "four", "", *big, 0.99)], cols)
+        ("slop", "q", 0, 0, "s1", "one", "", *big, 0.98), ("slop", "q", 0, 1, "s2", "asmr night", "", *big, 0.93),
+        ("slop", "q", 1, 0, "s1", "one", "", *big, 0.98), ("slop", "q", 1, 1, "s3", "three", "", *big, 0.95),
+        ("genuine", "q", 2, 0, "small", "x", "", 10, 20, 50000, 0.99), ("genuine", "q", 2, 1, "few", "x", "", *big, 0.99),
+        ("genuine", "q", 2, 2, "g1", "g", "", *big, 0.01), ("genuine", "q", 2, 3, "s4", "four", "", *big, 0.99)], cols)
     ids = ["s1", "s2", "s3", "s4", "g1", "small"]
     start = datetime(2024, 1, 1)
     ups = spark.createDataFrame(
@@ -83,10 +83,29 @@ def test_curation_by_hand(spark):
     titles = spark.createDataFrame([(c, 0, "t") for c in ids], "channel_id string, pos int, title string")
     new = U.curate(cand, ups, titles, lambda c, u, t: c.select("channel_id", F.col("p").alias("p1")), quota=2)
     assert sorted((r["channel_id"], r["label"]) for r in new.collect()) == [
-        ("g1", "genuine"), ("s1", "slop"), ("s3", "slop")]
+        ("g1", "genuine"), ("s1", "slop"), ("s3", "slop"), ("s4", "slop")]
     seeds = spark.createDataFrame([("s1", 1)], "channel_id string, label int")
     grown = U.seeds_with(seeds, new)
-    assert sorted(map(tuple, grown.collect())) == [("g1", 0), ("s1", 1), ("s3", 1)]
+    assert sorted(map(tuple, grown.collect())) == [("g1", 0), ("s1", 1), ("s3", 1), ("s4", 1)]
+
+
+def test_searches_stop_at_their_target_only(spark):
+    cols = "target string, query_order int, rank int, channel_id int, decision string"
+    rows = [("slop", 0, i, i, "genuine") for i in range(60)] + [("slop", 1, i, 100 + i, "slop") for i in range(5)]
+    later = [("genuine", 6, 0, 200, "genuine"), ("genuine", 6, 1, 201, "slop")]
+
+    def kept(data, quota):
+        found = U.within_quota(spark.createDataFrame(data, cols), quota).collect()
+        return sorted(r["channel_id"] for r in found)
+
+    # sixty genuine channels come out of slop searches, and no genuine search is needed
+    assert kept(rows + later, 50) == [*range(60), *range(100, 105)]
+    # three slop channels are enough: the fourth and fifth are not looked at
+    assert kept(rows + later, 3) == [*range(60), 100, 101, 102]
+    # a genuine search may find slop while it lacks genuine ones
+    assert kept(rows[:40] + later, 50) == [*range(40), 200, 201]
+    assert kept(rows[:40] + later, 41) == [*range(40), 200]
+    assert kept(rows, 0) == []
 
 
 def test_low_result_searches_take_ten_uploads(spark):

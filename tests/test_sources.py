@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from channel_signals.sources import ingest as I
 from channel_signals.sources import json_cells as J
 from channel_signals.sources import seeds as S
 from channel_signals.sources.tables import read_csv, write_table
+from channel_signals.streaming import jobs
 
 LINES = [
     ("https://www.youtube.com/@Some.Handle-1", "handle", "Some.Handle-1", None),
@@ -100,3 +103,31 @@ def test_missing_columns_are_named():
         columns = ["a"]
     with pytest.raises(ValueError, match="b"):
         require_columns(Frame(), ["a", "b"])
+
+
+def test_first_row_wins(spark):
+    rows = [("a", 3, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 5, "w"), (None, 0, "n")]
+    df = spark.createDataFrame(rows, "channel_id string, seen int, title string").repartition(4)
+    by_order = I.first_rows(df, order=["seen"]).collect()
+    assert sorted(map(tuple, by_order)) == [("a", 1, "y"), ("b", 5, "w")]
+    known = spark.createDataFrame([("b",)], "channel_id string")
+    assert [tuple(r) for r in I.new_rows(known, df).collect()] == [("a", 1, "y")]
+
+
+def test_late_uploads_are_not_counted_once_their_day_is_final(spark, tmp_path):
+    """Two batches out of order: a day inside the watermark grows, an older one stays."""
+    schema = "channel_id string, published_at timestamp"
+    land = str(tmp_path / "in")
+
+    def batch(*times):
+        spark.createDataFrame([("a", datetime.fromisoformat(t)) for t in times], schema).coalesce(1).write.mode("append").parquet(land)
+
+    def run():
+        stream = jobs.read_landed(spark, land, spark.createDataFrame([], schema).schema)
+        jobs.daily_uploads_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"), late="1 day").awaitTermination()
+        return {str(r["day"])[:10]: r["n_uploads"] for r in jobs.daily_uploads(spark, str(tmp_path / "out")).collect()}
+
+    batch("2024-01-01 10:00:00", "2024-01-05 10:00:00")
+    assert run() == {"2024-01-01": 1, "2024-01-05": 1}
+    batch("2024-01-01 12:00:00", "2024-01-04 23:00:00", "2024-01-05 09:00:00")
+    assert run() == {"2024-01-01": 1, "2024-01-04": 1, "2024-01-05": 2}

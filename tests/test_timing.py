@@ -76,7 +76,17 @@ def test_interval_cells_keep_order_and_split(spark, tiny_tasks, monkeypatch):
     assert cells.count() > 1
     text = {r["part"]: r["intervals_json"] for r in cells.collect()}
     assert "".join(text[k] for k in sorted(text)) == "[1.0][2.0,3.0][4.0]"
-    assert explode_intervals(cells).agg(F.sum("days")).first()[0] == 10.0
+    back = [tuple(r) for r in explode_intervals(cells).orderBy("seq").collect()]
+    assert [r[2] for r in back] == [1.0, 2.0, 3.0, 4.0] and len({r[:2] for r in back}) == 4
+
+
+def test_interval_cells_do_not_depend_on_task_limits(spark):
+    iv = T.intervals(uploads(spark, {"a": [0, 1, 3, 6, 10], "b": [0, 1, 2]}))
+    want = sorted(interval_cells(iv).collect())
+    spark.conf.set("spark.channelSignals.hotKeyRows", "2")
+    got = sorted(interval_cells(iv).collect())
+    spark.conf.unset("spark.channelSignals.hotKeyRows")
+    assert got == want and [r["part"] for r in got] == [0, 0]
 
 
 def test_age_and_frequency(spark):
