@@ -1,18 +1,21 @@
 """Descriptive tables of a labelled feature table.
 
-Statistics that combine (means, deviations, correlations) are columns of one wide
-aggregate, unpivoted afterwards from a single row, so a row is never multiplied by
-the number of features. Order statistics go through sliced prefix sums.
+Statistics that combine (means, deviations) are columns of one wide aggregate, unpivoted
+afterwards from a single row, so a row is never multiplied by the number of features;
+correlations are matrix products per task. Order statistics go through sliced prefix sums.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from channel_signals.operators.skew import exact_quantiles
+from channel_signals.session import materialize
 
 
 def number(c: str | Column) -> Column:
@@ -104,21 +107,49 @@ def class_difference(df: DataFrame, features: list[str], label: str = "label") -
     return _rows(df.agg(*aggs), [row(f) for f in features])
 
 
+#: A variance below this share of the sum of squares is rounding.
+FLAT = 1e-12
+
+
 def _pair_correlations(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """(feature_1, feature_2, correlation) over the rows where both are present;
-    NULL when one of them is constant there. One pass, one aggregate row."""
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = number(a), number(b)
-        both = x.isNotNull() & y.isNotNull()
-        xs, ys = F.when(both, x), F.when(both, y)
-        aggs += [
-            F.covar_samp(xs, ys).alias(f"c{i}"),
-            F.stddev_samp(xs).alias(f"x{i}"), F.stddev_samp(ys).alias(f"y{i}")]
-    return _rows(df.agg(*aggs), [
-        F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2"),
-                 F.try_divide(F.col(f"c{i}"), F.col(f"x{i}") * F.col(f"y{i}")).alias("correlation"))
-        for i, (a, b) in enumerate(pairs)])
+    NULL when one of them is constant there.
+
+    Values are taken from their column's smallest, then each task adds up its batches as
+    products of matrices, and gives one row of sums for each pair, whatever its rows are.
+    """
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    least = df.agg(*[F.min(number(c)).alias(c) for c in columns]).first()
+    base = np.array([least[c] if least[c] is not None else 0.0 for c in columns])
+    at = {c: i for i, c in enumerate(columns)}
+    left = np.array([at[a] for a, _ in pairs], dtype=int)
+    right = np.array([at[b] for _, b in pairs], dtype=int)
+
+    def sums(batches):
+        total = np.zeros((6, len(left)))
+        for batch in batches:
+            x = batch.to_numpy(dtype=float) - base
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            one, two, cross, n = x.T @ m, (x * x).T @ m, x.T @ x, m.T @ m
+            total += np.stack([n[left, right], one[left, right], one[right, left],
+                               two[left, right], two[right, left], cross[left, right]])
+        yield pd.DataFrame(total.T, columns=["n", "sx", "sy", "sxx", "syy", "sxy"]).assign(pair=range(len(left)))
+
+    added = df.select(*[number(c).alias(c) for c in columns]).mapInPandas(
+        sums, "n double, sx double, sy double, sxx double, syy double, sxy double, pair int"
+    ).groupBy("pair").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+
+    def variance(s: str, ss: str) -> Column:
+        v = F.col(ss) - F.try_divide(F.col(s) * F.col(s), F.col("n"))
+        return F.when(v > FLAT * F.col(ss), v)
+
+    together = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
+    names = F.array(*[F.struct(F.lit(a).alias("feature_1"), F.lit(b).alias("feature_2")) for a, b in pairs])
+    return added.select(
+        F.element_at(names, F.col("pair") + 1).alias("p"),
+        (together / F.sqrt(variance("sx", "sxx") * variance("sy", "syy"))).alias("correlation"),
+    ).select("p.feature_1", "p.feature_2", "correlation")
 
 
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -180,9 +211,10 @@ def histogram(
 
 def boxplot_stats(df: DataFrame, features: list[str], by: str = "label") -> DataFrame:
     """(feature, by, q1, median, q3, whisker_lo, whisker_hi, n_outliers)."""
-    values = long_form(df, features, [by])
+    values = materialize(
+        long_form(df, features, [by]).groupBy("feature", by, "value").agg(F.count(F.lit(1)).alias("n")))
     # one row per (feature, class)
-    q = exact_quantiles(values, ["feature", by], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = exact_quantiles(values, ["feature", by], "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, weight="n")
     low = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     high = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("value") >= low) & (F.col("value") <= high)
@@ -191,7 +223,7 @@ def boxplot_stats(df: DataFrame, features: list[str], by: str = "label") -> Data
         .groupBy("feature", by, "q1", "median", "q3").agg(
             F.min(F.when(inside, F.col("value"))).alias("whisker_lo"),
             F.max(F.when(inside, F.col("value"))).alias("whisker_hi"),
-            F.count_if(~inside).alias("n_outliers"))
+            F.sum(F.when(inside, 0).otherwise(F.col("n"))).cast("long").alias("n_outliers"))
     )
 
 

@@ -411,6 +411,13 @@ add("correlation_matrix", [RAWN, NUMC], " UNION ALL ".join(corr(a, b) for a in _
     ["correlation"])
 add("label_correlation", [RAWN, NUMC], " UNION ALL ".join(
     f"SELECT '{a}' AS feature, corr({a}, label) AS correlation FROM nc" for a in NUM), ["correlation"])
+_all = STATIC_FEATURES + ["sub_to_view_velocity_ratio", "label"]
+add("feature_correlation",
+    [UP_ORD, GAPS, TIM, CH, TIMED] + DOC
+    + [STYLE, vocab(BY_STYLE, WORDS), SIM, features("n_videos_crawled", "n_videos_crawled"),
+       "fc AS (SELECT *, CASE WHEN subscriber_velocity > 0 AND vv > 0"
+       " THEN log10((subscriber_velocity + 1) / (vv + 1)) ELSE 0.0::DOUBLE END AS sub_to_view_velocity_ratio FROM f)"],
+    " UNION ALL ".join(corr(a, b, "fc") for i, a in enumerate(_all) for b in _all[i + 1:]), ["correlation"])
 _net = NUM + ["net_price"]
 add("high_corr_pairs",
     [RAWN, NUMC, "nx AS (SELECT *, l_extendedprice * (1 - l_discount) AS net_price FROM nc)"],

@@ -394,6 +394,14 @@ def correlation_matrix(spark, sf):
     return D.correlation_matrix(V.numeric_clean(spark, sf), V.NUMERIC + ["label"])
 
 
+@query
+def feature_correlation(spark, sf):
+    """All features and the label of the built table."""
+    features = B.build_features(
+        V.channels_ord(spark, sf), V.uploads_ord(spark, sf), V.titles_doc(spark, sf), V.AS_OF_ORDERS)
+    return D.correlation_pairs(materialize(features.select(*ALL_FEATURES, "label")), ALL_FEATURES + ["label"])
+
+
 @query
 def label_correlation(spark, sf):
     return D.label_correlation(V.numeric_clean(spark, sf), V.NUMERIC)
