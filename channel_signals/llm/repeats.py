@@ -63,7 +63,11 @@ def contexts(pos: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int, gram:
 
 
 def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, c, th, pos): gram hash, context hash, text and place; equal texts of a batch once."""
+    """(h, c, th, pos, more): gram hash, context hash, text and place; equal texts of a batch once.
+
+    Contexts that a text holds several times, as a repeated word does, are one row: `more` has
+    their other places as 32-bit integers, else it is null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,21 +80,30 @@ def anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 row = np.searchsorted(offsets, pos, side="right") - 1
                 start, end = contexts(pos, offsets[row], offsets[row + 1], length, gram)
                 c = range_hash(prefix_hash(data), start, end) ^ mix((pos - start + 1).astype(np.uint64))
+                place = (pos - offsets[row]).astype("<i4")
+                same = mix(h ^ mix(c ^ mix(row.astype(np.uint64))))
+                order = np.argsort(same, kind="stable")
+                begin = np.flatnonzero(np.concatenate([[True], same[order][1:] != same[order][:-1]]))
+                end = np.append(begin[1:], len(order))
+                one = order[begin]
+                more = [None] * len(one)
+                for i in np.flatnonzero(end - begin > 1):
+                    more[i] = place[order[begin[i] + 1:end[i]]].tobytes()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(keys[lo + row]),
-                    pa.array((pos - offsets[row]).astype(np.int32))], names=["h", "c", "th", "pos"])
+                    pa.array(h[one].view(np.int64)), pa.array(c[one].view(np.int64)), pa.array(keys[lo + row[one]]),
+                    pa.array(place[one]), pa.array(more, pa.binary())], names=["h", "c", "th", "pos", "more"])
 
-    return docs.select("th", "text").mapInArrow(run, "h long, c long, th long, pos int")
+    return docs.select("th", "text").mapInArrow(run, "h long, c long, th long, pos int, more binary")
 
 
 def judged(rows: DataFrame) -> DataFrame:
     """(th, code) of the anchors whose gram occurs again; code is 4 * pos + what is known."""
 
-    def flush(h, c, th, pos):
+    def flush(h, c, th, pos, many):
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
         new_c = new_h | np.concatenate([[True], c[1:] != c[:-1]])
         group, run_ = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
-        same = np.bincount(run_)[run_]
+        same = np.bincount(run_, 1 + many).astype(np.int64)[run_]
         kinds = np.bincount(group[new_c])[group]
         code = np.where(same > 1, WHOLE, ALONE)
         code[(same > 1) & new_c & (kinds > 1)] = CHOSEN
@@ -106,16 +119,24 @@ def judged(rows: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append([batch.column(i).to_numpy() for i in range(4)])
+            more = batch.column(4)
+            many = more.is_valid().to_numpy(zero_copy_only=False)
+            held.append([batch.column(i).to_numpy() for i in range(4)] + [many])
+            if many.any():  # these repeat, whatever else is known of the gram
+                at = np.flatnonzero(many)
+                places = [np.frombuffer(more[int(i)].as_py(), "<i4").astype(np.int64) for i in at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(held[-1][2][at], [len(p) for p in places])),
+                     pa.array(np.concatenate(places) * 4 + WHOLE)], names=["th", "code"])
             h = held[-1][0]
             cut = int(np.searchsorted(h, h[-1])) if h[0] <= h[-1] else 0
             if cut or (len(held) > 1 and held[-2][0][-1] != h[0]):
-                parts = [np.concatenate([x[i] for x in held[:-1]] + [held[-1][i][:cut]]) for i in range(4)]
+                parts = [np.concatenate([x[i] for x in held[:-1]] + [held[-1][i][:cut]]) for i in range(5)]
                 if len(parts[0]):
                     yield flush(*parts)
                 held = [[x[cut:] for x in held[-1]]]
         if held:
-            yield flush(*[np.concatenate([x[i] for x in held]) for i in range(4)])
+            yield flush(*[np.concatenate([x[i] for x in held]) for i in range(5)])
 
     return rows.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, "th long, code long")
 

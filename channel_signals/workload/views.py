@@ -50,7 +50,9 @@ def channels_ord(spark, sf) -> DataFrame:
 
 
 def documents(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents")
+    """Documents dealt out by id, as the table may be one row group: groupings by the id
+    that follow need no other exchange."""
+    return table(spark, sf, "documents").repartition("doc_id")
 
 
 def doc_lines(spark, sf) -> DataFrame:
