@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from channel_signals.llm.common import table
 from channel_signals.llm.html_main import main_text
+from channel_signals.llm.lattice_lm import lattice_scores
 from channel_signals.llm.merkle import fingerprints
 from channel_signals.llm.metric_join import metric_join
 from channel_signals.llm.mixing import mix
 from channel_signals.llm.ngram_join import ngram_join
 from channel_signals.llm.packing import pack, pieces
+from channel_signals.llm.prefix_trie import prefix_trie
 from channel_signals.llm.quality import quality
 from channel_signals.llm.repeats import remove_repeats
 from channel_signals.llm.secrets import find_secrets
 from channel_signals.llm.url_filter import url_verdicts
+from channel_signals.llm.vector_codes import vector_codes
 
 # The host and path rules.
 URL_RULES = (
@@ -26,10 +29,10 @@ URL_RULES = (
 LISTED_EVERY = 20
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +78,22 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_quality, op3_url_filter, op4_html, op5_secrets, op6_metric_join,
-    op7_merkle, op8_mixing, op9_packing, op10_ngram_join)}
+    op7_merkle, op8_mixing, op9_packing, op10_ngram_join, op11_lattice_lm, op12_prefix_trie,
+    op13_vector_codes)}
 
 SQL = {
     "op3_url_filter": """
