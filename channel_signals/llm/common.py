@@ -25,6 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(df: DataFrame, new: list[str]) -> Column:
+    """The columns of `df` that stay beside the `new` ones, as one struct `row`, so that no
+    name of a column meets a name used on the way. Names differ only where Spark's do."""
+    gone = {n.lower() for n in new}
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in gone]).alias("row")
+
+
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets into them) of a string column; null is empty."""
     if pa.types.is_large_string(column.type):

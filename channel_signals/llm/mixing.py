@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from channel_signals.llm.common import ranked
+from channel_signals.llm.common import carried, ranked
 from channel_signals.session import materialize
 
 WEIGHTS = (1, 2, 3)
@@ -112,11 +112,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
     The table of sources and their sizes is the mix's configuration and goes to the driver.
     Columns of `docs` under the new names are replaced.
     """
-    new = {"size", "source_size", "target", "copies", "taken"}
-    columns = [c for c in docs.columns if c not in new]
-    base = docs.select(*columns).withColumn("size", n_words(F.col("text").cast("string")))
-    key = [F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"), F.col("source").isNull().alias("_n")]
-    base = base.select("*", *key)
+    new = ["size", "source_size", "target", "copies", "taken"]
+    base = docs.select(
+        carried(docs, new), "doc_id", n_words(F.col("text").cast("string")).alias("size"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_s"), F.col("source").isNull().alias("_n"))
     lengths = materialize(base.groupBy("_s", "_n", "size").agg(F.count(F.lit(1)).alias("n")))
     sizes = lengths.groupBy("_s", "_n").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.max("n").alias("most")).collect()
     sizes = sorted(sizes, key=lambda r: (r["_n"], r["_s"]))
@@ -138,4 +137,4 @@ def mix(docs: DataFrame, weights=WEIGHTS, seed: int = SEED) -> DataFrame:
     out = out.join(plans.drop("n"), ["_s", "_n", "size"])
     copies = F.col("times") + (F.col("_rank") < F.col("extra")).cast("long")
     return out.withColumn("copies", copies).select(
-        *columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        "row.*", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

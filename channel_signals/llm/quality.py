@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from channel_signals.llm.common import mix, prefix_hash, range_hash, sampled, text_chunks, words_of
+from channel_signals.llm.common import carried, mix, prefix_hash, range_hash, sampled, text_chunks, words_of
 
 #: Documents, drawn by hash, on whose posterior labels the scorer is fitted.
 FIT_ROWS = 5000
@@ -241,8 +241,6 @@ def quality(docs: DataFrame, fit_rows: int = FIT_ROWS, keep_at: float = KEEP_AT)
     gives an empty one. Columns of `docs` under the new names are replaced.
     """
     new = ["votes", "posterior", "score", "kept"]
-    columns = [c for c in docs.columns if c not in new]
-    docs = docs.select(*columns)
     model = label_model(docs)
     weight = fit_scorer(docs, model, fit_rows)
 
@@ -263,5 +261,5 @@ def quality(docs: DataFrame, fit_rows: int = FIT_ROWS, keep_at: float = KEEP_AT)
         return pd.DataFrame({"votes": votes, "posterior": model.posterior(votes) if votes else [],
                              "score": np.concatenate(scores) if scores else []})
 
-    return docs.withColumn("_q", judge(F.col("text").cast("string"))).select(
-        *columns, "_q.votes", "_q.posterior", "_q.score", (F.col("_q.score") >= keep_at).alias("kept"))
+    return docs.select(carried(docs, new), judge(F.col("text").cast("string")).alias("judged")).select(
+        "row.*", "judged.votes", "judged.posterior", "judged.score", (F.col("judged.score") >= keep_at).alias("kept"))

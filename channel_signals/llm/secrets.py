@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from channel_signals.llm.common import sampled
+from channel_signals.llm.common import carried, sampled
 
 # The base patterns, their kinds in order, and the fewest characters.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -229,14 +229,15 @@ def find_secrets(docs: DataFrame, clean: bool = True, fit_rows: int = FIT_ROWS)
     base spans are found. Columns of `docs` under the new names are replaced.
     """
     new = ["n_assign", "n_access", "n_hex", "n_grammar", "base_sha256", "spans", "clean_text"]
-    columns = [c for c in docs.columns if c not in new]
-    docs = docs.select(*columns)
     automata = [infer(v) for _, v in sorted(labelled(docs, fit_rows).items())]
 
+    kept: list[Scanner] = []
+
     @F.arrow_udf(FOUND)
     def scan(texts: pa.Array) -> pa.Array:
-        scanner = Scanner(automata)
-        out = []
+        if not kept:
+            kept.append(Scanner(automata))  # one for all batches of a task
+        scanner, out = kept[0], []
         for value in texts:
             text = value.as_py()
             spans = scanner.spans(text or "")
@@ -247,5 +248,5 @@ def find_secrets(docs: DataFrame, clean: bool = True, fit_rows: int = FIT_ROWS)
         return pa.StructArray.from_arrays(
             [pa.array(c, t.type) for c, t in zip(zip(*out) if out else [[]] * 7, _TYPE)], fields=list(_TYPE))
 
-    return docs.withColumn("_s", scan(F.col("text").cast("string"))).select(
-        *columns, *[F.col(f"_s.{c}").alias(c) for c in new[:-1]], F.col("_s.clean").alias("clean_text"))
+    return docs.select(carried(docs, new), scan(F.col("text").cast("string")).alias("found")).select(
+        "row.*", *[f"found.{c}" for c in new[:-1]], F.col("found.clean").alias("clean_text"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from channel_signals.llm.common import carried
 from channel_signals.session import materialize
 
 #: (verdict, rule) with the rule as host/path.
@@ -76,12 +77,10 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: Rules) -> DataFrame
     Columns of `pages` under the new names are replaced.
     """
     new = ["host", "path", "rule", "verdict", "possible", "listed"]
-    names = [c for c in pages.columns if c not in new]
     url = F.col("url").cast("string")
-    parts = pages.select(*names).withColumns({"host": host_of(url), "path": path_of(url)})
+    parts = pages.select(carried(pages, new), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": rule, "_ruled": verdict, "_key": canonical(F.col("host"), F.col("path"))})
-    url = F.col("url").cast("string")
     known = materialize(listed.select(canonical(host_of(url), path_of(url)).alias("_key"))
                         .where("_key is not null").distinct())
     n = known.count()
@@ -97,4 +96,4 @@ def url_verdicts(pages: DataFrame, listed: DataFrame, rules: Rules) -> DataFrame
     rest = probed.where("not possible").withColumn("listed", F.lit(False))
     both = hits.withColumn("listed", F.coalesce("listed", F.lit(False))).select(*rest.columns).unionByName(rest)
     final = F.coalesce("_ruled", F.when(F.col("listed"), "block").otherwise("allow"))
-    return both.withColumn("verdict", final).select(*names, *new)
+    return both.withColumn("verdict", final).select("row.*", *new)
