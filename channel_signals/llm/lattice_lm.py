@@ -33,6 +33,10 @@ STEP = 1 << 16
 #: The end of a document among words, which are never empty.
 END = b""
 LN10 = np.log(10.0)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BITS = 17
+#: Masks that keep the first so many bytes of a little-endian word.
+_HEADS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def read_vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
@@ -77,73 +81,88 @@ class Lattice:
         for size in sorted({len(p) for p in pieces}):
             ids = np.array([i for i, p in enumerate(pieces) if len(p) == size])
             raw = np.frombuffer(b"".join(pieces[i] for i in ids), np.uint8).reshape(len(ids), size)
-            h = self._hash(raw)
+            h = np.zeros(len(raw), np.uint64)
+            for j in range(size):
+                h = h * _BASE + raw[:, j] + np.uint64(1)
             order = np.argsort(h)
-            self.by_length[size] = h[order], ids[order], raw[order]
+            # most windows are no piece: a table over a few bits of the hash says so at once
+            seen = np.zeros(1 << _BITS, bool)
+            seen[self._few(h)] = True
+            self.by_length[size] = h[order], ids[order], raw[order], seen
 
     @staticmethod
-    def _hash(raw: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(raw), np.uint64)
-        for j in range(raw.shape[1]):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + raw[:, j] + np.uint64(1)
-        return h
+    def _few(h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - _BITS)
 
     def edges(self, text: np.ndarray, lo: int, hi: int) -> np.ndarray:
         """ids[t - lo - 1, size - 1, word]: the piece of `size` bytes that ends at position t
-        in (lo, hi] of each row of `text`; `none` where there is none."""
+        in (lo, hi] of each column of `text`; `none` where there is none."""
         most = min(self.longest, hi)
-        ids = np.full((hi - lo, most, len(text)), self.none, np.int32)
-        for size, (h, own, raw) in self.by_length.items():
-            first = max(lo, size - 1)
-            if size > most or first >= hi:
-                continue
-            seen = np.zeros((len(text), hi - first), np.uint64)
-            for j in range(size):
-                at = first + 1 - size + j
-                seen = seen * np.uint64(0x9E3779B97F4A7C15) + text[:, at:at + hi - first] + np.uint64(1)
-            k = np.minimum(np.searchsorted(h, seen), len(h) - 1)
-            word, t = np.nonzero(h[k] == seen)
-            k = k[word, t]
-            # equal hashes are compared byte by byte
-            same = np.ones(len(k), bool)
-            for j in range(size):
-                same &= text[word, first + t + 1 - size + j] == raw[k, j]
-            ids[first - lo + t[same], size - 1, word[same]] = own[k[same]]
+        ids = np.full((hi - lo, most, text.shape[1]), self.none, np.int32)
+        window = np.zeros((hi - lo, text.shape[1]), np.uint64)
+        power = np.uint64(1)
+        with np.errstate(over="ignore"):
+            for size in range(1, most + 1):
+                # windows that end at positions from `first` on have begun inside the text
+                first = max(lo, size - 1)
+                window = window[first - lo - (hi - lo - len(window)):] if first >= lo else window
+                window = window + (text[first + 1 - size:hi + 1 - size] + np.uint64(1)) * power
+                power = power * _BASE
+                if size not in self.by_length:
+                    continue
+                h, own, raw, seen = self.by_length[size]
+                t, word = np.nonzero(seen[self._few(window)])
+                found = window[t, word]
+                k = np.minimum(np.searchsorted(h, found), len(h) - 1)
+                same = h[k] == found
+                t, word, k = t[same] + first, word[same], k[same]
+                # equal hashes are compared byte by byte
+                same = np.ones(len(k), bool)
+                for j in range(size):
+                    same &= text[t + 1 - size + j, word] == raw[k, j]
+                ids[t[same] - lo, size - 1, word[same]] = own[k[same]]
         return ids
 
     def forward(self, text: np.ndarray) -> np.ndarray:
         """alpha[t, word]: log probability of the first t bytes over all segmentations."""
-        n, width = text.shape
+        width, n = text.shape
         alpha = np.full((width + 1, n), -np.inf)
         alpha[0] = 0.0
         for lo, hi in self._blocks(n, width):
-            weight = self.logp[self.edges(text, lo, hi)]
-            for t in range(lo + 1, hi + 1):
-                size = min(t, weight.shape[1])
-                ways = alpha[t - size:t][::-1] + weight[t - lo - 1, :size]
-                alpha[t] = _log_sum(ways)
+            self._forward(alpha, self.edges(text, lo, hi), lo)
         return alpha
 
+    def _forward(self, alpha: np.ndarray, ids: np.ndarray, lo: int) -> None:
+        weight = self.logp[ids]
+        for i in range(len(ids)):
+            size = min(lo + i + 1, ids.shape[1])
+            alpha[lo + i + 1] = _log_sum(alpha[lo + i + 1 - size:lo + i + 1][::-1] + weight[i, :size])
+
     def counts(self, text: np.ndarray, length: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in words that occur `times` times, in STEPs."""
-        n, width = text.shape
-        alpha = self.forward(text)
+        width, n = text.shape
+        blocks = self._blocks(n, width)
+        alpha = np.full((width + 1, n), -np.inf)
+        alpha[0] = 0.0
+        for lo, hi in blocks:
+            ids = self.edges(text, lo, hi)
+            self._forward(alpha, ids, lo)
         whole = alpha[length, np.arange(n)]
         beta = np.full((width + 1, n), -np.inf)
         beta[length, np.arange(n)] = 0.0
         out = np.zeros(self.none, np.int64)
-        for lo, hi in reversed(self._blocks(n, width)):
-            ids = self.edges(text, lo, hi)
+        for lo, hi in reversed(blocks):
+            if len(blocks) > 1:
+                ids = self.edges(text, lo, hi)
+            weight = self.logp[ids]
             for t in range(hi, lo, -1):
                 size = min(t, ids.shape[1])
-                ways = self.logp[ids[t - lo - 1, :size]] + beta[t]
-                beta[t - size:t] = np.logaddexp(beta[t - size:t], ways[::-1])
-            for t in range(lo + 1, hi + 1):
-                size = min(t, ids.shape[1])
-                own = ids[t - lo - 1, :size]
-                k, word = np.nonzero((own != self.none) & np.isfinite(beta[t]))
-                post = np.exp(alpha[t - 1 - k, word] + self.logp[own[k, word]] + beta[t, word] - whole[word])
-                np.add.at(out, own[k, word], np.rint(post * STEP).astype(np.int64) * times[word])
+                beta[t - size:t] = np.logaddexp(beta[t - size:t], (weight[t - lo - 1, :size] + beta[t])[::-1])
+            t, k, word = np.nonzero(ids != self.none)
+            own = ids[t, k, word]
+            start, stop = lo + t - k, lo + t + 1
+            post = np.exp(alpha[start, word] + self.logp[own] + beta[stop, word] - whole[word])
+            np.add.at(out, own, np.rint(post * STEP).astype(np.int64) * times[word])
         return out
 
     def _blocks(self, n: int, width: int) -> list[tuple[int, int]]:
@@ -158,24 +177,27 @@ def _log_sum(ways: np.ndarray) -> np.ndarray:
         return safe + np.log(np.exp(ways - safe).sum(axis=0))
 
 
-def _padded(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(places in `words`, zero-padded bytes, lengths) of words of about one length, each led
-    by a space; the end, which is no word, is left out."""
-    size = np.array([len(w) for w in words], np.int64)
-    order = np.argsort(size, kind="stable")
-    order = order[size[order] > 0]
-    at = 0
-    while at < len(order):
-        width = size[order[at]] * 5 // 4 + 2
-        most = max(1, CELLS // (16 * int(width)))
-        end = min(at + most, int(np.searchsorted(size[order], width - 1, side="right")))
-        own = order[at:end]
-        text = np.zeros((len(own), int(size[own].max()) + 1), np.uint8)
-        for row, i in zip(text, own):
-            row[0] = 32
-            row[1:1 + size[i]] = np.frombuffer(words[i], np.uint8)
-        yield own, text, size[own] + 1
-        at = end
+def _padded(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places in the column, zero-padded bytes by position and word, lengths) of words of
+    about one length, each led by a space; the end, which is no word, is left out."""
+    for lo, _, data, at in text_chunks(column):
+        size = np.diff(at)
+        order = np.argsort(size, kind="stable")
+        order = order[size[order] > 0]
+        done = 0
+        while done < len(order):
+            width = int(size[order[done]]) * 5 // 4 + 2
+            most = max(1, CELLS // (16 * width))
+            end = min(done + most, int(np.searchsorted(size[order], width - 1, side="right")))
+            own = order[done:end]
+            length = size[own]
+            text = np.zeros((int(length.max()) + 1, len(own)), np.uint8)
+            text[0] = 32
+            row = np.repeat(np.arange(len(own)), length)
+            place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+            text[place + 1, row] = data[at[own][row] + place]
+            yield lo + own, text, length + 1
+            done = end
 
 
 def _lowered(data: np.ndarray) -> np.ndarray:
@@ -183,19 +205,31 @@ def _lowered(data: np.ndarray) -> np.ndarray:
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of every byte range, as two words."""
-    one = range_hash(prefix_hash(data), start, end)
-    two = range_hash(prefix_hash(data ^ np.uint8(0x5A)), start, end)
-    return one, mix(two * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+    """Two words that stand for every byte range: its first eight bytes, and its length or,
+    where it is longer, a hash of all of it. Short ranges are told apart exactly."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    head = np.lib.stride_tricks.sliding_window_view(padded, 8)[start].reshape(-1, 8).view("<u8").ravel()
+    head = head & _HEADS[np.minimum(size, 8)]
+    rest = size.astype(np.uint64)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        rest[long] = range_hash(prefix_hash(data), start[long], end[long]) | np.uint64(1 << 63)
+    return head, rest
 
 
 def _groups(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(order, starts of runs in it) that bring equal keys together; the last key leads."""
-    order = np.lexsort(keys)
-    fresh = np.ones(len(order), bool)
+    """(order, starts of runs in it) that bring equal rows of the keys together. Rows whose
+    mixed keys collide may fall into several runs, but never share one."""
+    mixed = np.zeros(len(keys[0]), np.uint64)
+    for k in keys:
+        mixed = mix(mixed * _BASE + k.astype(np.uint64))
+    order = np.argsort(mixed)
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
     for k in keys:
-        fresh[1:] &= k[order][1:] == k[order][:-1]
-    fresh[1:] = ~fresh[1:]
+        own = k[order]
+        fresh[1:] |= own[1:] != own[:-1]
     return order, np.flatnonzero(fresh)
 
 
@@ -256,8 +290,8 @@ def fit_pieces(words: DataFrame, pieces: list[bytes], weights: np.ndarray, round
             lattice = Lattice(*model.value)
             total = np.zeros(lattice.none, np.int64)
             for batch in frames:
-                times = np.array(batch.column(1).to_pylist(), np.int64)
-                for own, text, length in _padded(batch.column(0).to_pylist()):
+                times = batch.column(1).to_numpy()
+                for own, text, length in _padded(batch.column(0)):
                     total += lattice.counts(text, length, times[own])
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
@@ -298,9 +332,8 @@ def lattice_scores(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> Da
     def weigh(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*model.value)
         for batch in frames:
-            words = batch.column(0).to_pylist()
-            score = np.full(len(words), end_logp)
-            for own, text, length in _padded(words):
+            score = np.full(batch.num_rows, end_logp)
+            for own, text, length in _padded(batch.column(0)):
                 score[own] = lattice.forward(text)[length, np.arange(len(own))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(score / LN10)], names=["word", "n", "lattice"])
@@ -336,14 +369,15 @@ def lattice_scores(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> Da
 
 
 def _lookup(rows: list, rest: float) -> tuple[np.ndarray, ...]:
-    """Two hash words, base and lattice log10 of the frequent words, by the first hash."""
+    """Mixed key, both words of `_hashes`, base and lattice log10 of the frequent words."""
     data = np.frombuffer(b"".join(bytes(r["word"]) for r in rows), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(r["word"]) for r in rows])]).astype(np.int64)
-    one, two = _hashes(data, at[:-1], at[1:])
+    head, tail = _hashes(data, at[:-1], at[1:])
     n = np.array([r["n"] for r in rows], float)
     lattice = np.array([r["lattice"] for r in rows], float)
-    order = np.argsort(one)
-    return one[order], two[order], np.log10((n + 0.1) / rest)[order], lattice[order]
+    key = mix(head * _BASE + tail)
+    order = np.argsort(key)
+    return key[order], head[order], tail[order], np.log10((n + 0.1) / rest)[order], lattice[order]
 
 
 def _looked_up(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, table: tuple, end: tuple) -> pa.RecordBatch:
@@ -356,20 +390,22 @@ def _looked_up(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, tab
     base, lattice = np.full(rows, end[1]), np.full(rows, end[2])
     left = np.ones(len(start), bool)
     if len(table[0]) and len(start):
-        k = np.minimum(np.searchsorted(table[0], one), len(table[0]) - 1)
-        left = (table[0][k] != one) | (table[1][k] != two)
+        k = np.minimum(np.searchsorted(table[0], mix(one * _BASE + two)), len(table[0]) - 1)
+        left = (table[1][k] != one) | (table[2][k] != two)
         hit, k = row[~left], k[~left]
         known = known + np.bincount(hit, minlength=rows)
-        base += np.bincount(hit, table[2][k], rows)
-        lattice += np.bincount(hit, table[3][k], rows)
+        base += np.bincount(hit, table[3][k], rows)
+        lattice += np.bincount(hit, table[4][k], rows)
     start, stop, row = start[left], stop[left], row[left]
     order, first = _groups([one[left], two[left], row])
     n = np.diff(np.append(first, len(order)))
     own = order[first]
     start, stop, row = start[own], stop[own], row[own]
-    heads = np.ones(len(row), bool)
-    heads[1:] = row[1:] != row[:-1]
-    alone = np.setdiff1d(np.arange(rows), row)
+    lead = np.full(rows, -1)
+    lead[row[::-1]] = np.arange(len(row))[::-1]
+    heads = np.zeros(len(row), bool)
+    heads[lead[lead >= 0]] = True
+    alone = np.flatnonzero(lead < 0)
     ids = np.array(batch.column(0))
     keys = b"".join(b" %020d" % i for i in ids[alone])
     at = len(data) + 21 * np.arange(len(alone))

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from channel_signals.llm import lattice_lm as lm
@@ -50,7 +51,7 @@ def test_vocabulary(pieces):
 def test_forward_is_the_sum_over_segmentations(pieces, word):
     names, weights = pieces
     lattice = lm.Lattice(names, np.log(weights))
-    _, text, length = next(lm._padded([word.encode()]))
+    _, text, length = next(lm._padded(pa.array([word.encode()])))
     want = marginal(word.encode(), dict(zip(names, weights)))
     assert lattice.forward(text)[length[0], 0] == pytest.approx(math.log(want), rel=1e-12)
 
@@ -59,7 +60,7 @@ def test_expected_uses_of_pieces():
     names = [b" ", b"a", b"b", b"ab", b" a"]
     shares = np.array([0.2, 0.3, 0.2, 0.1, 0.2])
     lattice = lm.Lattice(names, np.log(shares))
-    _, text, length = next(lm._padded([b"ab"]))
+    _, text, length = next(lm._padded(pa.array([b"ab"])))
     # " |a|b" 0.012, " |ab" 0.02, " a|b" 0.04
     got = lattice.counts(text, length, np.array([1000])) / lm.STEP / 1000
     whole = 0.012 + 0.02 + 0.04
@@ -74,7 +75,7 @@ def test_blocks_of_cells_change_nothing(pieces, monkeypatch):
 
     def run():
         out = []
-        for own, text, length in lm._padded(words):
+        for own, text, length in lm._padded(pa.array(words)):
             out.append((own.tolist(), lattice.forward(text)[length, np.arange(len(own))].tolist(),
                         lattice.counts(text, length, np.ones(len(own), np.int64))))
         return sorted(out, key=lambda x: x[0])
@@ -135,7 +136,7 @@ def test_scores(spark, monkeypatch, share):
         text = next(t for i, t, *_ in rows if i == r.doc_id and len(tokens(t)) == r.n_tokens)
         own = [t.encode() for t in tokens(text)[:-1]]
         whole = end
-        for _, cells, length in lm._padded(own):
+        for _, cells, length in lm._padded(pa.array(own, pa.binary())):
             whole += lattice.forward(cells)[length, np.arange(len(length))].sum() / lm.LN10
         assert r.score == pytest.approx(whole, rel=1e-9)
 
