@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -20,20 +23,20 @@ from channel_signals.session import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: Entries of a worker's memo; when it is full, only parts of so many characters stay.
-MEMO_WORDS, SHORT = 1_200_000, 8
-_ODD_SPACE = re.compile(r" (?:(?<=\s )|(?=\s|$))")
-#: Where a pre-token always ends: a letter before a mark or line end, one line end before a word.
-_INNER = re.compile(r"(?<=[^\W\d_])(?=[.,\n])|(?<=\S\n)(?=\S)")
+#: Runs of white space of this length go to the general encoder, whose memory they don't exhaust.
+_LONG_SPACE = re.compile(r"\s{500}")
+#: The pre-token pattern of byte-level vocabularies (a fixed value).
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class _Encoder:
-    """Ids of texts as little-endian 32-bit bytes.
+    """Ids of texts as little-endian 32-bit bytes, as `tokenizers` gives them.
 
-    A single space before a visible character always begins a new pre-token of the
-    byte-level vocabulary, so a text falls into parts there, new parts fall apart once
-    more, and the ids of parts are remembered. Texts with other spaces are encoded whole.
+    Where the file is a plain byte-level vocabulary whose merges are numbered in their order,
+    `tiktoken` merges by the same ranks in a quarter of the time; special tokens are ordinary
+    text to both. Any other file, and texts with very long white space, go to `tokenizers`.
+    Nothing is remembered from text to text.
     """
 
     def __init__(self, path: str):
@@ -41,29 +44,40 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.ranks = _merge_ranks(path)
 
-    def raw(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def raw(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not text or _ODD_SPACE.search(text):
-            return self.raw([text])[0]
-        parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-        if parts is None:
-            return self.raw([text])[0]
-        missing = set(parts).difference(self.memo)
-        if missing:
-            if len(self.memo) + 3 * len(missing) > MEMO_WORDS:
-                short = {k: v for k, v in self.memo.items() if len(k) <= SHORT}
-                self.memo = short if len(short) < MEMO_WORDS // 2 else {}
-                missing = set(parts).difference(self.memo)
-            inner = {w: _INNER.split(w) for w in missing}
-            fresh = list({x for v in inner.values() for x in v}.difference(self.memo))
-            self.memo.update(zip(fresh, self.raw(fresh)))
-            self.memo.update((w, b"".join(map(self.memo.__getitem__, v))) for w, v in inner.items() if len(v) > 1)
-        return b"".join(map(self.memo.__getitem__, parts))
+        if self.ranks is None or _LONG_SPACE.search(text):
+            return self.raw(text)
+        return array("I", self.ranks.encode_ordinary(text)).tobytes()
+
+
+def _merge_ranks(path: str):
+    """The vocabulary at `path` for tiktoken, or None where ranks can't stand for it."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = (model.get("type", "BPE") == "BPE" and not spec.get("normalizer") and before.get("type") == "ByteLevel"
+             and before.get("use_regex", True) and not before.get("add_prefix_space")
+             and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")))
+    if not plain or sys.byteorder != "little" or array("I").itemsize != 4:
+        return None
+    # printable bytes stand for themselves, the others follow from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    back = {chr(b): b for b in shown}
+    back |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    added = {t["content"] for t in spec.get("added_tokens", ())}
+    vocabulary = {t: i for t, i in model["vocab"].items() if t not in added}
+    merged = [vocabulary.get("".join(m) if isinstance(m, list) else m.replace(" ", "")) for m in model["merges"]]
+    if any(c not in back for t in vocabulary for c in t) or merged != sorted(x for x in merged if x is not None):
+        return None
+    return tiktoken.Encoding("ranks", pat_str=_PATTERN, special_tokens={}, mergeable_ranks={
+        bytes(back[c] for c in t): i for t, i in vocabulary.items()})
 
 
 @lru_cache(1)

@@ -367,14 +367,36 @@ def test_packing(docs, none):
 
 @pytest.mark.parametrize("text", [
     "a  b", "a\n b", " a", "a ", "x².y, it's, I'll,\n\nQ .\n.Z", "", "\n", "don't. 'S,\nIt", "é,ñ\nß.  x y", "a,\nb\n\nc\nd", "1,2.3\n4",
-    "<|endoftext|> a<|endoftext|>, b", "tab\there,   x. y", "\0 null\0, z"])
-def test_encoder_in_parts_is_exact(text):
+    "<|endoftext|> a<|endoftext|>, b", "tab\there,   x. y", "\0 null\0, z", " " * 70_000 + "x", "ab" * 60_000])
+def test_encoder_gives_the_ids_of_tokenizers(text):
+    plain = plain_tokenizer()
+    got = np.frombuffer(packing._Encoder(tokenizer_path()).encode(text), "<u4").tolist()
+    assert got == plain.encode(text, add_special_tokens=False).ids
+
+
+def plain_tokenizer():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(tokenizer_path())
     plain.encode_special_tokens = True
-    got = np.frombuffer(packing._Encoder(tokenizer_path()).encode(text), "<u4").tolist()
-    assert got == plain.encode(text, add_special_tokens=False).ids
+    return plain
+
+
+def test_encoder_agrees_on_every_character():
+    """Each code point beside letters, digits, spaces and itself."""
+    encoder, plain = packing._Encoder(tokenizer_path()), plain_tokenizer()
+    assert encoder.ranks is not None
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"a{chr(c)}b {chr(c)} {chr(c)}1{chr(c)} '{chr(c)}" for c in points[i:i + 64]) for i in range(0, len(points), 64)]
+    for lo in range(0, len(texts), 512):
+        for text, e in zip(texts[lo:lo + 512], plain.encode_batch_fast(texts[lo:lo + 512], add_special_tokens=False)):
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == e.ids
+
+
+def test_other_vocabularies_go_to_tokenizers():
+    encoder = packing._Encoder(tokenizer_path("word_bpe_49k.json"))
+    assert encoder.ranks is None
+    assert len(encoder.encode("Two words")) == 8
 
 
 def brute_links(rows, threshold=0.8):
