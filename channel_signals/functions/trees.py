@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 
@@ -18,22 +20,32 @@ def expected_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
 
 
-def tree_steps(values: np.ndarray, rng: np.random.Generator, limit: int):
+def fraction(seed: int, tree: int, node: int) -> float:
+    """A number in [0, 1) that only the seed, the tree and the node decide."""
+    return int(hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()[:12], 16) / (1 << 48)
+
+
+def tree_steps(values: np.ndarray, draw: Callable[[int], float], limit: int):
     """One random tree over sorted values, as breakpoints with the change of path length
-    from each breakpoint on."""
+    from each breakpoint on.
+
+    Node i splits at the share draw(i) of its range and has the children 2i, for values up to
+    the cut, and 2i + 1.
+    """
     edges, paths = [], []
-    # (first value, end, depth, where the node's range starts), leftmost node last
-    stack = [(0, len(values), 0, -np.inf)]
+    # (node, first value, end, depth, where the node's range starts), leftmost node last
+    stack = [(1, 0, len(values), 0, -np.inf)]
     while stack:
-        lo, hi, depth, start = stack.pop()
+        node, lo, hi, depth, start = stack.pop()
         low, high = values[lo], values[hi - 1]
         if hi - lo <= 1 or depth >= limit or low == high:
             edges.append(start)
             paths.append(depth + expected_path(hi - lo))
             continue
-        cut = min(rng.uniform(low, high), np.nextafter(high, -np.inf))
+        cut = low + (high - low) * draw(node)
+        cut = cut if cut < high else low
         mid = lo + int(np.searchsorted(values[lo:hi], cut, side="right"))
         # values up to the cut go left, so the right side starts just above it
-        stack.append((mid, hi, depth + 1, np.nextafter(cut, np.inf)))
-        stack.append((lo, mid, depth + 1, start))
+        stack.append((2 * node + 1, mid, hi, depth + 1, np.nextafter(cut, np.inf)))
+        stack.append((2 * node, lo, mid, depth + 1, start))
     return edges, np.diff(paths, prepend=0.0)

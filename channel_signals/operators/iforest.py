@@ -1,8 +1,13 @@
 """Isolation forest over one numeric column (Liu, Ting & Zhou, 2008), as an Estimator.
 
-In one dimension a tree is a step function, and so is the forest. Fitting draws a
-bounded sample, grows the trees in tasks, and adds their steps up to one table of at
-most trees x sample breakpoints. Scoring is a binary search in that table, on the JVM.
+In one dimension a tree is a step function, and so is the forest. Fitting draws a sample
+for every tree, grows the trees in tasks, and adds their steps up to one table of at most
+trees x sample breakpoints. Scoring is a binary search in that table, on the JVM.
+
+Every draw is a hash. A row has one digest of the seed and its key, cut into two numbers
+(u, v); its rank for tree t is (u + t v) modulo a prime, and a tree takes the rows of lowest
+rank. A node cuts at a share of its range that the seed, the tree and the node decide. So a
+forest is a pure function of its rows and the seed, whatever their order and partitions.
 """
 
 from __future__ import annotations
@@ -20,16 +25,18 @@ from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
     MLReadable, MLReader, MLWritable, MLWriter,
 )
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from channel_signals.constants import (
     FOREST_CONTAMINATION, FOREST_SAMPLE, FOREST_TREES, SEED,
 )
-from channel_signals.functions.trees import expected_path, tree_steps
+from channel_signals.functions.trees import expected_path, fraction, tree_steps
 from channel_signals.session import materialize
 
 MIN_RAW_INTERVALS = 10
+#: Ranks of rows are numbers below this prime; the digits they come from are just as many.
+RANK_PRIME = 281_474_976_710_597
 
 
 class _ForestParams(Params):
@@ -68,56 +75,71 @@ class IntervalForest(Estimator, _ForestParams, DefaultParamsReadable, DefaultPar
         self._set(**self._input_kwargs)
 
     def _values(self, df: DataFrame) -> DataFrame:
-        """(value, key parts) rows of either input form."""
+        """(value, row) of either input form; `row` is the text of the row's key."""
         name = self._get("inputCol")
         keys = [F.col(k) for k in self._get("keyCols") if k in df.columns and k != name]
         if not keys:
             raise ValueError(f"the sample needs a column that tells rows apart: {self._get('keyCols')}")
         if dict(df.dtypes)[name].startswith("array"):
-            out = df.select(*keys, F.posexplode(name).alias("_i", "value"))
+            out = df.select(*[k.cast("string") for k in keys], F.posexplode(name).alias("_i", "value"))
+            keys = [*keys, F.col("_i")]
         else:
-            out = df.select(*keys, F.lit(0).alias("_i"), F.col(name).alias("value"))
-        return out.where(F.col("value").isNotNull() & ~F.isnan("value"))
-
-    def _sample(self, values: DataFrame) -> np.ndarray:
-        """The rows of lowest hash: numTrees x sampleSize of them at most, whatever the
-        input size. Each task keeps its lowest rows, the driver the lowest of those."""
-        pool = self._get("numTrees") * self._get("sampleSize")
-        keys = [c for c in values.columns if c != "value"]
-        hashed = values.select(
-            "value", F.xxhash64(F.lit(self._get("seed")), *keys, "value").alias("h"))
-        rows = hashed.orderBy("h", "value").limit(pool).select("value").collect()
-        return np.array([r[0] for r in rows], dtype=float)
+            out = df.withColumn("value", F.col(name))
+        row = F.concat_ws(":", *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+        return out.where(F.col("value").isNotNull() & ~F.isnan("value")).select(
+            F.col("value").cast("double").alias("value"), row.alias("row"))
+
+    def _sample(self, values: DataFrame, n: int) -> DataFrame:
+        """(tree, value): the sampleSize rows of lowest rank for each tree.
+
+        A row is only explored for the trees whose rank is low enough to be among about
+        sampleSize of `n`; where a tree finds too few, the bound is doubled.
+        """
+        trees, size = self._get("numTrees"), min(self._get("sampleSize"), n)
+        digest = F.md5(F.concat_ws(":", F.lit(str(self._get("seed"))), "row"))
+
+        def number(at: int) -> Column:
+            return F.conv(F.substring("h", at, 12), 16, 10).cast("long")
+
+        hashed = values.select("value", digest.alias("h")).select("value", "h", number(1).alias("u"), number(13).alias("v"))
+        bound = (size + 8 * math.sqrt(size) + 16) / n
+        order = Window.partitionBy("tree").orderBy("rank", "h", "value")
+        while True:
+            below = F.lit(RANK_PRIME if bound >= 1 else int(bound * RANK_PRIME))
+            low = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+                t.alias("tree"), ((F.col("u") + t.cast("long") * F.col("v")) % RANK_PRIME).alias("rank")))
+            picked = hashed.select("value", "h", F.explode(F.filter(low, lambda r: r.rank < below)).alias("r")).select(
+                "value", "h", "r.tree", "r.rank")
+            sample = materialize(picked.withColumn("_at", F.row_number().over(order)).where(
+                F.col("_at") <= size).select("tree", "value"))
+            if bound >= 1 or sample.count() == trees * size:
+                return sample
+            bound *= 2
 
     def _fit(self, df: DataFrame) -> "IntervalForestModel":
-        # read for its size, its sample and its offset
-        values = materialize(self._values(df))
+        """Reads `df` three times, for its size, its samples and its offset: hand over a table."""
+        values = self._values(df)
         n = values.count()
         empty = n == 0 or (self._get("mode") == "raw" and n < MIN_RAW_INTERVALS)
         if empty:
             return self._copyValues(IntervalForestModel([-math.inf, math.inf], [0.0], 0.0, True))
-        pool = self._sample(values)
-        splits, scores = self._grow(df.sparkSession, pool)
+        splits, scores = self._grow(self._sample(values, n), min(self._get("sampleSize"), n))
         model = IntervalForestModel(splits, scores, 0.0, False)
-        model.offset = self._offset(model._bucketed(values, "value"), scores, n)
+        if self._get("mode") == "decision":
+            model.offset = self._offset(model._bucketed(values, "value"), scores, n)
         return self._copyValues(model)
 
-    def _grow(self, spark, pool: np.ndarray):
+    def _grow(self, sample: DataFrame, size: int):
         trees, seed = self._get("numTrees"), self._get("seed")
-        size = min(self._get("sampleSize"), len(pool))
         limit = math.ceil(math.log2(max(size, 2)))
 
-        def grow(batches):
-            for batch in batches:
-                for tree in batch["id"]:
-                    rng = np.random.default_rng([seed, int(tree)])
-                    picked = np.sort(rng.choice(pool, size=size, replace=False))
-                    edge, delta = tree_steps(picked, rng, limit)
-                    yield pd.DataFrame({"edge": edge, "delta": delta})
-
-        tasks = min(trees, spark.sparkContext.defaultParallelism)
-        steps = spark.range(0, trees, 1, tasks).mapInPandas(
-            grow, "edge double, delta double")
+        def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            values = np.sort(rows["value"].to_numpy())
+            edge, delta = tree_steps(values, lambda node: fraction(seed, key[0], node), limit)
+            return pd.DataFrame({"edge": edge, "delta": delta})
+
+        # a tree is a group of at most sampleSize rows
+        steps = sample.groupBy("tree").applyInPandas(grow, "edge double, delta double")
         # at most trees x sample distinct edges
         path = F.sum("delta").over(Window.partitionBy(F.lit(0)).orderBy("edge").rowsBetween(
             Window.unboundedPreceding, Window.currentRow))

@@ -7,15 +7,14 @@ training channels only, and a Spark ML pipeline over the feature columns.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channel_signals import constants as C
@@ -23,26 +22,19 @@ from channel_signals.operators import metrics as M
 from channel_signals.operators import prep as P
 from channel_signals.operators.iforest import IntervalForest, IntervalForestModel
 from channel_signals.operators.kernel import RandomFourierFeatures
-from channel_signals.session import materialize
-
-
-def _vector_stages(columns: list[str]) -> list:
-    filled = [f"{c}__filled" for c in columns]
-    return [
-        Imputer(strategy="median", inputCols=columns, outputCols=filled, relativeError=1e-4),
-        VectorAssembler(inputCols=filled, outputCol="_raw"),
-        StandardScaler(withMean=True, inputCol="_raw", outputCol="features"),
-    ]
+from channel_signals.operators.scaling import MedianImputer, PopulationScaler
+from channel_signals.session import in_parallel, materialize
 
 
 def _as_double(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
-def _with_values(df: DataFrame, columns: list[str]) -> list[str]:
-    """Columns that have a value at all; the others have no median and say nothing."""
-    row = df.agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first()
-    return [c for c in columns if row[c] > 0]
+def tagged_intervals(intervals: DataFrame, channels: DataFrame, key: str = "channel_id") -> DataFrame:
+    """The intervals of the given channels, beside the channel's other columns (its fold, say),
+    written once: fits and scores then read their share of this table."""
+    named = channels.withColumnRenamed(key, "channel_id") if key != "channel_id" else channels
+    return materialize(intervals.select("channel_id", "seq", "days").join(named, "channel_id"))
 
 
 def random_forest(trees: int = C.RF_TREES, depth: int = C.RF_DEPTH, balanced: bool = True,
@@ -64,25 +56,39 @@ class ChannelClassifier:
     @classmethod
     def fit(cls, df: DataFrame, columns: list[str], intervals: DataFrame | None = None,
             stages: list | None = None, key: str = "channel_id") -> "ChannelClassifier":
-        """`stages` end in a classifier over the vector column `features`."""
+        """`stages` end in a classifier over the vector column `features`. The forest sees the
+        intervals of the channels in `df` alone."""
+        if C.ANOMALY_COLUMN in columns:
+            intervals = tagged_intervals(intervals, df.select(key), key)
+        return cls._fit_on(df, columns, intervals, stages)
+
+    @classmethod
+    def _fit_on(cls, df: DataFrame, columns: list[str], theirs: DataFrame | None,
+                stages: list | None = None) -> "ChannelClassifier":
+        """Like `fit`; `theirs` is a stored table of just the intervals of `df`'s channels."""
         stages = stages or [random_forest()]
         forest = None
         if C.ANOMALY_COLUMN in columns:
-            theirs = intervals.join(
-                df.select(F.col(key).alias("channel_id")), "channel_id", "left_semi")
             forest = IntervalForest().fit(theirs)
             df = forest.score_channels(df, theirs)
         ready = P.with_class_weight(_as_double(P.sentinel_to_null(df), columns))
         # the trees read their input once per level: cut the feature plan off first
         ready = materialize(ready.select("label", "weight", *columns))
-        used = _with_values(ready, columns)
-        return cls(used, forest, Pipeline(stages=_vector_stages(used) + stages).fit(ready))
+        # columns without a value have no median and say nothing
+        imputer = MedianImputer(inputCols=columns).fit(ready)
+        rest = Pipeline(stages=[PopulationScaler(inputCols=imputer.outputs()), *stages]).fit(imputer.transform(ready))
+        return cls(list(imputer.rows), forest, PipelineModel([imputer, *rest.stages]))
+
+    def predict(self, df: DataFrame, intervals: DataFrame | None = None, key: str = "channel_id") -> DataFrame:
+        """`df` with p1 and prediction (p1 >= 0.5). Only intervals of its channels are scored."""
+        if self.forest is not None:
+            intervals = intervals.join(df.select(F.col(key).alias("channel_id")), "channel_id", "left_semi")
+        return self._predict_on(df, intervals)
 
-    def predict(self, df: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
-        """`df` with p1 and prediction (p1 >= 0.5)."""
+    def _predict_on(self, df: DataFrame, theirs: DataFrame | None) -> DataFrame:
         kept = df.columns
         if self.forest is not None:
-            df = self.forest.score_channels(df, intervals)
+            df = self.forest.score_channels(df, theirs)
         inputs = _as_double(P.sentinel_to_null(df), self.columns)
         out = self.model.transform(inputs)
         if "probability" in out.columns:
@@ -120,16 +126,41 @@ class ChannelClassifier:
         return cls([r["feature"] for r in rows], forest, PipelineModel.load(f"{path}/pipeline"))
 
 
+def _dealt(train: DataFrame, intervals: DataFrame | None, columns: list[str], key: str, folds: int,
+           others: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The training rows with their fold, and one stored table of their intervals by fold.
+
+    Channels of `others` come without a fold."""
+    dealt = materialize(P.stratified_folds(train, key, folds=folds))
+    if C.ANOMALY_COLUMN not in columns:
+        return dealt, None
+    tags = dealt.select(key, "fold")
+    if others is not None:
+        tags = tags.unionByName(others.select(key, F.lit(None).cast("int").alias("fold")))
+    return dealt, tagged_intervals(intervals, tags, key)
+
+
+def _where(tagged: DataFrame | None, condition: Column) -> DataFrame | None:
+    return None if tagged is None else tagged.where(condition).drop("fold")
+
+
+def _fold_predictions(dealt: DataFrame, tagged: DataFrame | None, columns: list[str], stages: list | None,
+                      k: int) -> DataFrame:
+    """Predictions of fold k by a classifier that has seen the other folds alone."""
+    inside = F.col("fold") == k
+    fitted = ChannelClassifier._fit_on(dealt.where(~inside), columns, _where(tagged, ~inside), stages)
+    return materialize(fitted._predict_on(dealt.where(inside), _where(tagged, inside)))
+
+
 def cross_validate(train: DataFrame, columns: list[str], intervals: DataFrame | None = None,
-                   stages: list | None = None, key: str = "channel_id", folds: int = C.FOLDS) -> DataFrame:
+                   stages: list | None = None, key: str = "channel_id", folds: int = C.FOLDS,
+                   threads: int = C.FOLDS) -> DataFrame:
     """Out-of-fold predictions with their `fold`. Everything fitted, the interval forest
-    included, sees only the other folds."""
-    dealt = materialize(P.stratified_folds(train, key, folds=folds))
-    parts = []
-    for k in range(folds):
-        fitted = ChannelClassifier.fit(
-            dealt.where(F.col("fold") != k), columns, intervals, stages, key)
-        parts.append(fitted.predict(dealt.where(F.col("fold") == k), intervals))
+    included, sees only the other folds. Intervals are written once with the fold of their
+    channel, and the folds are fitted at the same time."""
+    dealt, tagged = _dealt(train, intervals, columns, key, folds)
+    parts = in_parallel(train.sparkSession, [
+        partial(_fold_predictions, dealt, tagged, columns, stages, k) for k in range(folds)], threads)
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -142,17 +173,26 @@ class TrainingResult:
 
 
 def train(df: DataFrame, columns: list[str], intervals: DataFrame | None = None,
-          stages: list | None = None, key: str = "channel_id", folds: int = C.FOLDS) -> TrainingResult:
+          stages: list | None = None, key: str = "channel_id", folds: int = C.FOLDS,
+          sparse: list[str] = (), sparse_at: float = 0.9, threads: int = C.FOLDS + 1) -> TrainingResult:
     """Split, cross-validate on the training part, refit on it, evaluate on the test part.
 
-    `metrics` is one row: cv_* and test_* and the health flags.
+    `metrics` is one row: cv_* and test_* and the health flags. Columns of `sparse` that are
+    missing in more than `sparse_at` of the genuine rows are left out of the model. All fits
+    read one stored table of intervals, tagged with folds.
     """
+    columns = P.drop_sparse(P.sentinel_to_null(df), columns, list(sparse), sparse_at)
     split = materialize(P.stratified_split(df, key))
     train_rows = split.where(~F.col("is_test")).drop("is_test")
     test_rows = split.where("is_test").drop("is_test")
-    cv = materialize(cross_validate(train_rows, columns, intervals, stages, key, folds))
-    fitted = ChannelClassifier.fit(train_rows, columns, intervals, stages, key)
-    test = materialize(fitted.predict(test_rows, intervals))
+    dealt, tagged = _dealt(train_rows, intervals, columns, key, folds, test_rows)
+    trained, tested = (None, None) if tagged is None else (
+        tagged.where("fold is not null").drop("fold"), tagged.where("fold is null").drop("fold"))
+    fits = [partial(_fold_predictions, dealt, tagged, columns, stages, k) for k in range(folds)]
+    fits.append(partial(ChannelClassifier._fit_on, dealt.drop("fold"), columns, trained, stages))
+    *parts, fitted = in_parallel(df.sparkSession, fits, threads)
+    cv = reduce(DataFrame.unionByName, parts)
+    test = materialize(fitted._predict_on(test_rows, tested))
     t = M.binary_metrics(test).select(
         *[F.col(m).alias(f"test_{m}") for m in ("accuracy", "precision", "recall", "f1")],
         *[F.col(m) for m in ("tn", "fp", "fn", "tp")])
@@ -178,25 +218,44 @@ def comparison_models(df: DataFrame, columns: list[str]) -> dict[str, list]:
     }
 
 
-def compare_models(df: DataFrame, columns: list[str] = C.ALL_FEATURES,
-                   key: str = "channel_id", models=None, folds: int = C.FOLDS) -> DataFrame:
-    """(Model, Accuracy, Precision, Recall, F1, CV F1 Mean, CV F1 Std), rounded to four
-    places, the best F1 first."""
+def model_predictions(df: DataFrame, columns: list[str] = C.ALL_FEATURES, key: str = "channel_id",
+                      models=None, folds: int = C.FOLDS, threads: int = 8) -> DataFrame:
+    """Out-of-fold predictions (with `fold`) and test predictions (without) of every model, as
+    (Model, key, label, fold, p1, prediction). Rows are dealt once, and the fits of all models
+    and folds run at the same time."""
     split = materialize(P.stratified_split(df, key))
     train_rows = split.where(~F.col("is_test")).drop("is_test")
     test_rows = split.where("is_test").drop("is_test")
-    parts = []
+    dealt, _ = _dealt(train_rows, None, columns, key, folds)
+
+    def tested(stages: list) -> DataFrame:
+        fitted = ChannelClassifier._fit_on(dealt.drop("fold"), columns, None, stages)
+        return materialize(fitted._predict_on(test_rows, None).withColumn("fold", F.lit(None).cast("int")))
+
+    jobs, names = [], []
     for name, stages in (models or comparison_models(train_rows, columns)).items():
-        cv = cross_validate(train_rows, columns, None, stages, key, folds)
-        f1 = M.binary_metrics(cv, ["fold"]).agg(
-            F.avg("f1").alias("CV F1 Mean"), F.stddev_pop("f1").alias("CV F1 Std"))
-        fitted = ChannelClassifier.fit(train_rows, columns, None, stages, key)
-        t = M.binary_metrics(fitted.predict(test_rows))
-        parts.append(M.one_row(t, f1).select(
-            F.lit(name).alias("Model"),
-            *[F.round(c.lower(), 4).alias(c) for c in ("Accuracy", "Precision", "Recall", "F1")],
-            *[F.round(c, 4).alias(c) for c in ("CV F1 Mean", "CV F1 Std")]))
-    return reduce(DataFrame.unionByName, parts).orderBy(F.desc("F1"), "Model")
+        jobs += [partial(tested, stages), *[partial(_fold_predictions, dealt, None, columns, stages, k) for k in range(folds)]]
+        names += [name] * (folds + 1)
+    parts = in_parallel(df.sparkSession, jobs, threads)
+    return reduce(DataFrame.unionByName, [
+        p.select(F.lit(n).alias("Model"), key, "label", "fold", "p1", "prediction") for n, p in zip(names, parts)])
+
+
+def comparison(pred: DataFrame) -> DataFrame:
+    """(Model, Accuracy, Precision, Recall, F1, CV F1 Mean, CV F1 Std), rounded to four places,
+    the best F1 first, from predictions of all models."""
+    cv = M.binary_metrics(pred.where("fold is not null"), ["Model", "fold"]).groupBy("Model").agg(
+        F.avg("f1").alias("CV F1 Mean"), F.stddev_pop("f1").alias("CV F1 Std"))
+    test = M.binary_metrics(pred.where("fold is null"), ["Model"])
+    return test.join(cv, "Model", "left").select(
+        "Model", *[F.round(c.lower(), 4).alias(c) for c in ("Accuracy", "Precision", "Recall", "F1")],
+        *[F.round(c, 4).alias(c) for c in ("CV F1 Mean", "CV F1 Std")]).orderBy(F.desc("F1"), "Model")
+
+
+def compare_models(df: DataFrame, columns: list[str] = C.ALL_FEATURES,
+                   key: str = "channel_id", models=None, folds: int = C.FOLDS) -> DataFrame:
+    """The leaderboard of `comparison` for four models, or the given ones."""
+    return comparison(model_predictions(df, columns, key, models, folds))
 
 
 def best_model(comparison: DataFrame) -> DataFrame:

@@ -594,6 +594,81 @@ add("seeds_after_curation", [CH, CAND, EX, CUR],
     UNION ALL SELECT channel_id, CASE label WHEN 'slop' THEN 1 ELSE 0 END FROM nw
     WHERE label <> 'slop' OR channel_id NOT IN (SELECT channel_id FROM ch WHERE label = 1)""")
 
+# --- interval forest --------------------------------------------------------------
+def forest(least: int, fitted: str = "TRUE") -> list[str]:
+    """100 trees over 256 rows each of the intervals that `fitted` names, grown and walked by
+    their definition: a row's digest gives its rank for every tree, a node's digest the share
+    of its range where it cuts. `scores` has every interval, `shift` what a decision adds."""
+    digits = "('0x' || substr(h, {}, 12))::BIGINT"
+    return [UP_ORD, GAPS, f"iv AS (SELECT channel_id, seq, days FROM g WHERE n >= {least} AND days <= 365)",
+            f"fit AS (SELECT * FROM iv WHERE {fitted})",
+            "n AS (SELECT least(256, count(*)) AS size, count(*) AS n_rows FROM fit)",
+            f"""hs AS (SELECT days, h, {digits.format(1)} AS u, {digits.format(13)} AS v FROM (
+  SELECT days, md5('42:' || channel_id || ':' || seq) AS h FROM fit))""",
+            """sample AS (SELECT t, days FROM hs, range(100) trees(t)
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY (u + t * v) % 281474976710597, h, days) <= 256)""",
+            """nodes(t, node, depth, start, days, low, high, c) AS (
+  SELECT t, 1::BIGINT, 0, CAST('-inf' AS DOUBLE), days, min(days) OVER w, max(days) OVER w, count(*) OVER w
+  FROM sample WINDOW w AS (PARTITION BY t)
+  UNION ALL
+  SELECT t, node, depth, start, days, min(days) OVER w, max(days) OVER w, count(*) OVER w FROM (
+    SELECT t, 2 * node + (days > cut)::BIGINT AS node, depth + 1 AS depth,
+           CASE WHEN days > cut THEN cut ELSE start END AS start, days FROM (
+      SELECT *, CASE WHEN raw < high THEN raw ELSE low END AS cut FROM (
+        SELECT *, low + (high - low) * (('0x' || substr(md5('42:' || t || ':' || node), 1, 12))::BIGINT
+                                        / CAST(281474976710656 AS DOUBLE)) AS raw
+        FROM nodes WHERE c > 1 AND low < high AND depth < (SELECT ceil(log2(greatest(size, 2))) FROM n))))
+  WINDOW w AS (PARTITION BY t, node))""",
+            """path_of AS (SELECT i, CASE WHEN i <= 1 THEN 0 WHEN i = 2 THEN 1
+    ELSE 2 * (ln(i - 1) + 0.5772156649015329::DOUBLE) - 2 * (i - 1) / i::DOUBLE END AS e FROM range(257) s(i))""",
+            """leaves AS (SELECT DISTINCT t, start, depth + e AS path FROM nodes JOIN path_of ON i = c
+  WHERE c = 1 OR low = high OR depth >= (SELECT ceil(log2(greatest(size, 2))) FROM n))""",
+            """walked AS (SELECT x.days, sum(path) / 100 AS path
+  FROM (SELECT DISTINCT days FROM iv) x JOIN (
+    SELECT t, start, path, lead(start, 1, CAST('inf' AS DOUBLE)) OVER (PARTITION BY t ORDER BY start) AS stop FROM leaves) l
+  ON x.days > l.start AND x.days <= l.stop GROUP BY 1)""",
+            """points AS (SELECT days, round(pow(2::DOUBLE, -path / (SELECT e FROM path_of, n WHERE i = size)), 12) AS score FROM walked)""",
+            "scores AS (SELECT channel_id, score FROM iv JOIN points USING (days))",
+            """shift AS (SELECT quantile_cont(-score, 0.15) + 0.5::DOUBLE AS shift FROM fit JOIN points USING (days))""",
+            """decided AS (SELECT channel_id, avg(score + shift) AS s FROM scores, shift GROUP BY 1)"""]
+
+
+def add_recursive(name: str, ctes: list[str], body: str, doubles: list[str]) -> None:
+    add(name, ["RECURSIVE " + ctes[0], *ctes[1:]], body, doubles)
+
+
+RAW = """SELECT channel_id, title, label, coalesce(s, 0) AS interval_anomaly_score FROM ch LEFT JOIN (
+  SELECT channel_id, avg(CASE WHEN n_rows >= 10 THEN score ELSE 0 END) AS s FROM scores, n GROUP BY 1) USING (channel_id)"""
+add_recursive("interval_anomaly", [*forest(3), CH],
+              """SELECT channel_id, label, coalesce(s, 0.5::DOUBLE) AS if_anomaly_score
+    FROM ch LEFT JOIN decided USING (channel_id)""", ["if_anomaly_score"])
+add_recursive("interval_anomaly_raw", [*forest(2), CH], RAW, ["interval_anomaly_score"])
+add_recursive("anomaly_by_label", [*forest(2), CH],
+              f"SELECT label, avg(interval_anomaly_score) AS mean_score, count(*) AS n FROM ({RAW}) GROUP BY 1", ["mean_score"])
+
+# --- learning: what does not depend on a fitted model's numbers ---------------------
+# labelled channels in the seeded order of their label; a fifth is tested, the rest is dealt in five
+DEALT = """lab AS (SELECT doc_id AS channel_id, quality AS label, md5('42:' || doc_id) AS h FROM labels
+  WHERE doc_id IN (SELECT c_custkey FROM customer)),
+split AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h, channel_id)
+    <= round(0.2::DOUBLE * count(*) OVER (PARTITION BY label)) AS is_test FROM lab),
+dealt AS (SELECT *, CASE WHEN NOT is_test THEN
+    CAST((row_number() OVER (PARTITION BY is_test, label ORDER BY h, channel_id) - 1) % 5 AS INTEGER) END AS fold FROM split)"""
+add_recursive("train_rows", [DEALT, *forest(3, "channel_id IN (SELECT channel_id FROM dealt WHERE NOT is_test)")],
+              """SELECT channel_id, label, coalesce(fold, -1) AS fold, CASE WHEN is_test THEN coalesce(s, 0.5::DOUBLE) END AS if_anomaly_score,
+      TRUE AS consistent FROM dealt LEFT JOIN decided USING (channel_id)""", ["if_anomaly_score"])
+add_recursive("score_rows", [CH, *forest(3, "channel_id IN (SELECT doc_id FROM labels)")],
+              """SELECT channel_id, coalesce(s, 0.5::DOUBLE) AS if_anomaly_score, TRUE AS consistent
+    FROM ch LEFT JOIN decided USING (channel_id)""", ["if_anomaly_score"])
+add("compare_rows", [DEALT],
+    """SELECT m AS "Model", coalesce(fold, -1) AS fold, count(*) AS n, count(*) FILTER (WHERE label = 1) AS positives, count(*) AS consistent
+    FROM dealt, (VALUES ('Logistic Regression'), ('MLP'), ('Random Forest'), ('SVM (RBF)')) v(m) GROUP BY 1, 2""")
+add("fitted_scaler", [CH],
+    " UNION ALL ".join(f"""SELECT '{c}' AS feature, m AS median, avg(coalesce(x, m)) AS mean, stddev_pop(coalesce(x, m)) AS std
+    FROM (SELECT {c}::DOUBLE AS x FROM ch), (SELECT median({c}::DOUBLE) AS m FROM ch) GROUP BY m"""
+    for c in ("subscriber_count", "view_count", "video_count", "n_videos_crawled")),
+    ["median", "mean", "std"])
+
 # --- streaming ------------------------------------------------------------------
 add("stream_ingest", [], "SELECT DISTINCT o_custkey AS channel_id FROM orders")
 add("stream_daily_uploads", [],

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from channel_signals.constants import ALL_FEATURES, LABEL_NAMES
+from channel_signals.constants import ALL_FEATURES, LABEL_NAMES, META_COLUMNS
 from channel_signals.functions import refs
 from channel_signals.operators import engagement as E
 from channel_signals.operators import language as L
@@ -18,6 +18,7 @@ from channel_signals.operators import profile as D
 from channel_signals.operators import timing as T
 from channel_signals.operators import titles as X
 from channel_signals.operators.iforest import IntervalForest
+from channel_signals.operators.scaling import fitted_rows
 from channel_signals.operators.similarity import avg_title_similarity
 from channel_signals.plans import build as B
 from channel_signals.plans import curate as U
@@ -576,24 +577,18 @@ def stream_daily_uploads(spark, sf):
         F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
-# --- learning: no SQL gives these, so they are gated by tests on their properties ----
-
-def ml_features(spark, sf) -> DataFrame:
-    return B.build_features(
-        V.ml_channels(spark, sf), V.uploads_ord(spark, sf), V.titles_plain_doc(spark, sf),
-        V.AS_OF_ORDERS)
-
+# --- interval forest ------------------------------------------------------------
 
 @query
 def interval_anomaly(spark, sf):
-    intervals = T.intervals(V.uploads_ord(spark, sf))
+    intervals = materialize(T.intervals(V.uploads_ord(spark, sf)))
     model = IntervalForest().fit(intervals)
     return model.score_channels(V.channels_ord(spark, sf).select("channel_id", "label"), intervals)
 
 
 @query
 def interval_anomaly_raw(spark, sf):
-    intervals = T.intervals(V.uploads_ord(spark, sf), min_timestamps=2)
+    intervals = materialize(T.intervals(V.uploads_ord(spark, sf), min_timestamps=2))
     model = IntervalForest(mode="raw", outputCol="interval_anomaly_score").fit(intervals)
     return model.score_channels(
         V.channels_ord(spark, sf).select("channel_id", "title", "label"), intervals)
@@ -605,11 +600,71 @@ def anomaly_by_label(spark, sf):
         F.avg("interval_anomaly_score").alias("mean_score"), F.count(F.lit(1)).alias("n"))
 
 
-@query
-def train_rf_metrics(spark, sf):
+# --- learning -------------------------------------------------------------------
+
+def ml_features(spark, sf) -> DataFrame:
+    return B.build_features(
+        V.ml_channels(spark, sf), V.uploads_ord(spark, sf), V.titles_plain_doc(spark, sf),
+        V.AS_OF_ORDERS)
+
+
+def _scored(spark, sf) -> DataFrame:
+    """Everyone scored by a classifier of the labelled channels; features are built once."""
+    features = materialize(B.scoring_features(
+        V.channels_ord(spark, sf), V.uploads_ord(spark, sf), V.titles_plain_doc(spark, sf), V.AS_OF_ORDERS))
+    intervals = materialize(T.intervals(V.uploads_ord(spark, sf)))
+    labelled = V.ml_labels(spark, sf)
+    fitted = R.ChannelClassifier.fit(features.drop("label").join(labelled, "channel_id"), P.model_columns(features), intervals)
+    return fitted.predict(features, intervals)
+
+
+def _trained(spark, sf) -> R.TrainingResult:
     df = materialize(ml_features(spark, sf))
     intervals = materialize(T.intervals(V.uploads_ord(spark, sf)))
-    return R.train(df, P.model_columns(df), intervals).metrics
+    return R.train(df, P.model_columns(df), intervals)
+
+
+def _consistent():
+    """A probability, and the decision it stands for."""
+    return F.col("p1").between(0.0, 1.0) & (F.col("prediction") == (F.col("p1") >= 0.5).cast("int"))
+
+
+@query
+def train_rows(spark, sf):
+    """Who was tested and in which fold the others were held out; the anomaly score of tested
+    channels, which a forest over the intervals of all others gives."""
+    result = _trained(spark, sf)
+    kept = ["channel_id", "label", "fold", "if_anomaly_score", _consistent().alias("consistent")]
+    cv = result.cv.withColumn("if_anomaly_score", F.lit(None).cast("double")).select(*kept)
+    return cv.unionByName(result.test.withColumn("fold", F.lit(-1)).select(*kept))
+
+
+@query
+def score_rows(spark, sf):
+    """Every channel is scored once, by a forest over the labelled channels' intervals."""
+    return _scored(spark, sf).select("channel_id", "if_anomaly_score", _consistent().alias("consistent"))
+
+
+@query
+def compare_rows(spark, sf):
+    """Predictions behind the leaderboard, counted by model and fold; -1 is the test."""
+    pred = R.model_predictions(materialize(ml_features(spark, sf)), ALL_FEATURES)
+    return pred.groupBy("Model", F.coalesce("fold", F.lit(-1)).alias("fold")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("positives"),
+        F.count_if(_consistent()).alias("consistent"))
+
+
+@query
+def fitted_scaler(spark, sf):
+    """What the imputer and the scaler of a pipeline have learnt, as rows."""
+    return fitted_rows(V.channels_ord(spark, sf), META_COLUMNS)
+
+
+# no SQL gives fitted numbers, so these are gated by tests on their properties
+
+@query
+def train_rf_metrics(spark, sf):
+    return _trained(spark, sf).metrics
 
 
 @query
@@ -625,10 +680,4 @@ def feature_importance(spark, sf):
 
 @query
 def score_batch(spark, sf):
-    df = materialize(ml_features(spark, sf))
-    intervals = materialize(T.intervals(V.uploads_ord(spark, sf)))
-    fitted = R.ChannelClassifier.fit(df, P.model_columns(df), intervals)
-    everyone = B.scoring_features(
-        V.channels_ord(spark, sf), V.uploads_ord(spark, sf), V.titles_plain_doc(spark, sf),
-        V.AS_OF_ORDERS)
-    return fitted.predict(everyone, intervals).select("channel_id", "if_anomaly_score", "p1", "prediction")
+    return _scored(spark, sf).select("channel_id", "if_anomaly_score", "p1", "prediction")

@@ -196,9 +196,12 @@ def json_titles(spark, sf) -> DataFrame:
 def ml_channels(spark, sf) -> DataFrame:
     """Labelled documents as channels: counters and uploads of the customer of the same
     number, lines as titles, the quality label."""
-    labels = table(spark, sf, "labels").select(
+    return channels_ord(spark, sf).drop("label").join(ml_labels(spark, sf), "channel_id")
+
+
+def ml_labels(spark, sf) -> DataFrame:
+    return table(spark, sf, "labels").select(
         F.col("doc_id").alias("channel_id"), F.col("quality").alias("label"))
-    return channels_ord(spark, sf).drop("label").join(labels, "channel_id")
 
 
 def titles_plain_doc(spark, sf) -> DataFrame:
