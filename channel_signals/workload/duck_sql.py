@@ -594,6 +594,26 @@ add("seeds_after_curation", [CH, CAND, EX, CUR],
     UNION ALL SELECT channel_id, CASE label WHEN 'slop' THEN 1 ELSE 0 END FROM nw
     WHERE label <> 'slop' OR channel_id NOT IN (SELECT channel_id FROM ch WHERE label = 1)""")
 
+FIRST = """SELECT channel_id, r.day AS day, r.order_id AS order_id FROM (
+  SELECT o_custkey AS channel_id, min({batch: CASE WHEN o_orderdate < DATE '1997-01-01' THEN 0
+      WHEN o_orderdate < DATE '1999-01-01' THEN 1 ELSE 2 END,
+    day: CAST(o_orderdate::DATE - DATE '1970-01-01' AS INTEGER), order_id: o_orderkey}) AS r FROM orders GROUP BY 1)"""
+add("keyed_ingest", [], FIRST)
+add("stream_first_seen", [], FIRST)
+add("stream_late_uploads",
+    ["""ends AS (SELECT max(ts) - INTERVAL 1 DAY AS water FROM events)""",
+     """late AS (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, ts < TIMESTAMP '2024-01-15 12:00:00'
+       AND date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= water AS is_late, water FROM events, ends)"""],
+    """SELECT user_id AS channel_id, epoch_us(day) AS day_us, count(*) AS n_uploads, count(*) FILTER (WHERE is_late) AS n_late,
+      day + INTERVAL 1 DAY <= water AS final, CASE WHEN day + INTERVAL 1 DAY <= water THEN count(*) ELSE 0 END AS n_settled
+    FROM late GROUP BY user_id, day, water""")
+add("stream_score", [CH, CAND.split(",\nel AS")[0], f"""tx AS (SELECT ch.channel_id, lower(concat_ws(' ', ch.title, txt)) AS txt FROM ch LEFT JOIN (
+  SELECT channel_id, string_agg(title, ' ' ORDER BY pos) AS txt FROM (
+    SELECT * FROM tl QUALIFY row_number() OVER (PARTITION BY channel_id ORDER BY pos) <= 5) GROUP BY 1) t USING (channel_id))"""],
+    f"SELECT channel_id, ({KW}) AS excluded, TRUE AS consistent FROM tx")
+add("curate_with_model", [CH, CAND, EX],
+    "SELECT channel_id, excluded, TRUE AS consistent FROM el JOIN ex USING (channel_id)")
+
 # --- interval forest --------------------------------------------------------------
 def forest(least: int, fitted: str = "TRUE") -> list[str]:
     """100 trees over 256 rows each of the intervals that `fitted` names, grown and walked by

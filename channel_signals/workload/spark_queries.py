@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -25,6 +25,7 @@ from channel_signals.plans import curate as U
 from channel_signals.plans import train as R
 from channel_signals.session import materialize, shared_dir
 from channel_signals.sources import ingest as I
+from channel_signals.sources.id_index import KeyedTable
 from channel_signals.sources import json_cells as J
 from channel_signals.sources import seeds as S
 from channel_signals.sources.tables import read_csv, write_table
@@ -565,18 +566,140 @@ def stream_ingest(spark, sf):
     return spark.read.parquet(f"{at}/table")
 
 
+def _arrivals(spark, sf) -> list[DataFrame]:
+    """The orders of three periods, as batches that bring most customers again with other rows."""
+    o = V.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("channel_id"), F.unix_date(F.col("o_orderdate").cast("date")).alias("day"), F.col("o_orderkey").alias("order_id"))
+    first, second = (F.unix_date(F.lit(d).cast("date")) for d in ("1997-01-01", "1999-01-01"))
+    return [o.where(F.col("day") < first), o.where((F.col("day") >= first) & (F.col("day") < second)),
+            o.where(F.col("day") >= second)]
+
+
+@query
+def keyed_ingest(spark, sf):
+    """Three batches into a keyed table, one of them twice: each customer's first order of its
+    first batch stays."""
+    table = KeyedTable(f"{_fresh_dir(spark)}/keyed", buckets=16, filter_bits=1 << 16)
+    first, second, third = _arrivals(spark, sf)
+    for batch in (first, second, first, third):
+        table.append(batch, ["day", "order_id"])
+    return table.stored(spark).drop("bucket")
+
+
+@query
+def stream_first_seen(spark, sf):
+    """The same batches as landed files, with a restart before the last one, which comes with
+    the first batch again: state in the checkpoint knows who was seen."""
+    at = _fresh_dir(spark)
+    batches = _arrivals(spark, sf)
+    for n in (2, 4):
+        for i in range(n - 2, n):
+            batches[i % 3].coalesce(1).write.mode("append").parquet(f"{at}/landed/{i}")
+        rows = Z.read_landed(spark, f"{at}/landed/*", batches[0].schema, files_per_batch=1)
+        with Z.keyed_state(spark):
+            Z.first_seen_stream(rows, f"{at}/table", f"{at}/checkpoint", order=["day", "order_id"]).awaitTermination()
+    return spark.read.parquet(f"{at}/table")
+
+
+def _daily(rows, at, *checkpoints):
+    for c in checkpoints or ("checkpoint",):
+        Z.daily_uploads_stream(rows, f"{at}/out", f"{at}/{c}").awaitTermination()
+
+
+def _event_times(df) -> DataFrame:
+    return df.select(F.col("user_id").alias("channel_id"), F.col("ts").cast("timestamp").alias("published_at"))
+
+
 @query
 def stream_daily_uploads(spark, sf):
     at = _fresh_dir(spark)
     schema = V.table(spark, sf, "events").schema
-    rows = Z.read_landed(spark, sf, schema, "events.parquet").select(
-        F.col("user_id").alias("channel_id"), F.col("ts").cast("timestamp").alias("published_at"))
-    Z.daily_uploads_stream(rows, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    _daily(_event_times(Z.read_landed(spark, sf, schema, "events.parquet")), at)
     return Z.daily_uploads(spark, f"{at}/out").select(
         "channel_id", F.unix_micros("day").alias("day_us"), "n_uploads",
         F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
+@query
+def stream_late_uploads(spark, sf):
+    """The later half of the month lands first: all of the first half comes late, none is lost,
+    and final days hold what came late."""
+    at = _fresh_dir(spark)
+    events = V.table(spark, sf, "events")
+    middle = F.col("ts").cast("timestamp") >= F.lit("2024-01-15 12:00:00").cast("timestamp")
+    for part in (middle, ~middle):
+        events.where(part).coalesce(1).write.mode("append").parquet(f"{at}/landed")
+        _daily(_event_times(Z.read_landed(spark, f"{at}/landed", events.schema, files_per_batch=1)), at)
+    Z.merge_late(spark, f"{at}/out", f"{at}/settled")
+    settled = spark.read.parquet(f"{at}/settled").select("channel_id", "day", F.col("n_uploads").alias("n_settled"))
+    days = Z.daily_uploads(spark, f"{at}/out").join(settled, ["channel_id", "day"], "left")
+    return days.select("channel_id", F.unix_micros("day").alias("day_us"), "n_uploads", "n_late", "final",
+                       F.coalesce("n_settled", F.lit(0)).alias("n_settled"))
+
+
+def _decision(excluded):
+    """What `U.classify` must give, written out."""
+    p = F.col("p1")
+    return F.when((p >= 0.97) | ((p >= 0.92) & ~excluded), "slop").when(p <= 0.15, "genuine")
+
+
+def _small_model(spark, sf):
+    """A classifier of the labelled channels, features of everyone and all intervals."""
+    features = materialize(B.scoring_features(
+        V.channels_ord(spark, sf), V.uploads_ord(spark, sf), V.titles_ord(spark, sf), V.AS_OF_ORDERS))
+    intervals = materialize(T.intervals(V.uploads_ord(spark, sf)))
+    labelled = features.drop("label").join(V.ml_labels(spark, sf), "channel_id")
+    return R.ChannelClassifier.fit(labelled, P.model_columns(features), intervals, [R.random_forest(20, 5)]), intervals
+
+
+@query
+def stream_score(spark, sf):
+    """Channels stream in by files and are scored by a fitted classifier: each has one score, and
+    the decision that its score and its titles ask for."""
+    at = _fresh_dir(spark)
+    fitted, intervals = _small_model(spark, sf)
+    channels, titles = V.channels_ord(spark, sf), V.titles_ord(spark, sf)
+    for part in (F.col("label") == 1, F.col("label") == 0):
+        channels.where(part).coalesce(1).write.mode("append").parquet(f"{at}/landed")
+    Z.score_stream(
+        Z.read_landed(spark, f"{at}/landed", channels.schema, files_per_batch=1), V.uploads_ord(spark, sf), titles,
+        intervals, fitted, V.AS_OF_ORDERS, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    scored = spark.read.parquet(f"{at}/out").drop("batch")
+    both = U.with_exclusion(channels, titles).select("channel_id", "excluded").join(scored, "channel_id")
+    return both.select("channel_id", "excluded", (
+        F.col("p1").between(0.0, 1.0) & F.col("decision").eqNullSafe(_decision(F.col("excluded")))).alias("consistent"))
+
+
+@query
+def curate_with_model(spark, sf):
+    """Search hits to new seeds with a fitted model in between: candidate features, scores,
+    thresholds, quota. A row for each channel that was scored, whether it was excluded, and
+    whether its score, its decision and its place in the quota agree."""
+    fitted, intervals = _small_model(spark, sf)
+    uploads, titles = V.uploads_ord(spark, sf), V.titles_ord(spark, sf)
+    seen = []
+
+    def score(candidates, theirs, their_titles):
+        features = B.candidate_features(candidates, theirs, their_titles, V.AS_OF_ORDERS)
+        seen.append(materialize(fitted.predict(features, intervals).select("channel_id", "p1")))
+        return seen[0]
+
+    hits = V.candidates(spark, sf).drop("p")
+    new = materialize(U.curate(hits, uploads, titles, score, quota=20))
+    first = U.first_occurrence(hits).join(seen[0], "channel_id")
+    rows = U.with_exclusion(first, U.capped_titles(titles, first)).withColumn("decision", _decision(F.col("excluded")))
+    at = Window.partitionBy("target").orderBy("query_order", "rank", "channel_id").rowsBetween(Window.unboundedPreceding, -1)
+    # the searches for slop go first; genuine ones count what these have found
+    own = F.coalesce(F.count_if(F.col("decision") == F.col("target")).over(at), F.lit(0))
+    rows = materialize(rows.withColumn("_own", own))
+    found = rows.where("target = 'slop' and _own < 20 and decision = 'genuine'").count()
+    ahead = F.col("_own") + F.when(F.col("target") == "genuine", F.lit(found)).otherwise(F.lit(0))
+    want = F.when(ahead < 20, F.col("decision"))
+    return rows.join(new.select("channel_id", "label"), "channel_id", "left").select(
+        "channel_id", "excluded",
+        (F.col("p1").between(0.0, 1.0) & F.col("label").eqNullSafe(want)).alias("consistent"))
+
+
 # --- interval forest ------------------------------------------------------------
 
 @query
