@@ -32,8 +32,15 @@ def hot_keys(df: DataFrame, key: str) -> DataFrame | None:
     return None if found.isEmpty() else found
 
 
-def split_hot(df: DataFrame, hot: DataFrame | None, key: str):
-    """(ordinary rows, hot rows or None); NULL keys count as ordinary."""
+#: Stands for hot keys that are still to be found.
+FIND = object()
+
+
+def split_hot(df: DataFrame, hot: DataFrame | None | object, key: str):
+    """(ordinary rows, hot rows or None); NULL keys count as ordinary. `hot` is a table of keys,
+    None where there are none, or FIND to count the rows of every key first."""
+    if hot is FIND:
+        hot = hot_keys(df, key)
     if hot is None:
         return df, None
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")

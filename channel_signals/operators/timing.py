@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from channel_signals.constants import BURST_SHARE, MAX_GAP_DAYS, MIN_TIMESTAMPS
-from channel_signals.operators.skew import exact_quantiles, hot_keys, slices, split_hot
+from channel_signals.operators.skew import FIND, exact_quantiles, slices, split_hot
 from channel_signals.session import materialize
 
 MICROS_PER_DAY = 86_400_000_000
@@ -84,21 +84,21 @@ def _runs_to_gaps(runs: DataFrame) -> DataFrame:
     )
 
 
-def gaps(uploads: DataFrame) -> DataFrame:
+def gaps(uploads: DataFrame, hot=FIND) -> DataFrame:
     """(channel_id, published_at, seq, days, n_timestamps): every upload with the days
-    since the one before it, NULL for the first."""
+    since the one before it, NULL for the first. `hot` as in `split_hot`."""
     rows = uploads.select("channel_id", "published_at").where(F.col("published_at").isNotNull())
-    ordinary, heavy = split_hot(rows, hot_keys(rows, "channel_id"), "channel_id")
+    ordinary, heavy = split_hot(rows, hot, "channel_id")
     out = _ordinary_gaps(ordinary)
     if heavy is not None:
         out = out.unionByName(_runs_to_gaps(_hot_runs(heavy)))
     return out
 
 
-def intervals(uploads: DataFrame, min_timestamps: int = MIN_TIMESTAMPS) -> DataFrame:
+def intervals(uploads: DataFrame, min_timestamps: int = MIN_TIMESTAMPS, hot=FIND) -> DataFrame:
     """(channel_id, seq, days): gaps of at most a year, of channels with enough uploads."""
     return (
-        gaps(uploads)
+        gaps(uploads, hot)
         .where((F.col("n_timestamps") >= min_timestamps) & (F.col("days") <= MAX_GAP_DAYS))
         .select("channel_id", "seq", "days")
     )
@@ -165,11 +165,12 @@ def _hot_timing(uploads: DataFrame) -> DataFrame:
     )
 
 
-def timing_features(uploads: DataFrame) -> DataFrame:
+def timing_features(uploads: DataFrame, hot=FIND) -> DataFrame:
     """One row per channel that has uploads: n_timestamps, first_at, n_intervals,
-    time_interval_std (-1 when undefined), upload_burst_ratio (0 when undefined)."""
+    time_interval_std (-1 when undefined), upload_burst_ratio (0 when undefined). `hot` as in
+    `split_hot`."""
     rows = uploads.select("channel_id", "published_at").where(F.col("published_at").isNotNull())
-    ordinary, heavy = split_hot(rows, hot_keys(rows, "channel_id"), "channel_id")
+    ordinary, heavy = split_hot(rows, hot, "channel_id")
     out = _ordinary_timing(ordinary)
     if heavy is not None:
         out = out.unionByName(_hot_timing(heavy))

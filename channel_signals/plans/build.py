@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channel_signals.constants import ALL_FEATURES, META_COLUMNS, STATIC_FEATURES
 from channel_signals.operators import engagement as E
 from channel_signals.operators.similarity import avg_title_similarity
+from channel_signals.operators.skew import FIND
 from channel_signals.operators.timing import (
     channel_age_days, timing_features, video_upload_frequency,
 )
 from channel_signals.operators.titles import (
     pick_vocabulary, temporal_clickbait, title_style, vocabulary,
 )
+from channel_signals.sources.buckets import BucketedInputs
 
 
 def instant(as_of: str | datetime | Column) -> Column:
@@ -25,11 +27,11 @@ def instant(as_of: str | datetime | Column) -> Column:
 
 def _features(
     channels: DataFrame, uploads: DataFrame, titles: DataFrame, as_of, tokenizer: str,
-    vietnamese: Column,
+    vietnamese: Column, hot=FIND,
 ) -> DataFrame:
     joined = (
         channels
-        .join(timing_features(uploads), "channel_id", "left")
+        .join(timing_features(uploads, hot), "channel_id", "left")
         .join(title_style(titles), "channel_id", "left")
         .join(vocabulary(titles, tokenizer), "channel_id", "left")
         .join(avg_title_similarity(titles), "channel_id", "left")
@@ -66,20 +68,28 @@ def _features(
 
 def build_features(
     channels: DataFrame, uploads: DataFrame, titles: DataFrame, as_of,
-    tokenizer: str = "words", extra: bool = False,
+    tokenizer: str = "words", extra: bool = False, hot=FIND,
 ) -> DataFrame:
     """14 features and 4 counters per channel. Channels without uploads or titles stay.
 
     channels(channel_id, title, label, and the four counters); `as_of` is the instant
-    ages are measured at; `extra` adds clickbait_phrase_ratio, which no model uses.
+    ages are measured at; `extra` adds clickbait_phrase_ratio, which no model uses. Channels
+    known to be too large for one task may be given as `hot` (`BucketedInputs.hot_channels`).
     """
     out = _features(channels, uploads, titles, as_of, tokenizer,
-                    F.coalesce("is_vietnamese", F.lit(False)))
+                    F.coalesce("is_vietnamese", F.lit(False)), hot)
     kept = [c for c in ("channel_id", "title", "label") if c in channels.columns]
     more = ["clickbait_phrase_ratio"] if extra else []
     return out.select(*kept, *ALL_FEATURES, *META_COLUMNS, *more)
 
 
+def bucketed_features(spark: SparkSession, inputs: BucketedInputs, as_of, **kwargs) -> DataFrame:
+    """`build_features` over tables in buckets of their channel: each is read in place, and
+    nothing is shuffled but the uploads of channels that are too large for one task."""
+    return build_features(*[inputs.read(spark, kind) for kind in ("channels", "uploads", "titles")], as_of,
+                          hot=inputs.hot_channels(spark), **kwargs)
+
+
 def scoring_features(channels: DataFrame, uploads: DataFrame, titles: DataFrame, as_of) -> DataFrame:
     """Features of channels about to be scored: the crawled number is the upload count."""
     return build_features(_with_upload_counts(channels, uploads), uploads, titles, as_of).drop(

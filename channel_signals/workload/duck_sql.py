@@ -614,6 +614,8 @@ add("stream_score", [CH, CAND.split(",\nel AS")[0], f"""tx AS (SELECT ch.channel
 add("curate_with_model", [CH, CAND, EX],
     "SELECT channel_id, excluded, TRUE AS consistent FROM el JOIN ex USING (channel_id)")
 
+SQL["features_bucketed"] = SQL["build_features"]
+
 # --- interval forest --------------------------------------------------------------
 def forest(least: int, fitted: str = "TRUE") -> list[str]:
     """100 trees over 256 rows each of the intervals that `fitted` names, grown and walked by

@@ -25,6 +25,7 @@ from channel_signals.plans import curate as U
 from channel_signals.plans import train as R
 from channel_signals.session import materialize, shared_dir
 from channel_signals.sources import ingest as I
+from channel_signals.sources.buckets import BucketedInputs
 from channel_signals.sources.id_index import KeyedTable
 from channel_signals.sources import json_cells as J
 from channel_signals.sources import seeds as S
@@ -196,6 +197,15 @@ def build_features(spark, sf):
     return features.withColumn("n_videos_crawled", F.col("n_videos_crawled").cast("double"))
 
 
+@query
+def features_bucketed(spark, sf):
+    """The feature table over inputs that were stored in buckets of their channel."""
+    inputs = BucketedInputs(f"inputs_{uuid.uuid4().hex}", _fresh_dir(spark), 16)
+    inputs.write(channels=V.channels_ord(spark, sf), uploads=V.uploads_ord(spark, sf), titles=V.titles_doc(spark, sf))
+    features = B.bucketed_features(spark, inputs, V.AS_OF_ORDERS, extra=True)
+    return features.withColumn("n_videos_crawled", F.col("n_videos_crawled").cast("double"))
+
+
 @query
 def scoring_features(spark, sf):
     """Features of channels about to be scored, from undressed titles."""
