@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from channel_signals.constants import VIETNAMESE_MIN_LETTERS
 from channel_signals.functions import text as X
+from channel_signals.functions.segment import Segmenter
 
 
 def clean(titles: DataFrame) -> DataFrame:
@@ -43,12 +44,13 @@ def title_style(titles: DataFrame) -> DataFrame:
     )
 
 
-def vocabulary(titles: DataFrame, tokenizer: str = "words") -> DataFrame:
+def vocabulary(titles: DataFrame, tokenizer: str = "words", segment: Segmenter | None = None) -> DataFrame:
     """Type-token and repeated-opening ratios, for both spellings of the tokens.
 
     `tokenizer` rules the plain spelling: 'words' (lower-cased word tokens) or
     'whitespace' (lower-cased, split at blanks, punctuation kept). The other one is
     the original-case spelling for Vietnamese channels; the caller picks per channel.
+    `segment` cuts Vietnamese titles instead (`functions.segment`); the plain spelling stays.
 
     Each title gives its tokens and one opening. Equal tokens are counted first, and what
     is left of a vocabulary is counted once more, so no distinct count is needed. Lower-cased
@@ -68,18 +70,19 @@ def vocabulary(titles: DataFrame, tokenizer: str = "words") -> DataFrame:
             F.try_divide(F.sum(F.when(real, F.col(c))).cast("double"), F.sum(F.when(real, F.col("n")))).alias(k)
             for k, c in kinds.items()])
 
+    cut = clean(titles).select("channel_id", X.tokens(t, "vi").alias("w")) if segment is None else segment(clean(titles))
     vi = (
-        clean(titles).select("channel_id", X.tokens(t, "vi").alias("w"))
-        .select("channel_id", F.inline(counted(F.col("w"))))
+        cut.select("channel_id", F.inline(counted(F.col("w"))))
         .groupBy("channel_id", "opening", "token").agg(F.count(F.lit(1)).alias("n"))
     )
-    if tokenizer == "words":
+    if tokenizer == "words" and segment is None:
         both = vi.groupBy("channel_id", "opening", F.lower("token").alias("token")).agg(
             F.sum("n").alias("n"), F.count(F.lit(1)).alias("vi"), F.lit(1).alias("plain"))
         found = ratios(both, vi="vi", plain="plain")
-    elif tokenizer == "whitespace":
+    elif tokenizer in ("words", "whitespace"):
+        spelled = X.words(t) if tokenizer == "whitespace" else X.tokens(t)
         plain = (
-            clean(titles).select("channel_id", X.words(t).alias("w"))
+            clean(titles).select("channel_id", spelled.alias("w"))
             .select("channel_id", F.inline(counted(F.col("w"))))
             .groupBy("channel_id", "opening", "token").agg(F.count(F.lit(1)).alias("n"))
         )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from channel_signals.constants import ALL_FEATURES, META_COLUMNS, STATIC_FEATURES
+from channel_signals.functions.segment import Segmenter
 from channel_signals.operators import engagement as E
 from channel_signals.operators.similarity import avg_title_similarity
 from channel_signals.operators.skew import FIND
@@ -27,13 +28,16 @@ def instant(as_of: str | datetime | Column) -> Column:
 
 def _features(
     channels: DataFrame, uploads: DataFrame, titles: DataFrame, as_of, tokenizer: str,
-    vietnamese: Column, hot=FIND,
+    vietnamese: Column, hot=FIND, language: DataFrame | None = None, segment: Segmenter | None = None,
 ) -> DataFrame:
+    style = title_style(titles)
+    if language is not None:
+        style = style.drop("is_vietnamese").join(language.select("channel_id", "is_vietnamese"), "channel_id", "left")
     joined = (
         channels
         .join(timing_features(uploads, hot), "channel_id", "left")
-        .join(title_style(titles), "channel_id", "left")
-        .join(vocabulary(titles, tokenizer), "channel_id", "left")
+        .join(style, "channel_id", "left")
+        .join(vocabulary(titles, tokenizer, segment), "channel_id", "left")
         .join(avg_title_similarity(titles), "channel_id", "left")
     )
     zero = F.lit(0.0)
@@ -69,15 +73,18 @@ def _features(
 def build_features(
     channels: DataFrame, uploads: DataFrame, titles: DataFrame, as_of,
     tokenizer: str = "words", extra: bool = False, hot=FIND,
+    language: DataFrame | None = None, segment: Segmenter | None = None,
 ) -> DataFrame:
     """14 features and 4 counters per channel. Channels without uploads or titles stay.
 
     channels(channel_id, title, label, and the four counters); `as_of` is the instant
     ages are measured at; `extra` adds clickbait_phrase_ratio, which no model uses. Channels
     known to be too large for one task may be given as `hot` (`BucketedInputs.hot_channels`).
+    `language`(channel_id, is_vietnamese) replaces the count of Vietnamese letters
+    (`operators.bayes.is_vietnamese`), `segment` the tokens of Vietnamese titles.
     """
     out = _features(channels, uploads, titles, as_of, tokenizer,
-                    F.coalesce("is_vietnamese", F.lit(False)), hot)
+                    F.coalesce("is_vietnamese", F.lit(False)), hot, language, segment)
     kept = [c for c in ("channel_id", "title", "label") if c in channels.columns]
     more = ["clickbait_phrase_ratio"] if extra else []
     return out.select(*kept, *ALL_FEATURES, *META_COLUMNS, *more)

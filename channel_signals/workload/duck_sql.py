@@ -616,6 +616,30 @@ add("curate_with_model", [CH, CAND, EX],
 
 SQL["features_bucketed"] = SQL["build_features"]
 
+SQL["opening_repeat_ratio_segmented"] = SQL["opening_repeat_ratio"]
+# every token stands between blanks of its own, so words of several syllables match in order
+SYLLABLES = " one  of  the | of  the | in  the | de  la | in  der | [^ ]+ "
+add("type_token_ratio_segmented", SRC + [r"""sg AS (SELECT channel_id, unnest(regexp_extract_all(
+    ' ' || array_to_string(regexp_extract_all(title, '[\p{L}\p{N}_]+'), '  ') || ' ', '(?i)""" + SYLLABLES + """')) AS tok FROM tt)"""],
+    """SELECT channel_id, coalesce(r, 0) AS type_token_ratio FROM (SELECT DISTINCT channel_id FROM tt) LEFT JOIN (
+      SELECT channel_id, count(DISTINCT tok)::DOUBLE / count(tok) AS r FROM sg GROUP BY 1) USING (channel_id)""", ["type_token_ratio"])
+BAYES = [GRAMS.split(",\ndg AS")[0], """ng AS (SELECT gram, lang, count(*) AS n FROM gr WHERE trim(gram) <> '' GROUP BY ALL)""",
+         "top AS (SELECT gram FROM ng GROUP BY 1 ORDER BY sum(n) DESC, gram LIMIT 400)",
+         "langs AS (SELECT lang, count(*) AS docs FROM documents GROUP BY 1)",
+         "cells AS (SELECT lang, gram, coalesce(n, 0) + 1 AS n FROM langs CROSS JOIN top LEFT JOIN ng USING (lang, gram))",
+         """wt AS (SELECT lang, gram, round(ln(n / (sum(n) OVER (PARTITION BY lang))::DOUBLE) * 1000000)::BIGINT AS w FROM cells
+  UNION ALL SELECT lang, '', round(ln(docs / (sum(docs) OVER ())::DOUBLE) * 1000000)::BIGINT FROM langs)"""]
+add("language_bayes_weights", BAYES, "SELECT lang AS language, gram, w AS weight FROM wt")
+add("language_bayes", BAYES,
+    f"""SELECT d.doc_id AS channel_id, coalesce(b, CASE WHEN {n_of('lower(text)', f'[{VIETNAMESE_LETTERS}]')} >= 3
+      THEN 'vi' ELSE 'en' END) AS language FROM documents d LEFT JOIN (
+        SELECT doc_id, arg_max(lang, s) AS b FROM (
+          SELECT doc_id, wt.lang, sum(w) + (SELECT w FROM wt p WHERE p.gram = '' AND p.lang = wt.lang) AS s
+          FROM (SELECT doc_id, gram FROM gr) g JOIN wt ON wt.gram = g.gram AND wt.gram <> '' GROUP BY 1, 2 ORDER BY 2) GROUP BY 1) c
+      USING (doc_id)""")
+add("sketch_quantiles", [RAWN, NUMC, LONG],
+    "SELECT label, feature, count(*) AS n, TRUE AS within FROM lf GROUP BY ALL")
+
 # --- interval forest --------------------------------------------------------------
 def forest(least: int, fitted: str = "TRUE") -> list[str]:
     """100 trees over 256 rows each of the intervals that `fitted` names, grown and walked by

@@ -10,11 +10,14 @@ from pyspark.sql.types import DoubleType
 
 from channel_signals.constants import ALL_FEATURES, LABEL_NAMES, META_COLUMNS
 from channel_signals.functions import refs
+from channel_signals.functions.segment import longest_match
+from channel_signals.operators import bayes as NB
 from channel_signals.operators import engagement as E
 from channel_signals.operators import language as L
 from channel_signals.operators import metrics as M
 from channel_signals.operators import prep as P
 from channel_signals.operators import profile as D
+from channel_signals.operators import sketches as K
 from channel_signals.operators import timing as T
 from channel_signals.operators import titles as X
 from channel_signals.operators.iforest import IntervalForest
@@ -146,10 +149,10 @@ def type_token_ratio(spark, sf):
     return _vocabulary(spark, sf).select("channel_id", "type_token_ratio")
 
 
-def _vocabulary(spark, sf):
+def _vocabulary(spark, sf, segment=None):
     t = V.titles_source(spark, sf)
     style = X.title_style(t).select("channel_id", "is_vietnamese")
-    return style.join(X.vocabulary(t), "channel_id", "left").select(
+    return style.join(X.vocabulary(t, segment=segment), "channel_id", "left").select(
         "channel_id", *X.pick_vocabulary(F.col("is_vietnamese")))
 
 
@@ -226,6 +229,33 @@ def language_profiles(spark, sf):
         "rank", F.col("rank").cast("long"))
 
 
+@query
+def language_bayes(spark, sf):
+    """Naive Bayes over grams, fitted on all documents, decides for every document."""
+    docs = V.documents(spark, sf)
+    model = NB.fit_languages(docs, grams=400)
+    return NB.channel_language(docs.select(F.col("doc_id").alias("channel_id"), F.col("text").alias("title")), model)
+
+
+@query
+def language_bayes_weights(spark, sf):
+    return NB.fit_languages(V.documents(spark, sf), grams=400).rows()
+
+
+@query
+def opening_repeat_ratio_segmented(spark, sf):
+    """Tokens from a table function; without words of several syllables they are the plain ones."""
+    return _vocabulary(spark, sf, longest_match([])).select("channel_id", "opening_repeat_ratio")
+
+
+@query
+def type_token_ratio_segmented(spark, sf):
+    """Tokens from a table function that joins the words of a list."""
+    t = V.titles_source(spark, sf)
+    return X.vocabulary(t, segment=longest_match(V.WORDS_OF_SYLLABLES)).select(
+        "channel_id", F.col("ttr_vi").alias("type_token_ratio"))
+
+
 @query
 def language_identify(spark, sf):
     docs = V.documents(spark, sf)
@@ -432,6 +462,30 @@ def histogram(spark, sf):
     return D.histogram(V.numeric_clean(spark, sf), V.NUMERIC, 30)
 
 
+@query
+def sketch_quantiles(spark, sf):
+    """Sketches of half the line items are stored, those of the other half merged into them:
+    the rank of each quantile among all rows is within the bound."""
+    df = V.numeric_clean(spark, sf)
+    early = F.col("l_shipdate") < F.lit("1998-06-01").cast("timestamp")
+    dated = V.numeric_clean(spark, sf, ["l_shipdate"])
+    at = _fresh_dir(spark)
+    write_table(K.quantile_sketches(dated.where(early), ["label"], V.NUMERIC), f"{at}/sketches")
+    merged = K.merged_sketches(spark.read.parquet(f"{at}/sketches"),
+                               K.quantile_sketches(dated.where(~early), ["label"], V.NUMERIC), ["label"])
+    asked = K.sketch_quantiles(materialize(merged), ["label"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in V.NUMERIC])
+    rows = df.select("label", F.explode(cells).alias("c")).select("label", "c.*").where("value is not null")
+    shares = rows.join(F.broadcast(asked), ["label", "feature"]).groupBy("label", "feature", "n").agg(*[
+        f((F.col("value") < F.col(q) if k == "below" else F.col("value") <= F.col(q)).cast("double")).alias(f"{q}_{k}")
+        for q in ("q1", "median", "q3") for k, f in (("below", F.avg), ("upto", F.avg))])
+    slack = 2 * K.rank_error()
+    within = F.lit(True)
+    for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+        within = within & (F.col(f"{q}_below") <= p + slack) & (F.col(f"{q}_upto") >= p - slack)
+    return shares.select("label", "feature", "n", within.alias("within"))
+
+
 @query
 def boxplot_stats(spark, sf):
     return D.boxplot_stats(V.numeric_clean(spark, sf), V.NUMERIC)

@@ -13,6 +13,8 @@ from channel_signals.operators.profile import number
 AS_OF_ORDERS = "2002-01-01 00:00:00"
 AS_OF_EVENTS = "2024-02-01 00:00:00"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Words of several syllables for the segmenter, as the documents use them.
+WORDS_OF_SYLLABLES = ["of the", "in the", "de la", "in der", "one of the"]
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -95,18 +97,18 @@ def titles_conv(spark, sf) -> DataFrame:
         F.col("text").alias("title"))
 
 
-def numeric_labelled(spark, sf) -> DataFrame:
+def numeric_labelled(spark, sf, more: list[str] = ()) -> DataFrame:
     """Line items with a sentinel and a gap in the first column."""
     line = F.col("l_linenumber")
     return table(spark, sf, "lineitem").select(
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
         F.when(line == 1, F.lit(-1.0)).when(line == 2, F.lit(None)).otherwise(
             F.col("l_quantity")).alias("l_quantity"),
-        *NUMERIC[1:])
+        *NUMERIC[1:], *more)
 
 
-def numeric_clean(spark, sf) -> DataFrame:
-    return numeric_labelled(spark, sf).withColumn(
+def numeric_clean(spark, sf, more: list[str] = ()) -> DataFrame:
+    return numeric_labelled(spark, sf, more).withColumn(
         "l_quantity", F.nullif(number("l_quantity"), F.lit(-1.0)))
 
 
