@@ -229,8 +229,8 @@ def boxplot_stats(df: DataFrame, features: list[str], by: str = "label") -> Data
 
 def kde(df: DataFrame, feature: str, points: int = 200, by: str = "label") -> DataFrame:
     """(by, i, x, density): Gaussian kernel density per class with Scott's bandwidth, on
-    a grid over the range of all values. Equal values are counted first, and each sums
-    into the grid before the shuffle, which carries only classes x points rows."""
+    a grid over the range of all values. Equal values are counted first; each task adds its
+    kernels up on the grid and sends a row for each class and point."""
     values = df.select(F.col(by), number(feature).alias("value")).where(F.col("value").isNotNull())
     counts = values.groupBy(by, "value").agg(F.count(F.lit(1)).alias("w"))
     per_class = values.groupBy(by).agg(
@@ -240,12 +240,27 @@ def kde(df: DataFrame, feature: str, points: int = 200, by: str = "label") -> Da
     classes = per_class.select(
         by, "n", (F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("h"),
         F.min("_lo").over(everything).alias("lo"), F.max("_hi").over(everything).alias("hi"))
-    step = (F.col("hi") - F.col("lo")) / float(points - 1)
     placed = counts.join(F.broadcast(classes), by).where(F.col("h") > 0)
-    grid = placed.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
-        "x", F.col("lo") + F.col("i") * step)
-    z = (F.col("x") - F.col("value")) / F.col("h")
-    kernel = F.col("w") * F.exp(-0.5 * z * z)
-    return grid.groupBy(by, "i", "x", "n", "h").agg(F.sum(kernel).alias("_k")).select(
-        by, "i", "x",
+    grid = np.arange(points) / (points - 1)
+
+    def sums(batches):
+        """Kernels of a task's values added up on the grid: a row a class and point."""
+        total: dict = {}
+        for batch in batches:
+            for (key, h, lo, hi), own in batch.groupby(["k", "h", "lo", "hi"], dropna=False):
+                x = lo + (hi - lo) * grid
+                value, w = own["value"].to_numpy(), own["w"].to_numpy(float)
+                for at in range(0, len(value), 4096):
+                    z = (x - value[at:at + 4096, None]) / h
+                    total[key] = total.get(key, 0.0) + w[at:at + 4096] @ np.exp(-0.5 * z * z)
+        for key, k in total.items():
+            yield pd.DataFrame({"k": key, "i": np.arange(points, dtype=np.int32), "s": k})
+
+    # NULL, which may be a class too, travels as an empty text
+    name = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit(""))
+    found = placed.select(name.alias("k"), "h", "lo", "hi", "value", "w").mapInPandas(
+        sums, "k string, i int, s double").groupBy("k", "i").agg(F.sum("s").alias("_k"))
+    step = (F.col("hi") - F.col("lo")) / float(points - 1)
+    return found.join(F.broadcast(classes.withColumn("_name", name)), F.col("k") == F.col("_name")).select(
+        by, "i", (F.col("lo") + F.col("i") * step).alias("x"),
         (F.col("_k") / (F.col("n") * F.col("h") * F.sqrt(2.0 * F.pi()))).alias("density"))

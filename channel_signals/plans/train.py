@@ -263,8 +263,8 @@ def best_model(comparison: DataFrame) -> DataFrame:
 
 
 def notebook_forest(df: DataFrame, key: str = "channel_id"):
-    """The exploratory forest over every numeric column: (classifier, test predictions)."""
-    columns = P.numeric_columns(df)
+    """The exploratory forest over every numeric column but the key: (classifier, test predictions)."""
+    columns = [c for c in P.numeric_columns(df) if c != key]
     split = materialize(P.stratified_split(df, key))
     fitted = ChannelClassifier.fit(
         split.where(~F.col("is_test")), columns, None, [random_forest(C.NOTEBOOK_TREES, 30)], key)

@@ -715,6 +715,24 @@ add("fitted_scaler", [CH],
     for c in ("subscriber_count", "view_count", "video_count", "n_videos_crawled")),
     ["median", "mean", "std"])
 
+add("notebook_rows", [DEALT], "SELECT channel_id, label, TRUE AS consistent FROM dealt WHERE is_test")
+add("model_roundtrip", [CH], "SELECT channel_id, TRUE AS same FROM ch")
+add("numeric_means", [CH], " UNION ALL ".join(f"SELECT '{c}' AS feature, avg({c}) AS mean FROM ch" for c in (
+    "channel_id", "subscriber_count", "view_count", "video_count", "n_videos_crawled")), ["mean"])
+add("leaderboard",
+    [PR, """lm AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS m, nullif(fold, 0) AS f FROM pd)""",
+     """lc AS (SELECT m, f, count(*) FILTER (WHERE label = 1 AND prediction = 1)::DOUBLE AS tp,
+       count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp, count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn,
+       count(*) FILTER (WHERE label = prediction)::DOUBLE AS hits, count(*) AS n FROM lm GROUP BY 1, 2)""",
+     """l1 AS (SELECT *, CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1,
+       CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS rc FROM lc)""",
+     """lt AS (SELECT m AS "Model", round(hits / n, 4) AS "Accuracy", round(pr, 4) AS "Precision", round(rc, 4) AS "Recall",
+       round(f1, 4) AS "F1" FROM l1 WHERE f IS NULL)"""],
+    """SELECT lt.*, round(a, 4) AS "CV F1 Mean", round(s, 4) AS "CV F1 Std",
+      row_number() OVER (ORDER BY "F1" DESC, "Model") = 1 AS is_best
+    FROM lt LEFT JOIN (SELECT m, avg(f1) AS a, stddev_pop(f1) AS s FROM l1 WHERE f IS NOT NULL GROUP BY 1) ON m = "Model\"""",
+    ["Accuracy", "Precision", "Recall", "F1", "CV F1 Mean", "CV F1 Std"])
+
 # --- streaming ------------------------------------------------------------------
 add("stream_ingest", [], "SELECT DISTINCT o_custkey AS channel_id FROM orders")
 add("stream_daily_uploads", [],

@@ -847,6 +847,53 @@ def fitted_scaler(spark, sf):
     return fitted_rows(V.channels_ord(spark, sf), META_COLUMNS)
 
 
+@query
+def notebook_rows(spark, sf):
+    """Channels that the exploratory forest is tested on. Its importances add up to one, the
+    largest first, over every numeric column."""
+    df = materialize(ml_features(spark, sf))
+    fitted, test = R.notebook_forest(df)
+    weights = [(r["feature"], r["importance"]) for r in fitted.importances().collect()]
+    fine = (abs(sum(w for _, w in weights) - 1) < 1e-9 and weights == sorted(weights, key=lambda x: (-x[1], x[0]))
+            and {f for f, _ in weights} <= set(P.numeric_columns(df)) - {"label"})
+    return test.select("channel_id", "label", (_consistent() & F.lit(fine)).alias("consistent"))
+
+
+@query
+def model_roundtrip(spark, sf):
+    """A classifier is stored with its features in order; what is loaded scores alike."""
+    fitted, intervals = _small_model(spark, sf)
+    path = f"{_fresh_dir(spark)}/model"
+    fitted.save(path)
+    again = R.ChannelClassifier.load(path)
+    features = B.scoring_features(
+        V.channels_ord(spark, sf), V.uploads_ord(spark, sf), V.titles_ord(spark, sf), V.AS_OF_ORDERS)
+    first = materialize(fitted.predict(features, intervals).select("channel_id", "if_anomaly_score", "p1"))
+    second = again.predict(features, intervals).select("channel_id", F.struct("if_anomaly_score", "p1").alias("again"))
+    return first.join(second, "channel_id").select("channel_id", (
+        (F.struct("if_anomaly_score", "p1") == F.col("again")) & F.lit(again.columns == fitted.columns)).alias("same"))
+
+
+@query
+def leaderboard(spark, sf):
+    """Predictions of two models, held out by fold or tested, as one row a model: rounded,
+    renamed, the best first."""
+    pred = V.predictions(spark, sf).withColumns({
+        "Model": F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd"),
+        "fold": F.when(F.col("fold") > 0, F.col("fold"))})
+    best = R.best_model(R.comparison(pred)).select(F.col("Model").alias("best"))
+    return R.comparison(pred).join(best).withColumn("is_best", F.col("Model") == F.col("best")).drop("best")
+
+
+@query
+def numeric_means(spark, sf):
+    """Every numeric column of the channel table but the label, and its mean."""
+    channels = V.channels_ord(spark, sf)
+    names = P.numeric_columns(P.require_columns(channels, META_COLUMNS))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names])
+    return channels.select(F.explode(cells).alias("c")).groupBy("c.feature").agg(F.avg("c.value").alias("mean"))
+
+
 # no SQL gives fitted numbers, so these are gated by tests on their properties
 
 @query
