@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import json
 import os
 import re
 import sys
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from channel_signals.llm.common import ranked
-from channel_signals.session import materialize
+from channel_signals.session import materialize, shared_dir
 
 CAPACITY = 1024
 END_ID = 2
@@ -114,69 +113,206 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Placements (length, first rank, number, first sequence, offset) of all documents.
+#: Documents and gaps that one task sweeps in a round.
+RANGE_ROWS = 50_000
+#: Columns of a piece that only travel along.
+_PIECE = ["doc_id", "piece", "start", "ids_crc32"]
+_PLACED, _DOC, _GAP, _SMALL = range(4)
+_SWEPT = ("part int, kind int, rank long, size long, sequence_id long, used long, "
+          "doc_id long, piece int, start long, ids_crc32 long")
 
-    Documents and gaps are kept as sorted runs of equal length, so the state has at most
-    `capacity` lengths whatever the number of documents. In each sweep every remaining
-    document of the largest length looks up its successor, the smallest gap that holds it;
-    where more documents than gaps meet, the lower ranks win, and the others look again
-    once the gaps are updated. Without a gap new sequences open.
+
+def _sweep(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """One task's share of a round: (is_doc, size, sequence, used, payload) from the largest size
+    down, gaps before documents of the same size.
+
+    Every document takes the successor of its length among the gaps seen so far, which is the
+    last one on a stack. What is left of that gap comes back in its place of the order, while
+    that lies in this task's range. Yields (kind, rank, size, sequence, used, payload): placed
+    documents, documents without a gap by falling size, free gaps by rising size, and gaps
+    smaller than the range.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    order: list[int] = []
-    placed, opened = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(order, gap)
-            gaps[gap].append((first, n))
-
-    for length in sorted((x for x, n in counts.items() if n), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect.bisect_left(order, length)
-            if i < len(order):
-                gap = order[i]
-                first, n = gaps[gap].pop()
-                take = min(n, left)
-                if take < n:
-                    gaps[gap].append((first + take, n - take))
-                elif not gaps[gap]:
-                    del gaps[gap]
-                    order.pop(i)
-                placed.append((length, rank, take, first, capacity - gap))
-                put(gap - length, first, take)
-            else:
-                take = max(1, left // (capacity // length))
-                placed.append((length, rank, take, opened, 0))
-                put(capacity - length, opened, take)
-                opened += take
-            rank, left = rank + take, left - take
-    return placed
+    stack: list[tuple[int, int, int]] = []
+    later: list[tuple[int, int, int]] = []
+    missed, size = 0, 0
+    for is_doc, size, sequence, used, payload in rows:
+        while later and -later[0][0] >= size:
+            left, seq, at = heapq.heappop(later)
+            stack.append((-left, seq, at))
+        if not is_doc:
+            stack.append((size, sequence, used))
+        elif stack:
+            gap, seq, at = stack.pop()
+            yield _PLACED, 0, size, seq, at, payload
+            left = gap - size
+            if left >= size:
+                stack.append((left, seq, at + size))
+            elif left:
+                heapq.heappush(later, (-left, seq, at + size))
+        else:
+            yield _DOC, missed, size, None, None, payload
+            missed += 1
+    # what fits the smallest size of the range fits all documents of later ranges
+    rank = 0
+    for gap, seq, at in sorted(stack + [(-g, s, a) for g, s, a in later]):
+        if gap >= size:
+            yield _GAP, rank, gap, seq, at, (None,) * 4
+            rank += 1
+        else:
+            yield _SMALL, 0, gap, seq, at, (None,) * 4
+
+
+def _swept(docs: DataFrame, gaps: DataFrame, parts: int) -> DataFrame:
+    """Documents and gaps, range-sorted by falling size and swept by the task of each range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
+                 pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        names = ["part", "kind", "rank", "size", "sequence_id", "used", *_PIECE]
+
+        def rows():
+            for batch in batches:
+                c = [x.to_pylist() for x in batch.columns]
+                for is_doc, size, seq, used, *payload in zip(*c):
+                    yield is_doc, size, seq, used, payload
+
+        def out(held):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
+
+        held = []
+        for kind, rank, size, seq, used, payload in _sweep(rows()):
+            held.append((part, kind, rank, size, seq, used, *payload))
+            if len(held) == 10_000:
+                yield out(held)
+                held = []
+        if held:
+            yield out(held)
+
+    none = [F.lit(None).cast(t).alias(n) for n, t in zip(_PIECE, ("long", "int", "long", "long"))]
+    both = docs.select(F.lit(True).alias("is_doc"), "size", F.lit(None).cast("long").alias("sequence_id"),
+                       F.lit(None).cast("long").alias("used"), *_PIECE).unionByName(
+        gaps.select(F.lit(False).alias("is_doc"), "size", "sequence_id", "used", *none))
+    # ties are broken by the whole row, so that a size that most rows have is dealt out too
+    order = [F.desc("size"), F.asc("is_doc"), F.asc("sequence_id"), *[F.asc(c) for c in _PIECE]]
+    return both.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, _SWEPT)
+
+
+def _segments(found: list) -> list[tuple[int, int, int, int, int, int]]:
+    """Which free gaps serve documents that found none in their own range, from counts by range:
+    (part, from, to, gap part, first gap rank, documents a gap). Ranges come by falling size, so
+    every free gap fits every such document of a later range; the smallest gaps go first, and a
+    gap takes as many documents of a range as surely fit."""
+    docs = {r["part"]: r for r in found if r["kind"] == _DOC}
+    free = {r["part"]: r for r in found if r["kind"] == _GAP}
+    stack: list[list[int]] = []
+    out = []
+    for part in sorted({*docs, *free}):
+        done, n = 0, docs[part]["n"] if part in docs else 0
+        while done < n and stack:
+            gap_part, first, count, least = stack[-1]
+            each = max(1, least // docs[part]["high"])
+            take = min(count, -(-(n - done) // each))
+            upto = min(n, done + take * each)
+            out.append((part, done, upto, gap_part, first, each))
+            done = upto
+            stack[-1][1] += take
+            stack[-1][2] -= take
+            if not stack[-1][2]:
+                stack.pop()
+        if part in free:
+            stack.append([part, 0, free[part]["n"], free[part]["low"]])
+    return out
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with `sequence_id` and `offset`: gapless from 0 in every sequence.
 
-    Lengths are counted on all rows, the runs are matched (`best_fit`), and each piece
-    takes the place of its rank among the pieces of its length. Equal pieces are
-    interchangeable; a null id ranks like any other; an empty table gives an empty one.
+    Bulk-synchronous best fit. Pieces above half the capacity open a sequence each. Then, round
+    by round, the remaining pieces and the gaps are range-sorted by size, and every range is
+    swept from the top: a piece takes the smallest gap that holds it (`_sweep`). Pieces that
+    find none in their range get the free gaps of larger ranges by rank (`_segments`), the gaps
+    are updated, and the next round begins. Sequences are opened when the gaps can't hold what
+    remains, never more than the remaining tokens fill. The driver sees counts by range.
+    Equal pieces are interchangeable; a null id sorts first; an empty table gives an empty one.
     """
-    cut = materialize(cut)
-    counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = sorted(best_fit(counts, capacity))
-    keys = np.array([(p[0] << 40) + p[1] for p in plan], np.int64)
-    base = np.array([p[3] for p in plan], np.int64)
-    offset = np.array([p[4] for p in plan], np.int64)
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        want = (length.to_numpy() << 40) + rank.to_numpy()
-        i = np.searchsorted(keys, want, side="right") - 1
-        return pd.DataFrame({"sequence_id": base[i] + want - keys[i], "offset": offset[i]})
-
-    out = ranked(cut, ["length"], [F.col("doc_id"), F.col("piece")], max(counts.values(), default=0), "_rank")
-    return out.withColumn("_at", place("length", "_rank")).select(*cut.columns, "_at.sequence_id", "_at.offset")
+    spark = cut.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialize(cut.withColumnRenamed("length", "size").withColumn("_row", F.monotonically_increasing_id()))
+    # placements are a table in the shared folder that every round adds to
+    table = f"{shared_dir(spark).rstrip('/')}/packed-{uuid.uuid4().hex}"
+    alone = F.col("size") * 2 > capacity
+    cut.where(alone).select(*_PIECE, "size", F.col("_row").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).write.parquet(table)
+    gaps = cut.where(alone & (F.col("size") < capacity)).select(
+        (F.lit(capacity) - F.col("size")).alias("size"), F.col("_row").alias("sequence_id"), F.col("size").alias("used"))
+    docs = cut.where(~alone).select(*_PIECE, "size")
+    opened = 1 << 60
+    while True:
+        free = gaps.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("room"),
+                        F.coalesce(F.max("size"), F.lit(0)).alias("high")).first()
+        left = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.min("size").alias("low"),
+                        F.coalesce(F.sum(F.when(F.col("size") > free["high"], F.col("size"))), F.lit(0)).alias("over")).first()
+        if not left["n"]:
+            break
+        # neither all the room nor the largest gap holds so much
+        new = max(0, -(-(left["words"] - free["room"]) // capacity), -(-left["over"] // capacity))
+        parts = max(1, min(most, -(-(left["n"] + free["n"] + new) // RANGE_ROWS)))
+        gaps = gaps.where(F.col("size") >= left["low"])
+        while True:
+            fresh = spark.range(opened, opened + new).select(
+                F.lit(capacity).cast("long").alias("size"), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("used"))
+            swept = materialize(_swept(docs, gaps.unionByName(fresh), parts))
+            found = swept.groupBy("part", "kind").agg(
+                F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high")).collect()
+            segments = _segments(found)
+            if segments or any(r["kind"] == _PLACED for r in found):
+                break
+            new = max(1, new)  # nothing fits any more, though there is room in all
+        opened += new
+        served, updated = _served(swept, segments)
+        swept.where(F.col("kind") == _PLACED).select(
+            *_PIECE, "size", "sequence_id", F.col("used").alias("offset")).unionByName(served).write.mode("append").parquet(table)
+        gaps = updated.unionByName(swept.where(F.col("kind") == _SMALL).select("size", "sequence_id", "used"))
+        docs = _unserved(swept, segments)
+    return spark.read.parquet(table).select(
+        "doc_id", "piece", "start", F.col("size").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
+def _segment_table(spark, segments: list[tuple]) -> DataFrame:
+    """At most two segments a range."""
+    return F.broadcast(spark.createDataFrame(segments, "part int, lo long, hi long, gap_part int, first long, each long"))
+
+
+def _served(swept: DataFrame, segments: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """Documents placed in free gaps of larger ranges, and all free gaps as they are then."""
+    free = swept.where(F.col("kind") == _GAP).select(
+        F.col("part").alias("gap_part"), F.col("rank").alias("gap_rank"), F.col("size").alias("gap"), "sequence_id", "used")
+    docs = swept.where(F.col("kind") == _DOC).select("part", "rank", "size", *_PIECE)
+    inside = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    asked = docs.join(_segment_table(swept.sparkSession, segments), "part").where(inside).withColumn(
+        "gap_rank", F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each")).cast("long"))
+    # a gap is a group of at most `capacity` documents
+    order = Window.partitionBy("gap_part", "gap_rank").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("gap_part", "gap_rank")
+    met = materialize(free.join(asked, ["gap_part", "gap_rank"], "left").select(
+        "gap", "sequence_id", "used", "size", *_PIECE, F.col("rank").isNotNull().alias("taken"),
+        F.coalesce(F.sum("size").over(order), F.lit(0)).alias("before"),
+        F.coalesce(F.sum("size").over(whole), F.lit(0)).alias("filled")))
+    served = met.where("taken").select(*_PIECE, "size", "sequence_id", (F.col("used") + F.col("before")).alias("offset"))
+    updated = met.where("before = 0").select(
+        (F.col("gap") - F.col("filled")).alias("size"), "sequence_id", (F.col("used") + F.col("filled")).alias("used"))
+    return served, updated.where("size > 0")
+
+
+def _unserved(swept: DataFrame, segments: list[tuple]) -> DataFrame:
+    """Documents that still have no place."""
+    docs = swept.where(F.col("kind") == _DOC)
+    upto = {}
+    for part, _, hi, *_ in segments:
+        upto[part] = max(hi, upto.get(part, 0))
+    if upto:
+        table = swept.sparkSession.createDataFrame(list(upto.items()), "part int, upto long")
+        docs = docs.join(F.broadcast(table), "part", "left").where(F.col("rank") >= F.coalesce("upto", F.lit(0)))
+    return docs.select(*_PIECE, "size")
