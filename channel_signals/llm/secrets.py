@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import sha256
 from math import log, sqrt
+from statistics import median
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from channel_signals.llm.common import carried, sampled
@@ -24,7 +25,9 @@ ASSIGN_LEAST = 8
 #: Documents, drawn by hash, whose base matches are the labelled credentials.
 FIT_ROWS = 20_000
 #: Distinct credentials of a kind from which an automaton is inferred, smallest hashes first.
-FIT_VALUES = 300
+FIT_VALUES = 1000
+#: Kinds with fewer distinct credentials in the sample teach no grammar.
+LEAST_VALUES = 50
 #: Confidence of the compatibility test of two states.
 ALPHA = 0.05
 #: Share of the labelled credentials that may score below the line.
@@ -45,122 +48,167 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def kind_of(c: str) -> str:
+    """The class of a character: what the automata branch on. Marks are classes of their own."""
+    if c in "0123456789abcdef":
+        return "x"
+    return "a" if "g" <= c <= "z" else "A" if "A" <= c <= "Z" else c
+
+
 @dataclass
 class Automaton:
-    """Transitions state -> character -> (state, log probability), and log of ending.
+    """A probabilistic automaton over character classes. `moves` gives the state behind each
+    class, `chars` the log probability of each character at a state, `ends` that of ending.
 
-    A character never seen at a state costs `unseen` and leads back to the start.
+    A class never seen at a state costs `unseen` and leads back to the start.
     """
 
-    moves: list[dict[str, tuple[int, float]]]
+    moves: list[dict[str, int]]
+    chars: list[dict[str, float]]
     ends: list[float]
     unseen: float
     line: float
-    shortest: int
-    longest: int
 
     def score(self, text: str) -> float:
         """Mean log-likelihood a character, the end counted as one."""
         state, total = 0, 0.0
         for c in text:
-            state, p = self.moves[state].get(c, (0, self.unseen))
-            total += p
+            total += self.chars[state].get(c, self.unseen)
+            state = self.moves[state].get(kind_of(c), 0)
         return (total + self.ends[state]) / (len(text) + 1)
 
     def accepts(self, text: str) -> bool:
-        return self.shortest <= len(text) <= self.longest and self.score(text) >= self.line
-
-
-def infer(samples: list[str], alpha: float = ALPHA) -> Automaton:
-    """States of the samples' prefix tree, merged where their frequencies are compatible.
-
-    In breadth-first order each state is compared with those kept so far: two states are
-    compatible when the shares of ending and of every character, and recursively those of
-    the states behind, differ by less than the Hoeffding bound. A compatible state is folded
-    into the kept one, else it is kept.
-    """
-    child: list[dict[str, int]] = [{}]
-    count, end, hits = [0], [0], [{}]
-    for word in samples:
-        at = 0
-        count[0] += 1
-        for c in word:
-            hits[at][c] = hits[at].get(c, 0) + 1
-            if c not in child[at]:
-                child[at][c] = len(child)
-                child.append({})
-                count.append(0)
-                end.append(0)
-                hits.append({})
-            at = child[at][c]
-            count[at] += 1
-        end[at] += 1
-    bound = sqrt(0.5 * log(2 / alpha))
-
-    def far(f1: int, n1: int, f2: int, n2: int) -> bool:
-        return abs(f1 / n1 - f2 / n2) > bound * (1 / sqrt(n1) + 1 / sqrt(n2))
-
-    def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
+        return self.score(text) >= self.line
+
+
+class _Tree:
+    """The prefix tree of labelled credentials by classes, with counts of characters and ends."""
+
+    def __init__(self, samples: dict[str, int]):
+        self.child: list[dict[str, int]] = [{}]
+        self.count, self.end, self.chars = [0], [0], [{}]
+        for word, n in sorted(samples.items()):
+            at = 0
+            self.count[0] += n
+            for c in word:
+                self.chars[at][c] = self.chars[at].get(c, 0) + n
+                k = kind_of(c)
+                if k not in self.child[at]:
+                    self.child[at][k] = len(self.child)
+                    self.child.append({})
+                    self.count.append(0)
+                    self.end.append(0)
+                    self.chars.append({})
+                at = self.child[at][k]
+                self.count[at] += n
+            self.end[at] += n
+
+    def differ(self, x: int, y: int, bound: float) -> bool:
+        """Whether ends, characters or classes of two states have shares beyond the Hoeffding bound."""
+        n, m = self.count[x], self.count[y]
+        most = bound * (1 / sqrt(n) + 1 / sqrt(m))
+        if most >= 1:
+            return False
+        if abs(self.end[x] / n - self.end[y] / m) > most:
+            return True
+        for a, b in ((self.chars[x], self.chars[y]), (self.kinds(x), self.kinds(y))):
+            if any(abs(a.get(c, 0) / n - b.get(c, 0) / m) > most for c in {*a, *b}):
+                return True
+        return False
+
+    def kinds(self, x: int) -> dict[str, int]:
+        out: dict[str, int] = {}
+        for c, n in self.chars[x].items():
+            out[kind_of(c)] = out.get(kind_of(c), 0) + n
+        return out
+
+    def compatible(self, a: int, b: int, bound: float) -> bool:
+        """No state of the tree below `b` differs from the state that stands for it behind `a`."""
+        todo, seen = [(a, b)], set()
         while todo:
             x, y = todo.pop()
-            if not count[x] or not count[y]:
+            if (x, y) in seen or not self.count[x] or not self.count[y]:
                 continue
-            if far(end[x], count[x], end[y], count[y]):
+            seen.add((x, y))
+            if self.differ(x, y, bound):
                 return False
-            for c in {*hits[x], *hits[y]}:
-                if far(hits[x].get(c, 0), count[x], hits[y].get(c, 0), count[y]):
-                    return False
-                if c in child[x] and c in child[y]:
-                    todo.append((child[x][c], child[y][c]))
+            todo += [(self.child[x][k], self.child[y][k]) for k in self.child[x].keys() & self.child[y].keys()]
         return True
 
-    def fold(a: int, b: int) -> None:
+    def fold(self, a: int, b: int) -> None:
         """Add the tree below `b` to the automaton at `a`."""
         todo = [(a, b)]
         while todo:
             x, y = todo.pop()
-            count[x] += count[y]
-            end[x] += end[y]
-            for c, n in hits[y].items():
-                hits[x][c] = hits[x].get(c, 0) + n
-            for c, z in child[y].items():
-                if c in child[x]:
-                    todo.append((child[x][c], z))
+            self.count[x] += self.count[y]
+            self.end[x] += self.end[y]
+            for c, n in self.chars[y].items():
+                self.chars[x][c] = self.chars[x].get(c, 0) + n
+            for k, z in self.child[y].items():
+                if k in self.child[x]:
+                    todo.append((self.child[x][k], z))
                 else:
-                    child[x][c] = z
+                    self.child[x][k] = z
+
 
-    kept = [0]
-    edge = [(0, c) for c in sorted(child[0])]
+def infer(samples: dict[str, int], alpha: float = ALPHA) -> Automaton:
+    """States of the samples' prefix tree, merged where their frequencies are compatible.
+
+    `samples` counts credentials. In breadth-first order each state is compared with those kept
+    so far: two are compatible when the shares of ending, of every character and of every class,
+    and recursively those of the states behind, differ by less than the Hoeffding bound. A
+    compatible state is folded into the kept one, else it is kept; so fixed letters and fixed
+    lengths stay chains of states, and free stretches become loops.
+    """
+    tree = _Tree(samples)
+    bound = sqrt(0.5 * log(2 / alpha))
+    kept, edge = [0], [(0, k) for k in sorted(tree.child[0])]
     while edge:
-        at, c = edge.pop(0)
-        state = child[at][c]
+        at, k = edge.pop(0)
+        state = tree.child[at][k]
         if state in kept:
             continue
         for other in kept:
-            if compatible(other, state):
-                child[at][c] = other
-                fold(other, state)
-                edge = [(k, x) for k in kept for x in sorted(child[k]) if child[k][x] not in kept]
+            if tree.compatible(other, state, bound):
+                tree.child[at][k] = other
+                tree.fold(other, state)
+                edge = [(s, x) for s in kept for x in sorted(tree.child[s]) if tree.child[s][x] not in kept]
                 break
         else:
             kept.append(state)
-            edge += [(state, x) for x in sorted(child[state])]
+            edge += [(state, x) for x in sorted(tree.child[state])]
     name = {s: i for i, s in enumerate(kept)}
-    moves, ends = [], []
+    alphabet = sorted({c for word in samples for c in word})
+    moves, chars, ends = [], [], []
     for s in kept:
-        total = count[s] + 2
-        moves.append({c: (name[t], log((hits[s].get(c, 0) + 1e-9) / total)) for c, t in child[s].items()})
-        ends.append(log((end[s] + 0.5) / total))
-    sizes = [len(s) for s in samples]
-    found = Automaton(moves, ends, log(1e-4), 0.0, min(sizes), max(sizes))
-    scores = sorted(found.score(s) for s in samples)
-    found.line = scores[int(MISSED * len(scores))]
+        # every character of a class that occurs at a state may occur there
+        own = [c for c in alphabet if kind_of(c) in tree.child[s]]
+        total = tree.count[s] + 0.5 * len(own) + 1
+        moves.append({k: name[t] for k, t in tree.child[s].items()})
+        chars.append({c: log((tree.chars[s].get(c, 0) + 0.5) / total) for c in own})
+        ends.append(log((tree.end[s] + 1e-3) / total))
+    found = Automaton(moves, chars, ends, log(1e-4), 0.0)
+    return found
+
+
+def fitted(samples: dict[str, int], alpha: float = ALPHA) -> Automaton:
+    """The automaton of the samples, with the line at which it accepts: all but a small share of
+    the samples lie above it. Samples flatter the automaton that they made; how much, two halves
+    of them tell that judge each other, and the line is lower by half of that."""
+    found = infer(samples, alpha)
+    words = sorted(samples)
+    gaps = []
+    for own, other in ((words[::2], words[1::2]), (words[1::2], words[::2])):
+        half = infer({w: samples[w] for w in own}, alpha)
+        gaps.append(median(map(half.score, own)) - median(map(half.score, other)) if other else 0.0)
+    scores = sorted(map(found.score, words))
+    found.line = scores[int(MISSED * len(scores))] - max(0.0, sum(gaps) / 2) / 2
     return found
 
 
-def labelled(docs: DataFrame, rows: int = FIT_ROWS, values: int = FIT_VALUES) -> dict[int, list[str]]:
-    """Distinct credentials of each base kind in a sample of documents; bounded on both sides."""
+def labelled(docs: DataFrame, rows: int = FIT_ROWS, values: int = FIT_VALUES) -> dict[int, dict[str, int]]:
+    """Credentials of each base kind in a sample of documents, with the number of documents that
+    hold them; bounded on both sides. One pass over the sample finds all kinds."""
     sample = sampled(docs.select("doc_id", F.col("text").cast("string")), rows, "doc_id").select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,18 +216,18 @@ def labelled(docs: DataFrame, rows: int = FIT_ROWS, values: int = FIT_VALUES) ->
             kinds, found = [], []
             for value in batch.column(0):
                 text = value.as_py() or ""
-                for start, kind, stop in base_spans(text):
-                    kinds.append(kind)
-                    found.append(ASSIGN.match(text, start).group(2) if kind == 0 else text[start:stop])
+                own = {(kind, ASSIGN.match(text, start).group(2) if kind == 0 else text[start:stop])
+                       for start, kind, stop in base_spans(text)}
+                kinds += [k for k, _ in own]
+                found += [v for _, v in own]
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(found, pa.string())], names=["kind", "value"])
 
-    distinct = sample.mapInArrow(run, "kind int, value string").distinct()
-    out = {}
-    for kind in range(3):
-        top = distinct.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(values)
-        if got := sorted(r["value"] for r in top.select("value").collect()):
-            out[kind] = got
-    return out
+    counts = sample.mapInArrow(run, "kind int, value string").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    out: dict[int, dict[str, int]] = {}
+    for r in counts.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= values).collect():
+        out.setdefault(r["kind"], {})[r["value"]] = r["n"]
+    return {k: dict(sorted(v.items())) for k, v in out.items()}
 
 
 class Scanner:
@@ -229,7 +277,7 @@ def find_secrets(docs: DataFrame, clean: bool = True, fit_rows: int = FIT_ROWS)
     base spans are found. Columns of `docs` under the new names are replaced.
     """
     new = ["n_assign", "n_access", "n_hex", "n_grammar", "base_sha256", "spans", "clean_text"]
-    automata = [infer(v) for _, v in sorted(labelled(docs, fit_rows).items())]
+    automata = [fitted(v) for _, v in sorted(labelled(docs, fit_rows).items()) if len(v) >= LEAST_VALUES]
 
     kept: list[Scanner] = []
 

@@ -235,11 +235,95 @@ def test_automaton_tells_formats_apart():
     rng = random.Random(8)
     hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(32)) for _ in range(200)]
     keys = ["pk_" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(20)) for _ in range(200)]
-    a, b = secrets.infer(hexes), secrets.infer(keys)
+    a, b = (secrets.fitted(dict.fromkeys(x, 1)) for x in (hexes, keys))
     fresh = "pk_" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(20))
     assert sum(map(a.accepts, hexes)) >= 190 and b.accepts(fresh)
     assert not a.accepts(fresh) and not any(map(b.accepts, hexes))
-    assert len(b.moves) < 200  # the prefix tree has thousands of states
+    # fixed letters and lengths stay chains of states; the prefix tree has thousands
+    assert len(a.moves) == 33 and 4 <= len(b.moves) < 200
+    assert not a.accepts(hexes[0][1:]) and not a.accepts(hexes[0] + "0")
+
+
+def test_grammar_finds_what_the_patterns_miss(spark, monkeypatch):
+    """Credentials of a format that is only seen assigned, here alone in prose."""
+    rng = random.Random(4)
+
+    def credential():
+        return "".join(rng.choice("0123456789abcdef") for _ in range(22))
+
+    alone = [credential() for _ in range(40)]
+    odd = [credential()[:21] for _ in range(20)] + [credential() + "0" for _ in range(20)]
+    rows = [(i, f'token = "{credential()}" ' + prose(8, rng)) for i in range(300)]
+    rows += [(1000 + i, f"{prose(4, rng)} {x} {prose(3, rng)}") for i, x in enumerate(alone)]
+    rows += [(2000 + i, f"{prose(4, rng)} {x} {prose(3, rng)}") for i, x in enumerate(odd)]
+    rows += [(3000 + i, prose(30, rng)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in secrets.find_secrets(df).collect()}
+    assert all(secrets.base_spans(t) == [] for i, t in rows if i >= 1000)
+    hit = [got[1000 + i]["n_grammar"] for i in range(40)]
+    assert sum(hit) >= 37 and max(hit) == 1
+    first = next(i for i in range(40) if hit[i])
+    assert alone[first] not in got[1000 + first]["clean_text"] and "[SECRET]" in got[1000 + first]["clean_text"]
+    assert sum(got[i]["n_grammar"] for i, _ in rows if i >= 2000) == 0
+    monkeypatch.setattr(secrets, "labelled", lambda *_: {})  # without the method nothing of this is found
+    assert secrets.find_secrets(df).agg(F.sum("n_grammar")).first()[0] == 0
+
+
+def brute_base(text):
+    """The base spans, letter by letter."""
+    def run(start, allowed):
+        end = start
+        while end < len(text) and text[end] in allowed:
+            end += 1
+        return end
+
+    import string
+    token, access, low = string.ascii_letters + string.digits + "+/_.=-", string.ascii_uppercase + string.digits, "0123456789abcdef"
+    names = ["password", "passwd", "secret", "token", "api_key", "apikey"]
+
+    def assign(i):
+        for name in names:
+            if "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text[i:i + len(name)]) != name:
+                continue
+            # each optional part may be taken or left: the first way that ends in a value counts
+            for quote in (1, 0):
+                at = i + len(name)
+                if quote and text[at:at + 1] not in ("'", '"'):
+                    continue
+                at = run(at + quote, " ")
+                if text[at:at + 1] not in (":", "=") or not text[at:at + 1]:
+                    continue
+                at = run(at + 1, " ")
+                at += text[at:at + 1] in ("'", '"') and at < len(text)
+                end = run(at, token)
+                if end > at:
+                    return end, end - at
+        return None
+
+    out = []
+    i = 0
+    while i < len(text):
+        m = assign(i)
+        if m and m[1] >= 8:
+            out.append((i, 0, m[0]))
+        i = m[0] if m else i + 1
+    for kind, lead, allowed, least in ((1, "AKIA", access, 16), (2, "", low, 32)):
+        i = 0
+        while i < len(text):
+            end = run(i + len(lead), allowed) if text.startswith(lead, i) else i
+            if end > i + len(lead) and end - i >= least:
+                out.append((i, kind, end))
+            i = end if end > i + len(lead) else i + 1
+    return sorted(out)
+
+
+def test_base_spans_against_brute_force():
+    rng = random.Random(12)
+    bits = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "api-key", "'", '"', " ", "  ", ":", "=", "==", "AKIA", "akia",
+            "0123456789abcdef" * 2, "deadbeef", "ABCDEFGHIJKL", "MNOP", "x", "é", "\n", "+/_.", "-", "\t", "hunter22"]
+    for _ in range(6000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 14)))
+        assert secrets.base_spans(text) == brute_base(text), text
 
 
 def test_metric_join(spark):
