@@ -27,29 +27,33 @@ def first_titles(titles: DataFrame, n: int) -> DataFrame:
 def avg_title_similarity(
     titles: DataFrame, window: int = SIMILARITY_TITLES, max_terms: int = SIMILARITY_TERMS,
 ) -> DataFrame:
-    """(channel_id, avg_title_similarity), 0 below two titles or without any term."""
+    """(channel_id, avg_title_similarity), 0 below two titles or without any term.
+
+    A term is one row of its channel, with its count in each of the `window` titles as a
+    column; so one aggregate, one ranking and one sum over the channel are all it takes.
+    """
+    order = Window.partitionBy("channel_id").orderBy("pos")
+    top = clean(titles).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= window)
+    words = top.select("channel_id", "_i", X.term_tokens(F.col("title")).alias("_w"))
+    # a title without terms keeps a NULL term, so that it counts among the titles
+    terms = words.select("channel_id", "_i", F.explode_outer(X.with_pairs(F.col("_w"))).alias("term"))
+    places = range(1, window + 1)
+    counted = terms.groupBy("channel_id", "term").agg(
+        F.max("_i").alias("_last"), F.count("term").alias("_total"),
+        *[F.count_if((F.col("_i") == i) & F.col("term").isNotNull()).alias(f"t{i}") for i in places])
     channel = Window.partitionBy("channel_id")
-    top = first_titles(clean(titles), window)
-    counted = top.withColumn("_n", F.count(F.lit(1)).over(channel))
-    tokenized = counted.select("channel_id", "pos", "_n", X.term_tokens(F.col("title")).alias("_w"))
-    exploded = tokenized.select(
-        "channel_id", "pos", "_n", F.explode_outer(X.with_pairs(F.col("_w"))).alias("term"))
-    tf = exploded.groupBy("channel_id", "pos", "_n", "term").agg(F.count("term").alias("tf"))
-    by_term = Window.partitionBy("channel_id", "term")
-    ranked = tf.withColumn("_df", F.count(F.lit(1)).over(by_term)).withColumn(
-        "_total", F.sum("tf").over(by_term))
     by_use = channel.orderBy(F.desc("_total"), F.asc_nulls_last("term"))
-    # a title without terms keeps a NULL term that sorts last and weighs nothing
-    capped = ranked.withColumn("_rank", F.dense_rank().over(by_use)).where(
-        F.col("_rank") <= max_terms)
-    idf = F.log((1.0 + F.col("_n")) / (1.0 + F.col("_df"))) + 1.0
-    weighted = capped.withColumn("w", F.col("tf") * idf)
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("channel_id", "pos")))
-    unit = weighted.withColumn("u", F.coalesce(F.try_divide(F.col("w"), norm), F.lit(0.0)))
-    per_term = unit.groupBy("channel_id", "term", "_n").agg(
-        F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("q"))
-    total = per_term.groupBy("channel_id").agg(
-        F.max("_n").alias("n"), F.sum(F.col("s") * F.col("s") - F.col("q")).alias("pairs"))
+    capped = counted.withColumn("_rank", F.row_number().over(by_use)).withColumn(
+        "_n", F.max("_last").over(channel)).where(F.col("_rank") <= max_terms)
+    df = sum(((F.col(f"t{i}") > 0).cast("int") for i in places), F.lit(0))
+    weighted = capped.withColumn("_idf", F.log((1.0 + F.col("_n")) / (1.0 + df)) + 1.0).select(
+        "channel_id", "_n", *[(F.col(f"t{i}") * F.col("_idf")).alias(f"w{i}") for i in places])
+    whole = weighted.select("*", *[F.sum(F.col(f"w{i}") * F.col(f"w{i}")).over(channel).alias(f"q{i}") for i in places])
+    unit = [F.coalesce(F.try_divide(F.col(f"w{i}"), F.sqrt(F.col(f"q{i}"))), F.lit(0.0)) for i in places]
+    units = whole.select("channel_id", "_n", *[u.alias(f"u{i}") for i, u in zip(places, unit)])
+    s = sum((F.col(f"u{i}") for i in places), F.lit(0.0))
+    q = sum((F.col(f"u{i}") * F.col(f"u{i}") for i in places), F.lit(0.0))
+    total = units.groupBy("channel_id").agg(F.max("_n").alias("n"), F.sum(s * s - q).alias("pairs"))
     n = F.col("n").cast("double")
     return total.select(
         "channel_id",
