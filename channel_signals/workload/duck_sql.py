@@ -2,8 +2,63 @@
 
 from __future__ import annotations
 
-from channel_signals.constants import (
-    CLICKBAIT_PHRASES, DASHES, EXCLUDE_KEYWORDS, LOW_RESULT_QUERIES, STATIC_FEATURES, VIETNAMESE_LETTERS,
+# fixed values, written out once more: a wrong one in the library shows
+STATIC_FEATURES = [
+    "time_interval_std",
+    "upload_burst_ratio",
+    "video_upload_frequency",
+    "view_per_video",
+    "dash_density",
+    "title_length_std",
+    "capitalization_ratio",
+    "opening_repeat_ratio",
+    "temporal_clickbait_ratio",
+    "type_token_ratio",
+    "avg_title_similarity",
+    "sub_to_view_ratio",
+    "subscriber_velocity",
+]
+CLICKBAIT_PHRASES = [
+    r"(?i)\byou (won'?t|will never) believe\b",
+    r"(?i)\bthe (dark |hidden |shocking |untold |real |secret )?truth\b",
+    r"(?i)\bwhat (nobody|no one) tells you\b",
+    r"(?i)\bchanged (everything|the world|history)\b",
+    r"(?i)\bmost people don'?t know\b",
+    r"(?i)\bgenius of\b",
+    r"(?i)\bexplained (simply|in \d+ minutes?)\b",
+    r"(?i)\bthis (changes|will change) everything\b",
+    r"(?i)\bthe (mind|brain) of\b",
+    r"(?i)\bfeynman (explains|on|about|method)\b",
+    r"(?i)\beinstein (explains|on|about)\b",
+    r"(?i)\bcarl sagan (on|about|explains)\b",
+    r"(?i)\bnot .{1,30} but\b",
+    r"(?i)\bfew people (know|realize)\b",
+    "ít ai biết",
+    "sự thật (kinh hoàng|bí ẩn|đáng sợ|không ngờ)",
+    "không phải .{1,20} mà là",
+    "(bí mật|bí ẩn) (đằng sau|của|về)",
+    "tại sao (không ai|ít người)",
+    "review phim",
+]
+EXCLUDE_KEYWORDS = [
+    "rain sound",
+    "sleep music",
+    "relaxing white noise",
+    "lofi hip hop",
+    "meditation music",
+    "asmr",
+    "deep sleep",
+    "10 hours",
+]
+LOW_RESULT_QUERIES = [
+    "nhạc lofi chill giảm stress",
+    "âm thanh mưa ngủ ngon 8 tiếng",
+    "lofi hip hop radio to relax",
+    "deep sleep rain sounds 10 hours",
+]
+DASHES = "—|--|–"
+VIETNAMESE_LETTERS = (
+    "àáảãạâầấẩẫậăằắẳẵặèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 )
 
 SQL: dict[str, str] = {}
