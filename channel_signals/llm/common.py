@@ -191,7 +191,9 @@ def with_neighbours(df: DataFrame, key: Column, build: dict[str, Column], wrap:
     copies = df.where(F.array_contains(first, at)).withColumn("_b", before).withColumn("_side", F.lit(1))
     if not wrap:
         copies = copies.unionByName(df.where(F.array_contains(last, at)).withColumn("_b", part + 1).withColumn("_side", F.lit(-1)))
-    rows = df.withColumn("_b", part).withColumn("_side", F.lit(0)).unionByName(copies.dropDuplicates(["_b", "_side"])).repartition("_b")
+    # of rows that tie at a range's end the smallest is the neighbour, on every run
+    copies = copies.groupBy("_b", "_side").agg(F.min(F.struct(*df.columns)).alias("_r")).select("_b", "_side", "_r.*")
+    rows = df.withColumn("_b", part).withColumn("_side", F.lit(0)).unionByName(copies).repartition("_b")
     for name, column in build.items():
         rows = rows.withColumn(name, column)
     order = Window.partitionBy("_b").orderBy("_side", "_k")
