@@ -213,15 +213,21 @@ def _segments(found: list) -> list[tuple[int, int, int, int, int, int]]:
         done, n = 0, docs[part]["n"] if part in docs else 0
         while done < n and stack:
             gap_part, first, count, least = stack[-1]
-            each = max(1, least // docs[part]["high"])
-            take = min(count, -(-(n - done) // each))
-            upto = min(n, done + take * each)
-            out.append((part, done, upto, gap_part, first, each))
-            done = upto
-            stack[-1][1] += take
-            stack[-1][2] -= take
-            if not stack[-1][2]:
-                stack.pop()
+            high = docs[part]["high"]
+            each = least // high
+            take = min(count, -(-(n - done) // each)) if each else 0
+            if take:
+                upto = min(n, done + take * each)
+                out.append((part, done, upto, gap_part, first, each))
+                spare = take * each - (upto - done)
+                done = upto
+                stack[-1][1] += take
+                stack[-1][2] -= take
+            if not stack[-1][2] or not each:
+                stack.pop()  # a gap that was begun and holds no more waits for the next round
+            if take and spare:
+                # the last gap has surely room for more of smaller ranges
+                stack.append([gap_part, first + take - 1, 1, least - (each - spare) * high])
         if part in free:
             stack.append([part, 0, free[part]["n"], free[part]["low"]])
     return out
@@ -250,38 +256,52 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     docs = cut.where(~alone).select(*_PIECE, "size")
     opened = 1 << 60
     while True:
-        free = gaps.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("room"),
-                        F.coalesce(F.max("size"), F.lit(0)).alias("high")).first()
-        left = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words"), F.min("size").alias("low"),
-                        F.coalesce(F.sum(F.when(F.col("size") > free["high"], F.col("size"))), F.lit(0)).alias("over")).first()
-        if not left["n"]:
+        # sizes are at most `capacity`, so their counts are a small table
+        sizes = docs.select("size", F.lit(True).alias("doc")).unionByName(gaps.select("size", F.lit(False).alias("doc"))).groupBy(
+            "size", "doc").agg(F.count(F.lit(1)).alias("n")).collect()
+        left = {r["size"]: r["n"] for r in sizes if r["doc"]}
+        free = {r["size"]: r["n"] for r in sizes if not r["doc"] and left and r["size"] >= min(left)}
+        if not left:
             break
+        n, high = sum(left.values()), max(free, default=0)
         # neither all the room nor the largest gap holds so much
-        new = max(0, -(-(left["words"] - free["room"]) // capacity), -(-left["over"] // capacity))
-        parts = max(1, min(most, -(-(left["n"] + free["n"] + new) // RANGE_ROWS)))
-        gaps = gaps.where(F.col("size") >= left["low"])
+        new = max(0, -(-_words(left, free) // capacity), -(-sum(k * c for k, c in left.items() if k > high) // capacity))
+        gaps = _few(gaps.where(F.col("size") >= min(left)), sum(free.values()))
+        docs = _few(docs, n)
+        parts = max(1, min(most, -(-(n + sum(free.values()) + new) // RANGE_ROWS)))
         while True:
-            fresh = spark.range(opened, opened + new).select(
+            fresh = spark.range(opened, opened + new, 1, 1 + new // RANGE_ROWS).select(
                 F.lit(capacity).cast("long").alias("size"), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("used"))
             swept = materialize(_swept(docs, gaps.unionByName(fresh), parts))
             found = swept.groupBy("part", "kind").agg(
                 F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high")).collect()
             segments = _segments(found)
-            if segments or any(r["kind"] == _PLACED for r in found):
+            hits = sum(r["n"] for r in found if r["kind"] == _PLACED)
+            if segments or hits:
                 break
             new = max(1, new)  # nothing fits any more, though there is room in all
         opened += new
         served, updated = _served(swept, segments)
-        swept.where(F.col("kind") == _PLACED).select(
-            *_PIECE, "size", "sequence_id", F.col("used").alias("offset")).unionByName(served).write.mode("append").parquet(table)
+        done = swept.where(F.col("kind") == _PLACED).select(*_PIECE, "size", "sequence_id", F.col("used").alias("offset")).unionByName(served)
+        _few(done, hits + sum(hi - lo for _, lo, hi, *_ in segments)).write.mode("append").parquet(table)
         gaps = updated.unionByName(swept.where(F.col("kind") == _SMALL).select("size", "sequence_id", "used"))
         docs = _unserved(swept, segments)
     return spark.read.parquet(table).select(
         "doc_id", "piece", "start", F.col("size").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def _words(left: dict[int, int], free: dict[int, int]) -> int:
+    """What remains, less the room there is."""
+    return sum(k * c for k, c in left.items()) - sum(k * c for k, c in free.items())
+
+
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """`df` in as many partitions as its rows ask for, and not in those it comes from."""
+    return df.coalesce(1 + rows // RANGE_ROWS)
+
+
 def _segment_table(spark, segments: list[tuple]) -> DataFrame:
-    """At most two segments a range."""
+    """A few segments a range, in an order of their own."""
     return F.broadcast(spark.createDataFrame(segments, "part int, lo long, hi long, gap_part int, first long, each long"))
 
 
@@ -294,7 +314,7 @@ def _served(swept: DataFrame, segments: list[tuple]) -> tuple[DataFrame, DataFra
     asked = docs.join(_segment_table(swept.sparkSession, segments), "part").where(inside).withColumn(
         "gap_rank", F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each")).cast("long"))
     # a gap is a group of at most `capacity` documents
-    order = Window.partitionBy("gap_part", "gap_rank").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("gap_part", "gap_rank").orderBy("part", "rank").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("gap_part", "gap_rank")
     met = materialize(free.join(asked, ["gap_part", "gap_rank"], "left").select(
         "gap", "sequence_id", "used", "size", *_PIECE, F.col("rank").isNotNull().alias("taken"),

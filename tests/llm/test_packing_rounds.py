@@ -79,5 +79,9 @@ def test_leftovers_meet_free_gaps_by_rank():
              {"part": 1, "kind": packing._DOC, "n": 5, "low": 20, "high": 40},
              {"part": 1, "kind": packing._GAP, "n": 1, "low": 30, "high": 30},
              {"part": 2, "kind": packing._DOC, "n": 3, "low": 5, "high": 15}]
-    # two of at most 40 fit 100; two of at most 15 fit 30; a fifth document goes without
+    # two of at most 40 fit 100, and two of at most 15 fit 30; a fifth goes without
     assert packing._segments(found) == [(1, 0, 4, 0, 0, 2), (2, 0, 2, 1, 0, 2)]
+    found[1]["n"] = 3
+    # a gap that a larger range has begun serves the next one from what is surely left
+    assert packing._segments(found)[:2] == [(1, 0, 3, 0, 0, 2), (2, 0, 2, 1, 0, 2)]
+    assert packing._segments(found)[2:] == [(2, 2, 3, 0, 1, 4)]
