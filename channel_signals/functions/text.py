@@ -52,11 +52,6 @@ def with_pairs(single: Column) -> Column:
     return F.concat(single, pairs)
 
 
-def char_grams(c: Column, size: int) -> Column:
-    """All overlapping runs of `size` letters or blanks, in one pass over the text."""
-    return F.regexp_extract_all(c, F.lit(rf"(?=([\p{{L}} ]{{{size}}}))"), 1)
-
-
 def opening(toks: Column, n: int = OPENING_TOKENS) -> Column:
     """First n tokens joined by blanks, NULL when there is no token."""
     return F.when(F.size(toks) > 0, F.array_join(F.slice(toks, 1, n), " "))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from channel_signals.constants import VIETNAMESE_MIN_LETTERS
 from channel_signals.functions.text import vietnamese_letters
-from channel_signals.operators.language import _grams
+from channel_signals.operators.language import gram_counts
 
 #: Grams that the model keeps, whatever the training text holds.
 MODEL_GRAMS = 2000
@@ -53,9 +53,10 @@ def fit_languages(df: DataFrame, lang: str = "lang", text: str = "text", grams:
     spark = df.sparkSession
     if not names:
         return LanguageModel([], [], spark.createDataFrame([], "gram string, w array<bigint>"))
-    each = known.select(F.col(lang).alias("l"), F.explode(_grams(F.col(text))).alias("gram")).where(F.trim("gram") != "")
+    each = gram_counts(known.withColumnRenamed(lang, "l"), "l", text)
     # a column for each language: one shuffle, a row for each gram
-    counts = each.groupBy("gram").agg(*[F.count_if(F.col("l") == x).alias(f"n{i}") for i, x in enumerate(names)])
+    counts = each.groupBy("gram").agg(*[
+        F.sum(F.when(F.col("l") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(names)])
     total = sum((F.col(f"n{i}") for i in range(len(names))), F.lit(0))
     top = counts.orderBy(F.desc(total), "gram").limit(grams)
     rows = [tuple(r) for r in top.collect()]  # at most `grams` of them
@@ -80,9 +81,8 @@ def channel_language(titles: DataFrame, model: LanguageModel) -> DataFrame:
         "channel_id", F.when(F.col("_vi") >= VIETNAMESE_MIN_LETTERS, F.lit("vi")).otherwise(F.lit("en")).alias("_else"))
     if not k:
         return fallback.withColumnRenamed("_else", "language")
-    found = titles.select("channel_id", F.explode(_grams(F.col("title"))).alias("gram")).join(
-        F.broadcast(model.weights), "gram")
-    sums = found.groupBy("channel_id").agg(*[F.sum(F.col("w")[i]).alias(f"s{i}") for i in range(k)])
+    found = gram_counts(titles, "channel_id", "title").join(F.broadcast(model.weights), "gram")
+    sums = found.groupBy("channel_id").agg(*[F.sum(F.col("n") * F.col("w")[i]).alias(f"s{i}") for i in range(k)])
     order = sorted(range(k), key=lambda i: model.languages[i], reverse=True)
     best = F.greatest(*[F.struct((F.col(f"s{i}") + F.lit(model.prior[i])).alias("s"), F.lit(rank).alias("r"),
                                  F.lit(model.languages[i]).alias("l")) for rank, i in enumerate(order)]) if k > 1 else F.struct(

@@ -2,29 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections import Counter
+from collections.abc import Iterator
 
-from channel_signals.functions.text import char_grams
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 MAX_GRAM = 3
 PROFILE_SIZE = 300
 
 
-def _grams(text: Column) -> Column:
-    """All n-grams of 1..MAX_GRAM characters of the lower-cased letters and blanks."""
-    clean = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
-    return F.concat(*[char_grams(clean, n) for n in range(1, MAX_GRAM + 1)])
+def gram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, gram, n): the n-grams of 1..MAX_GRAM characters of the lower-cased letters and
+    blanks of each row, counted where the row is, so that a gram leaves its text once."""
+    clean = F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}]+", " ")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, grams, counts = [], [], []
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(grams, pa.string()), pa.array(counts, pa.int64())],
+                    names=[key, "gram", "n"])
+
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                if not t:
+                    continue
+                found = Counter(t)
+                for size in range(2, MAX_GRAM + 1):
+                    found.update([t[j:j + size] for j in range(len(t) - size + 1)])
+                found.pop(" ", None)
+                rows += [i] * len(found)
+                grams += found
+                counts += found.values()
+                if len(rows) > 50_000:
+                    yield out()
+                    rows, grams, counts = [], [], []
+            if rows:
+                yield out()
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, clean.alias("t")).mapInArrow(run, f"`{key}` {kind}, gram string, n long")
 
 
 def _profile(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """(key, gram, rank): the most frequent n-grams; counts combine before the shuffle
     and the ranking keeps only `size` rows per key and task."""
-    counts = (
-        df.select(key, F.explode(_grams(F.col(text))).alias("gram"))
-        .where(F.trim("gram") != "")
-        .groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = gram_counts(df, key, text).groupBy(key, "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "gram")
     return (
         counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
