@@ -318,7 +318,8 @@ def lattice_scores(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> Da
     Frequent words are few by their definition and are looked up where the text is read; the
     others meet their word's row in one shuffle, each with at most a FREQUENT share of all
     tokens. A text of any length is read whole; a word of any length is one lattice, whose
-    edges are held block by block.
+    edges are held block by block. Rows are told apart by their place, so `docs` should be a stored
+    table or a checkpoint, which a lost task reads again in the same order.
     """
     docs = _prepared(docs)
     sc = docs.sparkSession.sparkContext
