@@ -174,14 +174,14 @@ class TrainingResult:
 
 def train(df: DataFrame, columns: list[str], intervals: DataFrame | None = None,
           stages: list | None = None, key: str = "channel_id", folds: int = C.FOLDS,
-          sparse: list[str] = (), sparse_at: float = 0.9, threads: int = C.FOLDS + 1) -> TrainingResult:
+          sparse: list[str] = (C.VELOCITY_RATIO,), sparse_at: float = 0.9, threads: int = C.FOLDS + 1) -> TrainingResult:
     """Split, cross-validate on the training part, refit on it, evaluate on the test part.
 
     `metrics` is one row: cv_* and test_* and the health flags. Columns of `sparse` that are
     missing in more than `sparse_at` of the genuine rows are left out of the model. All fits
     read one stored table of intervals, tagged with folds.
     """
-    columns = P.drop_sparse(P.sentinel_to_null(df), columns, list(sparse), sparse_at)
+    columns = P.drop_sparse(df, columns, list(sparse), sparse_at)
     split = materialize(P.stratified_split(df, key))
     train_rows = split.where(~F.col("is_test")).drop("is_test")
     test_rows = split.where("is_test").drop("is_test")

@@ -21,6 +21,7 @@ from channel_signals.sources.ingest import first_rows
 BUCKETS = 64
 #: Bits of a bucket's filter; eight for every key that the bucket is expected to hold.
 FILTER_BITS = 1 << 23
+ROWS_PER_FILE = 5_000_000
 #: Bits that a key sets, all in one word.
 BITS_PER_KEY = 4
 
@@ -100,22 +101,28 @@ class KeyedTable:
     def append(self, batch: DataFrame, order: list[str] | None = None) -> DataFrame:
         """Store the keys of `batch` that are new; returns the rows that were added."""
         fresh = materialize(self.new_rows(batch, order))
-        if fresh.isEmpty():
+        n = fresh.count()
+        if not n:
             return fresh.drop("bucket", "_word", "_bits")
         words = fresh.groupBy("bucket", "_word").agg(F.bit_or("_bits").alias("_bits"))
-        # a file a bucket, however many tasks made the rows
         _append(words.repartition(self.buckets, "bucket"), self.filters_path)
         rows = fresh.drop("_word", "_bits")
-        _append(rows.repartition(self.buckets, "bucket"), self.rows_path)
+        _append(self._filed(rows, n), self.rows_path)
         return rows.drop("bucket")
 
+    def _filed(self, rows: DataFrame, n: int) -> DataFrame:
+        """`rows` dealt out for writing: a file a bucket, however many tasks made the rows, and
+        more of them where a bucket gets more than ROWS_PER_FILE."""
+        files = 1 + n // (self.buckets * ROWS_PER_FILE)
+        return rows.repartition(self.buckets * files, "bucket", F.pmod(self._hash(3), F.lit(files)))
+
     def compact(self, spark: SparkSession, target: str) -> "KeyedTable":
         """The table anew at `target`, a file a bucket, with filters of the stored keys alone."""
         out = KeyedTable(target, self.key, self.buckets, self.filter_bits)
         rows = self.stored(spark)
         words = self.placed(rows.select(self.key)).groupBy("bucket", "_word").agg(F.bit_or("_bits").alias("_bits"))
         _append(words.repartition(self.buckets, "bucket"), out.filters_path)
-        _append(rows.repartition(self.buckets, "bucket"), out.rows_path)
+        _append(self._filed(rows, rows.count()), out.rows_path)
         return out
 
 

@@ -89,6 +89,16 @@ def test_compacted_table_is_the_same(spark, table, tmp_path):
     assert out.append(frame(spark, [("k3", 9, "y"), ("new", 9, "y")])).count() == 1
 
 
+def test_large_batches_are_split_into_files(spark, table, monkeypatch):
+    from channel_signals.sources import id_index
+
+    monkeypatch.setattr(id_index, "ROWS_PER_FILE", 10)
+    rows = frame(spark, [(f"k{i}", i, "x") for i in range(400)])
+    table.append(rows)
+    assert len(files(table.rows_path)) > 16
+    assert table.append(rows).count() == 0 and len(stored(table, spark)) == 400
+
+
 def test_names_of_the_table_itself_are_refused(spark, table):
     with pytest.raises(ValueError, match="bucket"):
         table.append(frame(spark, [("a", 1, "x")]).withColumn("Bucket", F.lit(1)))
