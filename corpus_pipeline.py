@@ -23,8 +23,18 @@ from channel_signals.session import shared_dir
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Bytes of a batch that goes to a Python worker: texts are long, and stages follow on another.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches for Python are bounded by bytes from now on, not by rows alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
+    small_batches(spark)
     return quality(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
 
 
@@ -33,6 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows that share an id stay or go together; rows without an id are always kept.
     """
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     gone = ngram_join(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -40,6 +51,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a mark and n_chars counted anew where text changed."""
+    small_batches(spark)
     found = find_secrets(docs.select(*COLUMNS))
     changed = F.col("spans") != ""
     return found.select(
@@ -49,6 +61,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
+    small_batches(spark)
     taken = mix(docs.select(*COLUMNS)).where("copies > 0")
     repeat = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))
     return taken.withColumn("_copy", repeat).select(*COLUMNS)
@@ -56,6 +69,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in the packed sequences."""
+    small_batches(spark)
     return pack(pieces(docs.select("doc_id", "text"), tokenizer_path()))
 
 
