@@ -11,7 +11,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,16 @@ class _Encoder:
     """
 
     def __init__(self, path: str):
+        self.path = path
+        self.ranks = _merge_ranks(path)
+
+    @cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.ranks = _merge_ranks(path)
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -109,6 +114,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> Da
                     [pa.array(c, t) for c, t in zip(zip(*out), (
                         pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        pa.default_memory_pool().release_unused()  # the worker lives on without the texts
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
@@ -118,6 +124,8 @@ RANGE_ROWS = 50_000
 #: Columns of a piece that only travel along.
 _PIECE = ["doc_id", "piece", "start", "ids_crc32"]
 _PLACED, _DOC, _GAP, _SMALL = range(4)
+#: Kinds from here on are rows of counts: of a kind of the range, with its least and largest size.
+_COUNT = 10
 _SWEPT = ("part int, kind int, rank long, size long, sequence_id long, used long, "
           "doc_id long, piece int, start long, ids_crc32 long")
 
@@ -182,14 +190,16 @@ def _swept(docs: DataFrame, gaps: DataFrame, parts: int) -> DataFrame:
         def out(held):
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), kinds)], names=names)
 
-        held = []
+        held, seen = [], {}
         for kind, rank, size, seq, used, payload in _sweep(rows()):
             held.append((part, kind, rank, size, seq, used, *payload))
+            n, low, high = seen.get(kind, (0, size, size))
+            seen[kind] = n + 1, min(low, size), max(high, size)
             if len(held) == 10_000:
                 yield out(held)
                 held = []
-        if held:
-            yield out(held)
+        yield out(held + [(part, _COUNT + kind, n, low, None, high, *[None] * 4) for kind, (n, low, high) in seen.items()]
+                  ) if held or seen else out([(part, _COUNT, 0, 0, None, 0, *[None] * 4)])
 
     none = [F.lit(None).cast(t).alias(n) for n, t in zip(_PIECE, ("long", "int", "long", "long"))]
     both = docs.select(F.lit(True).alias("is_doc"), "size", F.lit(None).cast("long").alias("sequence_id"),
@@ -273,8 +283,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             fresh = spark.range(opened, opened + new, 1, 1 + new // RANGE_ROWS).select(
                 F.lit(capacity).cast("long").alias("size"), F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("used"))
             swept = materialize(_swept(docs, gaps.unionByName(fresh), parts))
-            found = swept.groupBy("part", "kind").agg(
-                F.count(F.lit(1)).alias("n"), F.min("size").alias("low"), F.max("size").alias("high")).collect()
+            found = swept.where((F.col("kind") >= _COUNT) & (F.col("rank") > 0)).select(
+                "part", (F.col("kind") - _COUNT).alias("kind"), F.col("rank").alias("n"), F.col("size").alias("low"),
+                F.col("used").alias("high")).collect()
             segments = _segments(found)
             hits = sum(r["n"] for r in found if r["kind"] == _PLACED)
             if segments or hits:
