@@ -522,7 +522,7 @@ def test_least_matches_is_a_posterior():
 def test_registered_queries_run_on_whole_tables(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").count()
-    assert set(QUERIES) == {q for q in QUERIES if re.match(r"op\d+_", q)} and len(QUERIES) == 10
+    assert set(QUERIES) == {q for q in QUERIES if re.match(r"op\d+_", q)} and len(QUERIES) == 13
     for name in ("op1_suffix_dedup", "op7_merkle", "op10_ngram_join"):
         assert QUERIES[name](spark, sf).count() == docs
 
