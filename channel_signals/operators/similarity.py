@@ -3,11 +3,15 @@
 With unit TF-IDF vectors u_i, the sum over ordered pairs of u_i . u_j is the sum over
 terms of (sum_i u_it)^2 minus the sum of the u_it^2. Everything after the choice of
 the first titles stays on the channel_id partitioning, so there is one shuffle, and
-it carries at most `window` titles per channel and map task.
+it carries at most `window` titles per channel and map task. Terms are counted in the
+tasks, from the titles of a channel side by side; no row is a term.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,33 +33,69 @@ def avg_title_similarity(
 ) -> DataFrame:
     """(channel_id, avg_title_similarity), 0 below two titles or without any term.
 
-    A term is one row of its channel, with its count in each of the `window` titles as a
-    column; so one aggregate, one ranking and one sum over the channel are all it takes.
+    A channel is one row of its at most `window` titles, so its terms never become rows:
+    they are counted, capped and weighed a batch of channels at a time.
     """
     order = Window.partitionBy("channel_id").orderBy("pos")
     top = clean(titles).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= window)
-    words = top.select("channel_id", "_i", X.term_tokens(F.col("title")).alias("_w"))
-    # a title without terms keeps a NULL term, so that it counts among the titles
-    terms = words.select("channel_id", "_i", F.explode_outer(X.with_pairs(F.col("_w"))).alias("term"))
-    places = range(1, window + 1)
-    counted = terms.groupBy("channel_id", "term").agg(
-        F.max("_i").alias("_last"), F.count("term").alias("_total"),
-        *[F.count_if((F.col("_i") == i) & F.col("term").isNotNull()).alias(f"t{i}") for i in places])
-    channel = Window.partitionBy("channel_id")
-    by_use = channel.orderBy(F.desc("_total"), F.asc_nulls_last("term"))
-    capped = counted.withColumn("_rank", F.row_number().over(by_use)).withColumn(
-        "_n", F.max("_last").over(channel)).where(F.col("_rank") <= max_terms)
-    df = sum(((F.col(f"t{i}") > 0).cast("int") for i in places), F.lit(0))
-    weighted = capped.withColumn("_idf", F.log((1.0 + F.col("_n")) / (1.0 + df)) + 1.0).select(
-        "channel_id", "_n", *[(F.col(f"t{i}") * F.col("_idf")).alias(f"w{i}") for i in places])
-    whole = weighted.select("*", *[F.sum(F.col(f"w{i}") * F.col(f"w{i}")).over(channel).alias(f"q{i}") for i in places])
-    unit = [F.coalesce(F.try_divide(F.col(f"w{i}"), F.sqrt(F.col(f"q{i}"))), F.lit(0.0)) for i in places]
-    units = whole.select("channel_id", "_n", *[u.alias(f"u{i}") for i, u in zip(places, unit)])
-    s = sum((F.col(f"u{i}") for i in places), F.lit(0.0))
-    q = sum((F.col(f"u{i}") * F.col(f"u{i}") for i in places), F.lit(0.0))
-    total = units.groupBy("channel_id").agg(F.max("_n").alias("n"), F.sum(s * s - q).alias("pairs"))
-    n = F.col("n").cast("double")
-    return total.select(
-        "channel_id",
-        F.when(F.col("n") >= 2, F.col("pairs") / F.nullif(n * (n - 1.0), F.lit(0.0)))
-        .otherwise(F.lit(0.0)).alias("avg_title_similarity"))
+    own = top.groupBy("channel_id").agg(F.sort_array(F.collect_list(F.struct("_i", "title"))).alias("_t"))
+
+    @F.arrow_udf("double")
+    def similarity(words: pa.Array) -> pa.Array:
+        return pa.array(mean_similarities(words, max_terms), pa.float64())
+
+    words = F.transform("_t", lambda t: X.term_tokens(t["title"]))
+    return own.select("channel_id", similarity(words).alias("avg_title_similarity"))
+
+
+def mean_similarities(words: pa.Array, max_terms: int) -> np.ndarray:
+    """The mean similarity of each row of `words`, a list of titles that are lists of tokens."""
+    n_rows = len(words)
+    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    titles = words.flatten()
+    row = np.repeat(np.arange(n_rows), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    length = pc.list_value_length(titles).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = titles.flatten().dictionary_encode()
+    a = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(a):
+        return np.zeros(n_rows)
+    # a term is a token, or a token and the next one of its title plus one
+    base, most = len(coded.dictionary) + 1, int(size.max())
+    if n_rows > 1 and n_rows * base * base * most >= 1 << 63:
+        half = n_rows // 2
+        return np.concatenate([mean_similarities(x, max_terms) for x in (words.slice(0, half), words.slice(half))])
+    at = np.repeat(np.arange(len(titles)), length)
+    paired = np.flatnonzero(at[1:] == at[:-1])
+    term = np.concatenate([a * base, a[paired] * base + a[paired + 1] + 1])
+    at = np.concatenate([at, at[paired]])
+    key, count = np.unique((row[at] * (base * base) + term) * most + place[at], return_counts=True)
+    place, key = key % most, key // most
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+    row, term = key[first] // (base * base), key[first] % (base * base)
+    total, df = np.add.reduceat(count, first), np.bincount(group)
+    kept = np.ones(len(first), bool)
+    for r in np.flatnonzero(np.bincount(row) > max_terms):
+        mine = np.flatnonzero(row == r)
+        spelled = coded.dictionary
+
+        def name(i: int) -> str:
+            x, y = divmod(int(term[i]), base)
+            return spelled[x].as_py() + (f" {spelled[y - 1].as_py()}" if y else "")
+
+        # whole counts decide, only the terms of the last count go by name
+        last = -np.partition(-total[mine], max_terms - 1)[max_terms - 1]
+        over, tied = mine[total[mine] > last], mine[total[mine] == last]
+        kept[mine] = False
+        kept[over] = True
+        kept[sorted(tied, key=name)[:max_terms - len(over)]] = True
+    keep = kept[group]
+    group, place, count = group[keep], place[keep], count[keep]
+    idf = np.log((1.0 + size[row]) / (1.0 + df)) + 1.0
+    weight, title = count * idf[group], row[group] * most + place
+    norm = np.sqrt(np.bincount(title, weight * weight, n_rows * most))
+    unit = weight / norm[title]
+    s = np.bincount(group, unit, len(first))
+    pairs = np.bincount(row, s * s - np.bincount(group, unit * unit, len(first)), n_rows)
+    return np.where(size >= 2, pairs / np.maximum(size * (size - 1.0), 1.0), 0.0)
