@@ -76,8 +76,15 @@ def has_click_marker(c: Column) -> Column:
 
 
 def click_phrase_pattern() -> str:
-    """One alternation of all phrases; case-blind phrases stay case-blind."""
-    parts = [f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in CLICKBAIT_PHRASES]
+    """One alternation of all phrases; case-blind phrases stay case-blind. Those that begin at a
+    word are tried together, and only where one of their first letters stands."""
+    blind = r"(?i)\b"
+    at_words = [p[len(blind):] for p in CLICKBAIT_PHRASES if p.startswith(blind) and p[len(blind)].isalpha()]
+    rest = [p for p in CLICKBAIT_PHRASES if not (p.startswith(blind) and p[len(blind)].isalpha())]
+    parts = [f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in rest]
+    if at_words:
+        letters = "".join(sorted({p[0] for p in at_words}))
+        parts.insert(0, rf"(?i:(?=[{letters}])\b(?:{'|'.join(at_words)}))")
     return "|".join(parts)
 
 
@@ -86,5 +93,7 @@ def has_click_phrase(c: Column) -> Column:
 
 
 def vietnamese_letters(c: Column) -> Column:
-    low = F.lower(c)
-    return F.length(low) - F.length(F.translate(low, VIETNAMESE_LETTERS, ""))
+    """None of the letters is ASCII, nor is any character an ASCII one becomes in lower case."""
+    low = F.lower(F.regexp_replace(c, r"\p{ASCII}+", ""))
+    return F.when(F.length(c) == F.octet_length(c), 0).otherwise(
+        F.length(low) - F.length(F.translate(low, VIETNAMESE_LETTERS, "")))

@@ -58,10 +58,11 @@ def vocabulary(titles: DataFrame, tokenizer: str = "words", segment: Segmenter |
     """
     t = F.col("title")
 
-    def counted(tokens: Column) -> Column:
-        """Structs (opening, token) of a title."""
-        each = F.transform(tokens, lambda x: F.struct(F.lit(False).alias("opening"), x.alias("token")))
-        return F.concat(each, F.array(F.struct(F.lit(True).alias("opening"), X.opening(tokens).alias("token"))))
+    def counted(cut: DataFrame) -> DataFrame:
+        """(channel_id, opening, token, n) from the tokens `w` of titles, whose opening comes last."""
+        w = F.col("w")
+        each = cut.select("channel_id", F.size(w).alias("_size"), F.posexplode(F.concat(w, F.array(X.opening(w)))).alias("_i", "token"))
+        return each.groupBy("channel_id", (F.col("_i") == F.col("_size")).alias("opening"), "token").agg(F.count(F.lit(1)).alias("n"))
 
     def ratios(rows: DataFrame, **kinds) -> DataFrame:
         """Kinds over all tokens; a title without tokens leaves a row, but no count."""
@@ -71,21 +72,14 @@ def vocabulary(titles: DataFrame, tokenizer: str = "words", segment: Segmenter |
             for k, c in kinds.items()])
 
     cut = clean(titles).select("channel_id", X.tokens(t, "vi").alias("w")) if segment is None else segment(clean(titles))
-    vi = (
-        cut.select("channel_id", F.inline(counted(F.col("w"))))
-        .groupBy("channel_id", "opening", "token").agg(F.count(F.lit(1)).alias("n"))
-    )
+    vi = counted(cut)
     if tokenizer == "words" and segment is None:
         both = vi.groupBy("channel_id", "opening", F.lower("token").alias("token")).agg(
             F.sum("n").alias("n"), F.count(F.lit(1)).alias("vi"), F.lit(1).alias("plain"))
         found = ratios(both, vi="vi", plain="plain")
     elif tokenizer in ("words", "whitespace"):
         spelled = X.words(t) if tokenizer == "whitespace" else X.tokens(t)
-        plain = (
-            clean(titles).select("channel_id", spelled.alias("w"))
-            .select("channel_id", F.inline(counted(F.col("w"))))
-            .groupBy("channel_id", "opening", "token").agg(F.count(F.lit(1)).alias("n"))
-        )
+        plain = counted(clean(titles).select("channel_id", spelled.alias("w")))
         both = [rows.withColumn("one", F.lit(1)) for rows in (vi, plain)]
         none = F.lit(None).cast("double")
         found = ratios(both[0], vi="one").withColumn("plain", none).unionByName(

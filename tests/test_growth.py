@@ -8,9 +8,14 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
+from channel_signals.constants import CLICKBAIT_PHRASES, VIETNAMESE_LETTERS
+from channel_signals.functions import text as X
+from channel_signals.functions.segment import longest_match
 from channel_signals.operators import language as L
 from channel_signals.operators.similarity import avg_title_similarity
+from channel_signals.operators.titles import vocabulary
 from channel_signals.workload import spark_queries as Q
 from channel_signals.workload import views as V
 
@@ -94,3 +99,48 @@ def test_place_in_the_quota_needs_no_task_for_a_whole_target(tiny_tasks, monkeyp
     from channel_signals.operators.skew import prefix_sums
     assert all(r["consistent"] for r in Q.QUERIES["curate_with_model"](tiny_tasks, SF).collect())
     assert made
+
+
+def test_phrases_are_tried_where_they_may_begin(spark):
+    pattern = X.click_phrase_pattern()
+    assert pattern.count(r"(?i)") == 0 and pattern.count("(?=") == 1
+    texts = ["YOU WON'T believe it", "untruth", "the truth", "xthe truth", "Not a but", "knot a but", "Genius Of all", "explained in 5 minutes",
+             "ÍT AI BIẾT", "ít ai biết", "Review phim", "review phim", "sự thật bí ẩn", "", "không phải a mà là", "few people realize", "carl sagan on"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    one_by_one = F.array(*[F.col("t").rlike(p) for p in CLICKBAIT_PHRASES])
+    got = df.select("t", X.has_click_phrase(F.col("t")).alias("all"), F.exists(one_by_one, lambda b: b).alias("any")).collect()
+    assert all(r["all"] == r["any"] for r in got) and 5 < sum(r["all"] for r in got) < len(texts)
+
+
+def test_vietnamese_letters_are_looked_for_beyond_ascii(spark):
+    texts = [None, "", "plain", "ĐÂY là Ở", "KİΣ é", "tiếng Việt — x"]
+    old = F.length(F.lower("t")) - F.length(F.translate(F.lower("t"), VIETNAMESE_LETTERS, ""))
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(X.vietnamese_letters(F.col("t")).alias("a"), old.alias("b"))
+    assert "octet_length" in plan(df)
+    assert [r["a"] for r in df.collect()] == [r["b"] for r in df.collect()] == [None, 0, 0, 4, 1, 2]
+
+
+def test_tokens_are_no_structs_before_they_are_counted(spark):
+    titles = spark.createDataFrame([(1, 0, "A a b c d"), (1, 1, "A a b x"), (1, 2, "..."), (2, 0, "?")], "channel_id long, pos long, title string")
+    for kind in ("words", "whitespace"):
+        assert "transform(" not in plan(vocabulary(titles, kind))
+    got = {r["channel_id"]: r for r in vocabulary(titles).collect()}
+    assert got[1]["ttr_vi"] == pytest.approx(6 / 9) and got[1]["ttr_plain"] == pytest.approx(5 / 9)
+    assert got[1]["open_vi"] == pytest.approx(0.5) and got[2]["ttr_vi"] == got[2]["open_plain"] == 0.0
+
+
+def test_longest_words_by_their_first_syllables(spark):
+    rnd = random.Random(3)
+    words = ["a b", "b c a", "a b c", "c"]
+    texts = [" ".join(rnd.choice("aBcd") for _ in range(rnd.randint(0, 9))) for _ in range(80)]
+
+    def naive(t):
+        own, out, at = t.split(), [], 0
+        while at < len(own):
+            n = next((n for n in (3, 2) if " ".join(own[at:at + n]).lower() in words and at + n <= len(own)), 1)
+            out.append(" ".join(own[at:at + n]))
+            at += n
+        return out
+
+    df = spark.createDataFrame(list(enumerate(texts)), "channel_id long, title string")
+    assert {r["channel_id"]: r["w"] for r in longest_match(words)(df).collect()} == {i: naive(t) for i, t in enumerate(texts)}
