@@ -50,14 +50,24 @@ def longest_match(words: Iterable[str]) -> Segmenter:
     known = {tuple(w.lower().split()) for w in words}
     longest = max(map(len, known), default=1)
 
+    starts = {w[0] for w in known if len(w) > 1}
+
     def cut(title: str) -> list[str]:
         own = _SYLLABLE.findall(title)
+        if not starts:
+            return own
         low = [s.lower() for s in own]
+        if starts.isdisjoint(low):
+            return own
         out, at = [], 0
-        while at < len(own):
-            size = next((n for n in range(min(longest, len(own) - at), 1, -1) if tuple(low[at:at + n]) in known), 1)
-            out.append(" ".join(own[at:at + size]))
-            at += size
-        return out
+        for i, s in enumerate(low):
+            if s not in starts or i < at:
+                continue
+            size = next((n for n in range(min(longest, len(own) - i), 1, -1) if tuple(low[i:i + n]) in known), 1)
+            if size > 1:
+                out += own[at:i]
+                out.append(" ".join(own[i:i + size]))
+                at = i + size
+        return out + own[at:]
 
     return arrow_segmenter(cut)
