@@ -12,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from channel_signals.constants import SIMILARITY_TERMS, SIMILARITY_TITLES
@@ -36,30 +36,40 @@ def avg_title_similarity(
     A channel is one row of its at most `window` titles, so its terms never become rows:
     they are counted, capped and weighed a batch of channels at a time.
     """
+    return compared_titles(titles, window).select("channel_id", similarity_of(F.col("compared"), max_terms).alias("avg_title_similarity"))
+
+
+def compared_titles(titles: DataFrame, window: int = SIMILARITY_TITLES) -> DataFrame:
+    """(channel_id, compared): a channel's first titles that are not empty, in order."""
     order = Window.partitionBy("channel_id").orderBy("pos")
     top = clean(titles).withColumn("_i", F.row_number().over(order)).where(F.col("_i") <= window)
-    own = top.groupBy("channel_id").agg(F.sort_array(F.collect_list(F.struct("_i", "title"))).alias("_t"))
+    return top.groupBy("channel_id").agg(F.sort_array(F.collect_list(F.struct("_i", "title"))).alias("compared"))
+
 
+def similarity_of(compared: Column, max_terms: int = SIMILARITY_TERMS) -> Column:
+    """The similarity of the titles that `compared_titles` gives, 0 for none. A join after it
+    would shuffle, as Spark forgets the partitioning behind a Python function."""
     @F.arrow_udf("double")
     def similarity(words: pa.Array) -> pa.Array:
         return pa.array(mean_similarities(words, max_terms), pa.float64())
 
-    words = F.transform("_t", lambda t: X.term_tokens(t["title"]))
-    return own.select("channel_id", similarity(words).alias("avg_title_similarity"))
+    return similarity(F.transform(compared, lambda t: X.term_tokens(t["title"])))
 
 
 def mean_similarities(words: pa.Array, max_terms: int) -> np.ndarray:
     """The mean similarity of each row of `words`, a list of titles that are lists of tokens."""
     n_rows = len(words)
-    size = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    titles = words.flatten()
+    size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    titles = words.flatten()  # without those of null rows
     row = np.repeat(np.arange(n_rows), size)
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     length = pc.list_value_length(titles).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = titles.flatten().dictionary_encode()
-    a = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    if not len(a):
+    if not len(coded):
         return np.zeros(n_rows)
+    # by name, so that sums go in one order whatever the batch holds
+    rank = np.argsort(pc.sort_indices(coded.dictionary).to_numpy())
+    a = rank[coded.indices.to_numpy(zero_copy_only=False)]
     # a term is a token, or a token and the next one of its title plus one
     base, most = len(coded.dictionary) + 1, int(size.max())
     if n_rows > 1 and n_rows * base * base * most >= 1 << 63:
@@ -78,18 +88,13 @@ def mean_similarities(words: pa.Array, max_terms: int) -> np.ndarray:
     kept = np.ones(len(first), bool)
     for r in np.flatnonzero(np.bincount(row) > max_terms):
         mine = np.flatnonzero(row == r)
-        spelled = coded.dictionary
-
-        def name(i: int) -> str:
-            x, y = divmod(int(term[i]), base)
-            return spelled[x].as_py() + (f" {spelled[y - 1].as_py()}" if y else "")
-
-        # whole counts decide, only the terms of the last count go by name
+        # whole counts decide, only the terms of the last count go by name: a blank sorts below
+        # all characters of a token, so terms rise as their numbers do
         last = -np.partition(-total[mine], max_terms - 1)[max_terms - 1]
         over, tied = mine[total[mine] > last], mine[total[mine] == last]
         kept[mine] = False
         kept[over] = True
-        kept[sorted(tied, key=name)[:max_terms - len(over)]] = True
+        kept[tied[:max_terms - len(over)]] = True
     keep = kept[group]
     group, place, count = group[keep], place[keep], count[keep]
     idf = np.log((1.0 + size[row]) / (1.0 + df)) + 1.0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from channel_signals.constants import ALL_FEATURES, META_COLUMNS, STATIC_FEATURES
 from channel_signals.functions.segment import Segmenter
 from channel_signals.operators import engagement as E
-from channel_signals.operators.similarity import avg_title_similarity
+from channel_signals.operators.similarity import compared_titles, similarity_of
 from channel_signals.operators.skew import FIND
 from channel_signals.operators.timing import (
     channel_age_days, timing_features, video_upload_frequency,
@@ -38,7 +38,7 @@ def _features(
         .join(timing_features(uploads, hot), "channel_id", "left")
         .join(style, "channel_id", "left")
         .join(vocabulary(titles, tokenizer, segment), "channel_id", "left")
-        .join(avg_title_similarity(titles), "channel_id", "left")
+        .join(compared_titles(titles), "channel_id", "left")
     )
     zero = F.lit(0.0)
     timed = joined.withColumns({
@@ -61,7 +61,7 @@ def _features(
         F.coalesce("capitalization_ratio", zero).alias("capitalization_ratio"),
         temporal_clickbait(F.col("click_marker_share"), F.col("_std")).alias("temporal_clickbait_ratio"),
         *pick_vocabulary(vietnamese),
-        F.coalesce("avg_title_similarity", zero).alias("avg_title_similarity"),
+        similarity_of(F.col("compared")).alias("avg_title_similarity"),
         E.sub_to_view_ratio(F.col("subscriber_count"), F.col("view_count")).alias("sub_to_view_ratio"),
         sub_v.alias("subscriber_velocity"),
         E.velocity_ratio(sub_v, view_v).alias("sub_to_view_velocity_ratio"),

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from channel_signals.constants import CLICKBAIT_PHRASES, VIETNAMESE_LETTERS
 from channel_signals.functions import text as X
 from channel_signals.functions.segment import longest_match
 from channel_signals.operators import language as L
-from channel_signals.operators.similarity import avg_title_similarity
+from channel_signals.operators.similarity import avg_title_similarity, mean_similarities
 from channel_signals.operators.titles import vocabulary
 from channel_signals.workload import spark_queries as Q
 from channel_signals.workload import views as V
@@ -144,3 +145,8 @@ def test_longest_words_by_their_first_syllables(spark):
 
     df = spark.createDataFrame(list(enumerate(texts)), "channel_id long, title string")
     assert {r["channel_id"]: r["w"] for r in longest_match(words)(df).collect()} == {i: naive(t) for i, t in enumerate(texts)}
+
+
+def test_no_titles_are_not_alike():
+    words = pa.array([None, [["aa", "bb"], ["aa", "bb"]], [], [[]]], pa.list_(pa.list_(pa.string())))
+    assert mean_similarities(words, 10).tolist() == pytest.approx([0.0, 1.0, 0.0, 0.0])
