@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from channel_signals import constants as C
 from channel_signals.operators import metrics as M
 from channel_signals.operators import prep as P
+from channel_signals.operators.class_forest import DeepForest
 from channel_signals.operators.iforest import IntervalForest, IntervalForestModel
 from channel_signals.operators.kernel import RandomFourierFeatures
 from channel_signals.operators.scaling import MedianImputer, PopulationScaler
@@ -212,7 +213,7 @@ def comparison_models(df: DataFrame, columns: list[str]) -> dict[str, list]:
             RandomFourierFeatures(inputCol="features", outputCol="kernel", numFeatures=256,
                                   gamma=1.0 / d, seed=C.SEED),
             LinearSVC(featuresCol="kernel", maxIter=100, regParam=1.0 / max(n, 1))],
-        "Random Forest": [random_forest(100, 30, balanced=False)],
+        "Random Forest": [DeepForest(numTrees=100, maxDepth=30)],
         "MLP": [MultilayerPerceptronClassifier(layers=[d, 100, 2], maxIter=2000, tol=1e-4,
                                                seed=C.SEED)],
     }
@@ -267,7 +268,7 @@ def notebook_forest(df: DataFrame, key: str = "channel_id"):
     columns = [c for c in P.numeric_columns(df) if c != key]
     split = materialize(P.stratified_split(df, key))
     fitted = ChannelClassifier.fit(
-        split.where(~F.col("is_test")), columns, None, [random_forest(C.NOTEBOOK_TREES, 30)], key)
+        split.where(~F.col("is_test")), columns, None, [DeepForest(numTrees=C.NOTEBOOK_TREES, maxDepth=30, weightCol="weight")], key)
     return fitted, fitted.predict(split.where("is_test").drop("is_test"))
 
 
