@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from channel_signals import constants as C
 from channel_signals.operators.similarity import first_titles
+from channel_signals.session import materialize
 
 
 def default_country(country: Column, query: Column) -> Column:
@@ -159,16 +160,17 @@ def curate(
     """new_channels(channel_id, title, label) from landed candidates.
 
     `score(candidates, uploads, titles)` returns (channel_id, p1). Nothing is written:
-    pass the result to `seeds_with` for that.
+    pass the result to `seeds_with` for that. Each step is written once: the quota reads its
+    rows several times, and sorts of many steps in one stage would each hold their first page.
     """
     first = first_occurrence(candidates).withColumn(
         "country", default_country(F.col("country"), F.col("query")))
-    kept = eligible(first, uploads)
+    kept = materialize(eligible(first, uploads))
     recent = capped_uploads(uploads, kept)
-    theirs = capped_titles(titles, kept)
+    theirs = materialize(capped_titles(titles, kept))
     scored = kept.join(score(kept, recent, theirs), "channel_id")
-    decided = with_exclusion(scored, theirs).withColumn(
-        "decision", classify(F.col("p1"), F.col("excluded"))).where(F.col("decision").isNotNull())
+    decided = materialize(with_exclusion(scored, theirs).withColumn(
+        "decision", classify(F.col("p1"), F.col("excluded"))).where(F.col("decision").isNotNull()))
     return within_quota(decided, quota).select(
         "channel_id", "title", F.col("decision").alias("label"))
 

@@ -89,6 +89,26 @@ def test_curation_by_hand(spark):
     assert sorted(map(tuple, grown.collect())) == [("g1", 0), ("s1", 1), ("s3", 1), ("s4", 1)]
 
 
+def test_curation_scores_each_candidate_once(spark):
+    """The quota reads the decided rows several times; what comes before runs once."""
+    cand = spark.range(12).selectExpr(
+        "if(id % 2 = 0, 'slop', 'genuine') as target", "'q' as query", "cast(id % 2 as int) as query_order", "cast(id as int) as rank",
+        "cast(id as string) as channel_id", "'t' as title", "'' as country", "5000L as subscriber_count", "20L as video_count", "50000L as view_count")
+    ups = spark.range(36).selectExpr("cast(id % 12 as string) as channel_id", "timestamp_seconds(id * 86400) as published_at")
+    titles = spark.range(12).selectExpr("cast(id as string) as channel_id", "0 as pos", "'t' as title")
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def p1(channel):
+        scored.add(1)
+        return 0.99 if int(channel) % 2 == 0 else 0.01
+
+    new = U.curate(cand, ups, titles, lambda c, u, t: c.select("channel_id", p1("channel_id").alias("p1")), quota=3)
+    assert sorted((r["channel_id"], r["label"]) for r in new.collect()) == [
+        (str(i), "genuine" if i % 2 else "slop") for i in range(6)]
+    assert scored.value == 12
+
+
 def test_searches_stop_at_their_target_only(spark):
     cols = "target string, query_order int, rank int, channel_id int, decision string"
     rows = [("slop", 0, i, i, "genuine") for i in range(60)] + [("slop", 1, i, 100 + i, "slop") for i in range(5)]
