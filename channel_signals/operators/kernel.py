@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from channel_signals.constants import SEED
+from channel_signals.functions.gradients import projection
 
 
 class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -39,9 +40,7 @@ class RandomFourierFeatures(Transformer, DefaultParamsReadable, DefaultParamsWri
         @F.pandas_udf("array<double>")
         def project(rows: pd.Series) -> pd.Series:
             x = np.stack(rows.to_numpy()) if len(rows) else np.empty((0, 1))
-            rng = np.random.default_rng(seed)
-            w = rng.normal(scale=np.sqrt(2.0 * gamma), size=(x.shape[1], size))
-            b = rng.uniform(0.0, 2.0 * np.pi, size=size)
+            w, b = projection(x.shape[1], size, gamma, seed)
             return pd.Series(list(np.sqrt(2.0 / size) * np.cos(x @ w + b)))
 
         source = vector_to_array(self.getOrDefault(self.inputCol))

@@ -10,9 +10,7 @@ from dataclasses import dataclass
 from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +20,7 @@ from channel_signals.operators import metrics as M
 from channel_signals.operators import prep as P
 from channel_signals.operators.class_forest import DeepForest
 from channel_signals.operators.iforest import IntervalForest, IntervalForestModel
+from channel_signals.operators.gradient import KernelSVC, TaskPerceptron
 from channel_signals.operators.kernel import RandomFourierFeatures
 from channel_signals.operators.scaling import MedianImputer, PopulationScaler
 from channel_signals.session import in_parallel, materialize
@@ -225,16 +224,14 @@ def comparison_models(df: DataFrame, columns: list[str]) -> dict[str, list]:
     """The four models compared, each as pipeline stages after imputing and scaling."""
     n = df.count()
     d = len(columns)
+    kernel = RandomFourierFeatures(inputCol="features", outputCol="kernel", numFeatures=256,
+                                   gamma=1.0 / d, seed=C.SEED)
     return {
         # a unit penalty on a summed loss is 1/n on a mean loss
         "Logistic Regression": [LogisticRegression(maxIter=1000, regParam=1.0 / max(n, 1))],
-        "SVM (RBF)": [
-            RandomFourierFeatures(inputCol="features", outputCol="kernel", numFeatures=256,
-                                  gamma=1.0 / d, seed=C.SEED),
-            LinearSVC(featuresCol="kernel", maxIter=100, regParam=1.0 / max(n, 1))],
+        "SVM (RBF)": [kernel, KernelSVC(kernel, maxIter=100, regParam=1.0 / max(n, 1))],
         "Random Forest": [DeepForest(numTrees=100, maxDepth=30)],
-        "MLP": [MultilayerPerceptronClassifier(layers=[d, 100, 2], maxIter=2000, tol=1e-4,
-                                               seed=C.SEED)],
+        "MLP": [TaskPerceptron(layers=[d, 100, 2], maxIter=2000, tol=1e-4, seed=C.SEED)],
     }
 
 
