@@ -1,7 +1,7 @@
 """Losses of many rows and their gradients, in plain numpy: this is what the tasks import.
 
-Rows go through in blocks that stay in the cache. What a block holds for every row and unit has
-single precision; sums, and what a row is projected from, have double.
+Rows go through in blocks that stay in the cache. What a block holds for every row and feature of a
+kernel has single precision, and for every unit of a perceptron if rows are many; sums have double.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from channel_signals.functions.descent import minimize
 
 #: Rows of a block.
 BLOCK = 1024
+#: Rows of a fit from which units have single precision.
+MANY_ROWS = 65_536
 
-#: Numbers of some rows, given their features and labels, and the sums of these over all rows.
-Part = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Numbers of some rows, given their features, labels and weights, and the sums of these over all rows.
+Part = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 Total = Callable[[Part], np.ndarray]
 
 
@@ -54,7 +56,7 @@ class Kernel(NamedTuple):
             yield i, np.cos(k, out=k)
 
 
-def _moments(kernel: Kernel, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def moments(kernel: Kernel, x: np.ndarray) -> np.ndarray:
     """Sums of the values and of their squares."""
     out = np.zeros((2, kernel.w.shape[1]))
     for _, k in kernel.blocks(x):
@@ -79,18 +81,18 @@ def hinge(kernel: Kernel, x: np.ndarray, y: np.ndarray, weights: np.ndarray, shi
     return out
 
 
-def perceptron(x: np.ndarray, y: np.ndarray, weights: np.ndarray, hidden: int) -> np.ndarray:
-    """Sums over the rows: cross entropy of two classes, and its gradient, for one layer of sigmoid
+def perceptron(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: np.ndarray, hidden: int, kind=np.float32) -> np.ndarray:
+    """Sums over the rows, each by its weight w: cross entropy of two classes, and its gradient, for one layer of sigmoid
     units; weights lie as in Spark's models, layer by layer, each unit's numbers by input, then constants."""
     d = x.shape[1]
     first = weights[:hidden * (d + 1)].reshape(d + 1, hidden)
     last = weights[hidden * (d + 1):].reshape(hidden + 1, 2)
-    into = -first.astype(np.float32)
-    out_of = (last[:, 1] - last[:, 0]).astype(np.float32)
+    into = -first.astype(kind)
+    out_of = (last[:, 1] - last[:, 0]).astype(kind)
     sign = np.where(y > 0, 1.0, -1.0)
     value, g_first, g_last = 0.0, np.zeros((d + 1, hidden)), np.zeros(hidden + 1)
-    rows = np.ones((BLOCK, d + 1), np.float32)
-    z, slope = np.empty((BLOCK, hidden), np.float32), np.empty((BLOCK, hidden), np.float32)
+    rows = np.ones((BLOCK, d + 1), kind)
+    z, slope = np.empty((BLOCK, hidden), kind), np.empty((BLOCK, hidden), kind)
     with np.errstate(over="ignore"):
         for i in range(0, len(x), BLOCK):
             n = min(BLOCK, len(x) - i)
@@ -98,13 +100,13 @@ def perceptron(x: np.ndarray, y: np.ndarray, weights: np.ndarray, hidden: int) -
             r[:, :d] = x[i:i + n]
             np.dot(r, into, out=a)
             np.exp(a, out=a)
-            a += np.float32(1.0)
+            a += kind(1.0)
             np.reciprocal(a, out=a)
             margin = s * (a @ out_of[:hidden] + out_of[hidden]).astype(float)
             e = np.exp(-np.abs(margin))
-            value += (np.log1p(e) - np.minimum(margin, 0.0)).sum()
-            pull = -s * np.where(margin > 0, e, 1.0) / (1.0 + e)
-            p = pull.astype(np.float32)
+            value += (np.log1p(e) - np.minimum(margin, 0.0)) @ w[i:i + n]
+            pull = -s * w[i:i + n] * np.where(margin > 0, e, 1.0) / (1.0 + e)
+            p = pull.astype(kind)
             g_last[:hidden] += p @ a
             g_last[hidden] += pull.sum()
             np.multiply(a, a, out=b)
@@ -120,8 +122,11 @@ def fit_perceptron(total: Total, n: int, columns: int, start: np.ndarray, hidden
     if len(start) != hidden * (columns + 1) + 2 * (hidden + 1):
         raise ValueError(f"{columns} features, not those of the first layer")
 
-    def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
-        sums = total(partial(perceptron, weights=w, hidden=hidden)) / n
+    kind = np.float32 if n > MANY_ROWS else np.float64
+    weight = total(lambda x, y, w: w.sum(keepdims=True))[0]
+
+    def objective(weights: np.ndarray) -> tuple[float, np.ndarray]:
+        sums = total(partial(perceptron, weights=weights, hidden=hidden, kind=kind)) / weight
         return sums[0], sums[1:]
 
     return minimize(objective, start, steps, tol)[0]
@@ -130,13 +135,14 @@ def fit_perceptron(total: Total, n: int, columns: int, start: np.ndarray, hidden
 def fit_svm(total: Total, n: int, columns: int, size: int, gamma: float, seed: int, reg: float, steps: int, tol: float) -> np.ndarray:
     """Weights of the kernel's features, then the intercept; the penalty is on standardised features."""
     kernel = Kernel(*projection(columns, size, gamma, seed), math.sqrt(2.0 / size))
-    sums, squares = total(partial(_moments, kernel)).reshape(2, size)
+    sums, squares = total(lambda x, y, _: moments(kernel, x)).reshape(2, size)
     std = np.sqrt(np.maximum(squares - sums * sums / n, 0.0) / max(n - 1, 1))
     inverse = np.divide(1.0, std, out=np.zeros(size), where=std > 0)
     mean = sums / n * inverse
 
     def objective(w: np.ndarray) -> tuple[float, np.ndarray]:
-        sums = total(partial(hinge, kernel, weights=w[:size] * inverse, shift=w[size] - w[:size] @ mean)) / n
+        weights, shift = w[:size] * inverse, w[size] - w[:size] @ mean
+        sums = total(lambda x, y, _: hinge(kernel, x, y, weights, shift)) / n
         by = sums[1:-1] * inverse - sums[-1] * mean + reg * w[:size]
         return sums[0] + reg / 2 * (w[:size] @ w[:size]), np.append(by, sums[-1])
 

@@ -29,13 +29,30 @@ from channel_signals.operators.kernel import RandomFourierFeatures
 TASK_ROWS = 65_536
 
 
-def _arrays(x: bytes, y: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(x: bytes, y: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     labels = np.frombuffer(y, np.int32)
-    return np.frombuffer(x, np.float64).reshape(len(labels), -1), labels
+    return np.frombuffer(x, np.float64).reshape(len(labels), -1), labels, np.frombuffer(w, np.float64)
 
 
-def learn(df: DataFrame, features: str, label: str, fit: Callable[[G.Total, int, int], np.ndarray]) -> np.ndarray:
-    """What `fit(total, n, columns)` returns: here, or in the task that holds all rows."""
+def block_weights(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of so many rows of a partition weigh alike, also the last one, which has less."""
+    def weighted(t: pa.Table) -> list[pa.RecordBatch]:
+        weight = block / min(t.num_rows or block, block)
+        return t.append_column("w", pa.array(np.full(t.num_rows, weight))).to_batches()
+
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        seen = pa.Table.from_batches([*rest, b])
+        full = seen.num_rows // block * block
+        yield from weighted(seen.slice(0, full))
+        rest = seen.slice(full).to_batches()
+    if rest:
+        yield from weighted(pa.Table.from_batches(rest))
+
+
+def learn(df: DataFrame, features: str, label: str, fit: Callable[[G.Total, int, int], np.ndarray], block: int = 0) -> np.ndarray:
+    """What `fit(total, n, columns)` returns: here, or in the task that holds all rows. Rows weigh
+    alike, or blocks of so many do."""
     raw = df.select(vector_to_array(features).alias("x"), F.col(label).cast("int").alias("y"))
     n, columns = raw.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     if not n:
@@ -43,31 +60,32 @@ def learn(df: DataFrame, features: str, label: str, fit: Callable[[G.Total, int,
     parts = math.ceil(n / TASK_ROWS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(1).to_numpy(zero_copy_only=False))
-                for b in batches if b.num_rows]
+        seen = [(b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1),
+                 *(b.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))) for b in batches if b.num_rows]
         if seen:
-            x, y = (np.concatenate(c) for c in zip(*seen))
+            x, y, w = (np.concatenate(c) for c in zip(*seen))
             # in the order of what they hold, so that sums do not depend on how rows came
-            order = np.lexsort([*x.T, y])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[order].astype(np.float64).tobytes()], pa.binary()), pa.array([y[order].astype(np.int32).tobytes()], pa.binary())],
-                names=["x", "y"])
+            order = np.lexsort([*x.T, y, w])
+            cells = x[order].astype(np.float64), y[order].astype(np.int32), w[order].astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cells], names=["x", "y", "w"])
 
-    packed = raw.repartition(parts).mapInArrow(pack, "x binary, y binary")
+    weighed = raw.mapInArrow(lambda batches: block_weights(batches, block), "x array<double>, y int, w double") if block else (
+        raw.withColumn("w", F.lit(1.0)))
+    packed = weighed.repartition(parts).mapInArrow(pack, "x binary, y binary, w binary")
     if parts == 1:
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for x, y in zip(*(c.to_pylist() for c in b.columns)):
-                    w = fit(lambda part: part(*_arrays(x, y)), n, columns)
-                    yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], names=["fitted"])
+                for row in zip(*(c.to_pylist() for c in b.columns)):
+                    found = fit(lambda part: part(*_arrays(*row)), n, columns)
+                    yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["fitted"])
 
         return np.frombuffer(packed.mapInArrow(alone, "fitted binary").first()["fitted"])
 
     # an RDD, as a job over one is planned in a fraction of the time
-    kept = packed.rdd.map(lambda r: (bytes(r["x"]), bytes(r["y"]))).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = packed.rdd.map(lambda r: tuple(map(bytes, r))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def total(part: G.Part) -> np.ndarray:
-        sums = kept.mapPartitions(lambda rows: [part(*_arrays(x, y)) for x, y in rows])
+        sums = kept.mapPartitions(lambda rows: [part(*_arrays(*row)) for row in rows])
         return np.sum(sums.collect(), axis=0)
 
     try:
@@ -78,7 +96,7 @@ def learn(df: DataFrame, features: str, label: str, fit: Callable[[G.Total, int,
 
 class TaskPerceptron(MultilayerPerceptronClassifier):
     """One hidden layer and two classes: mean cross entropy by L-BFGS, from the weights that Spark
-    draws. A row counts once, wherever it lies."""
+    draws. Blocks of a partition weigh alike, as they do there."""
 
     def _fit_java(self, df: DataFrame):
         layers = self.getLayers()
@@ -91,7 +109,7 @@ class TaskPerceptron(MultilayerPerceptronClassifier):
         drawn = sc._jvm.org.apache.spark.ml.ann.FeedForwardTopology.multiLayerPerceptron(sizes, True).model(self.getSeed()).weights()
         start = np.array(list(drawn.toArray()))
         w = learn(df, self.getFeaturesCol(), self.getLabelCol(), partial(
-            G.fit_perceptron, start=start, hidden=layers[1], steps=self.getMaxIter(), tol=self.getTol()))
+            G.fit_perceptron, start=start, hidden=layers[1], steps=self.getMaxIter(), tol=self.getTol()), self.getBlockSize())
         return self._new_java_obj("org.apache.spark.ml.classification.MultilayerPerceptronClassificationModel",
                                   self.uid, _py2java(sc, Vectors.dense(w)))
 
